@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import mixing, near_dedup, sharding
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
+    "op5_mixing": mixing.op5_mixing,
+    "op9_sharding": sharding.op9_sharding,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": mixing.OP5_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
