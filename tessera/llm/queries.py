@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dedup, sharding
+from . import decontaminate, mixing, near_dedup, sharding
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op5_mixing": mixing.op5_mixing,
     "op9_sharding": sharding.op9_sharding,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": decontaminate.OP2_SQL,
     "op5_mixing": mixing.OP5_SQL,
 }
