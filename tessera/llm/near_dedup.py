@@ -10,8 +10,8 @@
 4. Candidates pass if the collision-corrected Jaccard estimate of all registers is within six standard deviations of
    the threshold, and count as links if 100 * intersection >= 80 * union on their full sets.
 5. Buckets that still hold several components are compared across components, in blocks of bounded size, inside a
-   kernel that emits only pairs whose estimate passes. These are confirmed in the same way, so no link between
-   components that share a bucket is lost. Two sets with similarity 0.8 share none of the 32 bands with a
+   kernel that emits only pairs whose estimate and shingle sets pass. These are confirmed in the same way, so no link
+   between components that share a bucket is lost. Two sets with similarity 0.8 share none of the 32 bands with a
    probability of 5e-8.
 """
 
@@ -34,7 +34,8 @@ VALUE_BITS = 64 - BUCKET_BITS
 MANTISSA_BITS = 10
 BANDS, BAND_ROWS = 32, 4
 SIGMAS = 6.0
-BLOCK = 2048
+#: Rows and shingles of the blocks that a bucket is cut into.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 22
 _ORDER = np.argsort(np.argsort(np.random.default_rng(11).random((REGISTERS, REGISTERS)), axis=1), axis=1).astype(np.uint8)
 
 
@@ -135,6 +136,15 @@ def _sets(size: int):
     return run
 
 
+def _fine(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c1, c2, shingles in ((b.column(0), b.column(1), b.column(2)) for b in _sets(size)(batches)):
+            halves = [np.unique((x.values.to_numpy().view(U) >> U(32)).astype(np.uint32)).tobytes() for x in shingles]
+            yield pa.RecordBatch.from_arrays([c1, c2, pa.array(halves, pa.binary())], names=["c1", "c2", "fine"])
+
+    return run
+
+
 def _bands(classes: DataFrame, *columns: str) -> DataFrame:
     """The columns with k and band for each band of each class: a band's key is its four registers and k, hashed."""
     width = 2 * BAND_ROWS
@@ -157,9 +167,10 @@ PAIR = "a1 long, a2 long, ra long, b1 long, b2 long, rb long"
 
 
 def _across(percent: int):
-    """Pairs of one (band, i, j) block that lie in different components and may be similar enough.
+    """Pairs of one (band, i, j) block that lie in different components and are similar enough.
 
-    Rows come sorted by block; a block has about 2 * BLOCK rows at most. A pair that shares several bands comes from
+    Rows come sorted by block; a block has about 2 * BLOCK rows and 2 * BLOCK_SHINGLES shingles at most. Pairs whose
+    estimate passes are compared by the upper halves of their shingle hashes, whose intersection is never too small. A pair that shares several bands comes from
     the first of them alone, and one that lies within a single half of the block from the block (i, i) alone.
     """
 
@@ -171,6 +182,7 @@ def _across(percent: int):
         sig = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         bands = np.ascontiguousarray(sig[:, : BANDS * BAND_ROWS]).view(np.uint64)
         n, k, same = rows.column("n_shingles").to_numpy(), rows.column("k").to_numpy()[0], i[0] == j[0]
+        fine = [np.frombuffer(x.as_buffer(), np.uint32) for x in rows.column("fine")]
         odd = np.flatnonzero(label != names[np.argmax(counts)])
         rest = np.zeros(len(label), bool)
         rest[odd] = True
@@ -182,6 +194,8 @@ def _across(percent: int):
             to = np.flatnonzero(ok)
             to = to[passes((sig[to] == sig[r]).sum(axis=1), n[to], np.full(len(to), n[r]), percent)]
             to = to[np.argmax(bands[to] == bands[r], axis=1) == k] if len(to) else to
+            common = np.array([(fine[t][np.minimum(np.searchsorted(fine[t], fine[r]), len(fine[t]) - 1)] == fine[r]).sum() for t in to], np.int64) + n[r] - len(fine[r])
+            to = to[100 * common >= percent * (n[to] + n[r] - common)]
             x.append(np.full(len(to), r))
             y.append(to)
         x, y = np.concatenate(x), np.concatenate(y)
@@ -247,10 +261,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     labelled = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
     labelled = written(labelled, "labelled")
-    mixed = _bands(labelled, "label").groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("n > 2 and least < most").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    member = _bands(labelled, "c1", "c2").join(mixed.hint("shuffle_merge"), "band").withColumn("half", F.expr("cast(pmod(xxhash64(c1, c2), blocks) as int)"))
+    mixed = _bands(labelled, "label", "n_shingles").groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), F.sum("n_shingles").alias("words")).where("n > 2 and least < most")
+    mixed = mixed.select("band", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("words") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    member = written(_bands(labelled, "c1", "c2", "rep").join(mixed.hint("shuffle_merge"), "band"), "mixed")
+    wanted = member.select(F.col("rep").alias("doc_id")).distinct()
+    texts = docs.where("doc_id is not null").join(small(wanted, wanted.count()), "doc_id", "left_semi")
+    fine = texts.mapInArrow(_fine(shingle_words), "c1 long, c2 long, fine binary").groupBy("c1", "c2").agg(F.first("fine").alias("fine"))
+    member = member.withColumn("half", F.expr("cast(pmod(xxhash64(c1, c2), blocks) as int)"))
     dealt = member.select("*", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, half) as i, greatest(x, half) as j))")).alias("ij")).select("c1", "c2", "k", "band", "half", "ij.i", "ij.j")
     dealt = dealt.join(labelled.select("c1", "c2", "rep", "n_shingles", "label", "sketch").hint("shuffle_merge"), ["c1", "c2"])
+    dealt = dealt.join(fine.hint("shuffle_merge"), ["c1", "c2"])
     late = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_across(percent), PAIR)
     late = written(late.distinct(), "across")
     if not late.isEmpty():
