@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_dedup, sharding
+from . import decontaminate, mixing, near_dedup, quality, sharding, token_counts
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op5_mixing": mixing.op5_mixing,
+    "op7_token_counts": token_counts.op7_token_counts,
+    "op8_quality_rules": quality.op8_quality_rules,
     "op9_sharding": sharding.op9_sharding,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontaminate.OP2_SQL,
     "op5_mixing": mixing.OP5_SQL,
+    "op8_quality_rules": quality.OP8_SQL,
 }
