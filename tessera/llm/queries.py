@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_dedup, quality, sharding, token_counts
+from . import decontaminate, mixing, near_dedup, quality, sharding, token_counts, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_warc": warc.op3_warc,
     "op5_mixing": mixing.op5_mixing,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_quality_rules": quality.op8_quality_rules,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontaminate.OP2_SQL,
+    "op3_warc": warc.OP3_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op8_quality_rules": quality.OP8_SQL,
 }
