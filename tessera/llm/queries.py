@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_dedup, quality, sharding, token_counts, warc
+from . import decontaminate, mixing, near_dedup, pii, quality, sharding, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_warc": warc.op3_warc,
     "op5_mixing": mixing.op5_mixing,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_sharding": sharding.op9_sharding,
+    "op10_pii": pii.op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontaminate.OP2_SQL,
