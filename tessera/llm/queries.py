@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_dedup, pii, quality, sharding, token_counts, toxicity, warc
+from . import decontaminate, mixing, near_dedup, pii, quality, sharding, substring_dedup, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_warc": warc.op3_warc,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_token_counts": token_counts.op7_token_counts,
