@@ -53,10 +53,10 @@ def _places(rows: DataFrame, n: int) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items, contaminated) of every row of docs (doc_id, text, ...).
+    """(doc_id, tk, n_words, n_hit, n_items, items, contaminated) of every row of docs (doc_id, text, ...).
 
     benchmark has item_id and text. n_hit counts the words inside any occurrence of a window of an item, items is the
-    array of the items with an occurring window, as strings in order. Null texts have no words on either side; items
+    array of the items with an occurring window, as strings in order, tk the text_key of the row. Null texts have no words on either side; items
     without words have no window; a null item_id is the string null. Items that repeat an item_id count once. Rows that
     repeat a doc_id are judged by their own text. Other columns are ignored. Without documents there are no rows, and
     without items nothing is hit.
@@ -99,7 +99,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = base.select("doc_id", "tk", "n_words").join(marks, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("tk") == F.col("m_tk")), "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), items_of.alias("items"), (n_hit > 0).alias("contaminated"))
+    return out.select("doc_id", "tk", "n_words", n_hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), items_of.alias("items"), (n_hit > 0).alias("contaminated"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,12 +68,11 @@ def mixture(docs: DataFrame, columns: list[str] | None = None, weights: tuple[in
     Null texts have size 0 and are never taken. Null sources are a source of their own, last in order. A null doc_id
     is ordered as the word null. Rows with the same doc_id are cut one after the other, smaller ones first. A source
     without words has target 0. No rows give no rows. columns: which columns of docs stay (all by default); those
-    that begin with mix_ are replaced.
+    named as a result are replaced.
     """
-    names = docs.columns if columns is None else columns
-    keep = [F.col(c) for c in names if not c.startswith("mix_")]
-    rows = docs.select(*keep, *[F.col(c).alias(f"mix_in_{c}") for c in ("doc_id", "source", "text")])
-    rows = rows.withColumn("mix_size", n_spaced_words(F.col("mix_in_text"))).withColumn("mix_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("mix_in_doc_id").cast("string"), F.lit("null"))).cast("binary"))).drop("mix_in_text")
+    results = ("mix_size", "mix_source_size", "mix_target", "mix_taken")
+    names = [c for c in (docs.columns if columns is None else columns) if c not in results]
+    rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("mix_in_doc_id"), F.col("source").alias("mix_in_source"), n_spaced_words(F.col("text")).alias("mix_size"), order_key(seed).alias("mix_key"))
     totals = rows.groupBy(F.col("mix_in_source").alias("source")).agg(F.sum("mix_size").alias("source_size"), F.count("*").alias("source_rows"))
     plan = budgets(totals, weights, share, most).withColumn("ranges", n_ranges(F.col("source_rows"))).withColumnRenamed("source", "plan_source")
     rows = rows.join(plan, rows.mix_in_source.eqNullSafe(plan.plan_source)).drop("plan_source").withColumn("mix_range", key_range(F.col("mix_key"), F.col("ranges")))
@@ -86,7 +85,7 @@ def mixture(docs: DataFrame, columns: list[str] | None = None, weights: tuple[in
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("mix_size"), rest - F.col("range_before") - F.col("mix_inner")))
-    return rows.select(*[F.col(c) for c in names if not c.startswith("mix_")], "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), (epochs * F.col("mix_size") + part).cast("long").alias("mix_taken"))
+    return rows.select("row.*", "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), (epochs * F.col("mix_size") + part).cast("long").alias("mix_taken"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,8 @@ BANDS, BAND_ROWS = 32, 4
 SIGMAS = 6.0
 #: Rows and shingles of the blocks that a bucket is cut into.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 22
-_ORDER = np.argsort(np.argsort(np.random.default_rng(11).random((REGISTERS, REGISTERS)), axis=1), axis=1).astype(np.uint8)
+#: The rank of each bucket in the order in which a bucket looks for a filled one: itself first.
+_ORDER = np.argsort(np.argsort(np.random.default_rng(11).random((REGISTERS, REGISTERS)) - 2 * np.eye(REGISTERS), axis=1), axis=1).astype(np.uint8)
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:

@@ -101,8 +101,8 @@ def host_rates(hosts: DataFrame) -> DataFrame:
 def verdicts(docs: DataFrame, keep: list[str] | None = None, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The kept columns of docs with COUNTS, base_failed, host_rate and kept.
 
-    Null and empty texts have no words, so they fail. A null host is a host of its own. Kept columns named as a result
-    are dropped. Rows that repeat others count again. No rows give no rows. The counts are written once by hosts and
+    Null and empty texts have no words, so they fail. A null host is a host of its own. Kept columns named as a result,
+    failed or qr_host are dropped. Rows that repeat others count again. No rows give no rows. The counts are written once by hosts and
     read for the rows, which stay whole: a host of any share of the rows is summed in part before the shuffle and
     joined as one row.
     """

@@ -28,7 +28,7 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED, columns: l
     empty; no rows give no rows. columns: which columns of docs stay (all by default); shard and slot are replaced.
     """
     names = [c for c in (docs.columns if columns is None else columns) if c not in ("shard", "slot")]
-    rows = docs.select(*names, F.col("source").alias("sh_source"), F.col("doc_id").alias("sh_id"), order_key(seed).alias("sh_key"))
+    rows = docs.select(F.struct(*names).alias("row"), F.col("source").alias("sh_source"), F.col("doc_id").alias("sh_id"), order_key(seed).alias("sh_key"))
     counts = rows.groupBy(F.col("sh_source").alias("c_source")).agg(F.count("*").alias("sh_rows")).withColumn("sh_ranges", n_ranges(F.col("sh_rows")))
     counts = counts.withColumn("sh_all", F.sum("sh_rows").over(W.partitionBy()))
     rows = rows.join(counts, F.col("sh_source").eqNullSafe(F.col("c_source"))).drop("c_source").withColumn("sh_range", key_range(F.col("sh_key"), F.col("sh_ranges")))
@@ -47,7 +47,7 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED, columns: l
     at = F.col("sh_offset") + F.col("sh_inner")
     rows = rows.withColumn("sh_at", at).withColumn("shard", F.expr(f"(sh_at * {n_shards}) div sh_all").cast("int"))
     first = F.expr(f"(shard * sh_all + {n_shards - 1}) div {n_shards}")
-    return rows.withColumn("slot", (F.col("sh_at") - first).cast("long")).select(*names, "shard", "slot")
+    return rows.withColumn("slot", (F.col("sh_at") - first).cast("long")).select("row.*", "shard", "slot")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@
 3. The distinct fragments of the other anchor strings are cut out and gathered, whole groups at a time, into run-length
    indexes of bounded size. An index streams matching statistics over its fragments and marks every place that matches
    LENGTH bytes elsewhere. Each window is in one fragment only, so a match is another occurrence.
-4. A group too large for one index is not gathered: its windows are counted by hash, with partial sums.
+4. A group too large for one index is not gathered: blocks of its windows, and single windows at their borders, are
+   counted by hash, with partial sums.
 5. Marked windows become byte ranges of documents; their union is removed.
 """
 
@@ -32,6 +33,8 @@ K = 64
 INDEX_BYTES = 1 << 20
 #: Bytes of a text that are searched for anchors at once; places take the low bits of a hash.
 PART = 1 << 20
+#: Numbers of windows of the blocks that large groups are counted by.
+BLOCKS = (64, 8, 1)
 _PLACE_BITS = 22
 
 
@@ -140,21 +143,71 @@ def _indexed(length: int):
     return run
 
 
-def _windows(length: int):
-    """Every window of a fragment: (anchor, hash, n, doc_id, tk, a)."""
+NODE = "anchor long, fragment long, n long, doc_id long, tk long, low long, a long, b long, near long, far long, core long, span long"
+
+
+def _blocks(size: int, length: int, k: int):
+    """Blocks of `size` neighbouring windows of fragments, by their distance to the anchor.
+
+    low is the block's first distance; core hashes what all windows of a whole block share, and span all bytes of
+    those that the fragment has, at distances near to far: bytes [a, b) of the document. Rows have the blocks of the
+    level above (of `within` windows) that are still open, or null for all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, buf, offsets in pieces(batch.column("bytes")):
-                starts = np.concatenate([np.arange(x, y - length + 1) for x, y in zip(offsets[:-1], offsets[1:], strict=True)])
-                row = np.searchsorted(offsets, starts, "right") - 1
-                take = pa.array(row + a)
-                lo = batch.column("lo").to_numpy()[row + a]
-                yield pa.RecordBatch.from_arrays([batch.column("anchor").take(take), pa.array(Spans(buf)(starts, starts + length).view(np.int64)), *(batch.column(c).take(take) for c in ("n", "doc_id", "tk")), pa.array(lo + starts - offsets[row])], names=["anchor", "window", "n", "doc_id", "tk", "a"])
+            keys = batch.column("anchor").to_numpy().view(U)
+            at_doc, within = batch.column("lo").to_numpy(), batch.column("within").to_numpy()
+            for x, y, buf, offsets in pieces(batch.column("bytes")):
+                spans = Spans(buf)
+                rows, low, near, far, place = [], [], [], [], []
+                for i in range(x, y):
+                    begin, end = int(offsets[i - x]), int(offsets[i - x + 1])
+                    starts = np.arange(begin, end - k + 1)
+                    p = int(np.flatnonzero(spans(starts, starts + k) == keys[i])[0])
+                    least, most = p - (end - begin - length), p
+                    opened = batch.column("open")[i].as_py()
+                    lows = np.arange(least // size * size, most + 1, size) if opened is None else np.concatenate([np.arange(o, o + within[i], size) for o in sorted(set(opened))])
+                    lows = lows[(lows + size > least) & (lows <= most)]
+                    rows.append(np.full(len(lows), i))
+                    low.append(lows)
+                    near.append(np.maximum(lows, least))
+                    far.append(np.minimum(lows + size - 1, most))
+                    place.append(np.full(len(lows), begin + p))
+                rows, low, near, far, place = map(np.concatenate, (rows, low, near, far, place))
+                core = spans(place - low, place - low - size + 1 + length)
+                span = spans(place - far, place - near + length)
+                shift = at_doc[rows] - offsets[rows - x] + place
+                take = pa.array(rows)
+                held = [batch.column(c).take(take) for c in ("anchor", "fragment", "n", "doc_id", "tk")]
+                yield pa.RecordBatch.from_arrays([*held, *map(pa.array, (low, shift - far, shift - near + length, near, far, core.view(np.int64), span.view(np.int64)))], names=[c.split()[0] for c in NODE.split(", ")])
 
     return run
 
 
+def _counted(hot: DataFrame, length: int, k: int) -> DataFrame:
+    """Ranges of the fragments of large groups that occur once, by counts of block hashes.
+
+    A block whose span occurs twice is repeated as a whole; one whose core occurs once has no repeated window; the
+    others are cut into smaller blocks, down to single windows, where both are the window. No group is gathered.
+    """
+    names = ("anchor", "fragment", "n", "doc_id", "tk", "lo", "bytes")
+    level, found = hot.select(*names, F.lit(None).cast("array<long>").alias("open"), F.lit(0).cast("long").alias("within")), None
+    for size in BLOCKS:
+        nodes = written(level.mapInArrow(_blocks(size, length, k), NODE), "blocks")
+        same = ["anchor", "low", "near", "far", "span"]
+        twice = nodes.groupBy(*same).agg(F.sum("n").alias("times")).where("times > 1").select(*same, F.lit(True).alias("done"))
+        nodes = nodes.join(twice.hint("shuffle_merge"), same, "left")
+        own = nodes.where("done and n = 1").select("doc_id", "tk", "a", "b")
+        found = own if found is None else found.unionByName(own)
+        cores = nodes.groupBy("anchor", "low", "core").agg(F.sum("n").alias("times"), F.max(F.col("done").isNull() & (F.col("n") == 1)).alias("unsure")).where("times > 1 and unsure").select("anchor", "low", "core")
+        left = nodes.select("anchor", "fragment", "low", "core").join(cores.hint("shuffle_merge"), ["anchor", "low", "core"])
+        # one row for a fragment, of at most as many blocks as it has
+        left = left.groupBy("anchor", "fragment").agg(F.collect_list("low").alias("open"))
+        level = hot.select(*names).join(left.hint("shuffle_merge"), ["anchor", "fragment"]).select(*names, "open", F.lit(size).cast("long").alias("within"))
+    return found
+
+
 def _kept(n_keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,10 +261,10 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, k: int = K, index_byt
     cut = written(cut.dropDuplicates(["anchor", "fragment"]), "fragments")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     indexed = cut.where("not hot").repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(_indexed(length), RANGE)
-    windows = cut.where("hot").mapInArrow(_windows(length), "anchor long, window long, n long, doc_id long, tk long, a long")
-    repeated = windows.groupBy("anchor", "window").agg(F.sum("n").alias("times")).where("times > 1").select("anchor", "window")
-    counted = windows.where("n = 1").join(repeated.hint("shuffle_merge"), ["anchor", "window"]).select("doc_id", "tk", "a", (F.col("a") + length).alias("b"))
-    ranges = whole.unionByName(indexed).unionByName(counted)
+    hot = cut.where("hot")
+    ranges = whole.unionByName(indexed)
+    if not hot.isEmpty():
+        ranges = ranges.unionByName(_counted(hot, length, k))
     ranges = ranges.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("a", "b")).alias("ranges")).withColumnsRenamed({"doc_id": "r_id", "tk": "r_tk"})
     out = rows.join(ranges.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("tk") == F.col("r_tk")), "left")
     return out.select("doc_id", "text", "ranges").mapInArrow(_kept(1), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
