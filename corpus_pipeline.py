@@ -1,19 +1,69 @@
-"""Documents to shards: quality rules, near-dedup, decontamination, mixing and sharding."""
+"""Documents to shards: quality rules, near-dedup, decontamination, mixing and sharding.
+
+Every stage takes (spark, docs, sf_dir), works on all the documents that its predecessor kept, and is written as
+Parquet in the shared folder before the next one reads it. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
-ORACLE_SQL = None
+from tessera.llm.common import table, text_key, written
+from tessera.llm.decontaminate import contamination
+from tessera.llm.mixing import mixture
+from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.quality import verdicts
+from tessera.llm.sharding import shards
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written as Parquet and read again as the next one's documents."""
-    from tessera.llm.common import written
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules and whose host does."""
+    return verdicts(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more): the smallest
+    doc_id. Rows of one doc_id and one text are one document; those without doc_id all stay."""
+    keys = [F.col("doc_id"), text_key().alias("tk")]
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("k_id")).distinct()
+    named = docs.select(*COLUMNS).where("doc_id is not null").join(kept.hint("shuffle_merge"), F.col("doc_id") == F.col("k_id"), "left_semi")
+    repeats = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if not repeats.isEmpty():
+        named = named.withColumn("tk", keys[1]).dropDuplicates(["doc_id", "tk"]).select(*COLUMNS)
+    return named.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    hit = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("h_id"), F.col("tk").alias("h_tk")).distinct()
+    return docs.select(*COLUMNS, text_key().alias("tk")).join(hit, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tk") == F.col("h_tk")), "left_anti").select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; the one at a source's cut counts as taken once more in whole."""
+    mixed = mixture(docs.select(*COLUMNS))
+    times = F.when(F.col("mix_size") > 0, F.ceil(F.col("mix_taken") / F.col("mix_size"))).otherwise(0).cast("int")
+    return mixed.withColumn("mix_times", times).where("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*COLUMNS)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix in 16 shards of its own proportions."""
+    return shards(docs.select(*COLUMNS))
+
+
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         docs = written(docs, name) if k < len(STAGES) - 1 else docs
     return docs
+
+
+ORACLE_SQL = None

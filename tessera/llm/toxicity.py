@@ -25,7 +25,9 @@ SIZES = (3, 4, 5, 6)
 SAMPLE_PER_CLASS = 2000
 ROUNDS = 60
 RATE = 0.04
-DECAY = 0.07
+DECAY = 0.15
+#: Every so-many-th row of the sample calibrates the logits and isn't trained on.
+HELD = 5
 FEW_WORDS = 60
 THRESHOLD = 0.3
 CACHE_BITS = 20
@@ -96,12 +98,45 @@ def _spread(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(index, values[:, k], n) for k in range(values.shape[1])], axis=1).astype(np.float32)
 
 
+def calibrated(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and constant of a logistic fit of labels y to logits x, with rows weighted to the prior and smoothed labels."""
+    n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    w = np.where(y > 0, prior / max(n1, 1), (1 - prior) / max(n0, 1)) * len(y)
+    spread = max(float(x.std()), 1e-6)
+    z = np.stack([(x - x.mean()) / spread, np.ones(len(x))], axis=1)
+    beta = np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+        hess = (z * (w * p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
+        step = np.linalg.solve(hess, z.T @ (w * (t - p)) - 1e-3 * beta)
+        beta += np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-8:
+            break
+    slope = max(beta[0], 0.0) / spread
+    return float(slope), float(beta[1] - slope * x.mean())
+
+
+def _logits(texts: list[str], weights: np.ndarray) -> np.ndarray:
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    (scored,) = _scores(weights.astype(np.float32).tobytes(), 0.0, 0)([batch])
+    p = np.clip(scored.column(0).to_numpy(), 1e-15, 1 - 1e-15)
+    return np.log(p / (1 - p))
+
+
 def train(texts: list[str], labels: list[int], prior: float, seed: int = 5) -> tuple[np.ndarray, float]:
     """One number for each bucket and a constant. prior: the share of label 1 that scores are calibrated to."""
     y = np.array(labels, np.float32)
-    if not len(y) or y.min() == y.max():
+    held = np.arange(len(y)) % HELD == HELD - 1
+    if any(not 0 < part.sum() < len(part) for part in (y[held], y[~held])):
         share = min(max(prior, 1e-4), 1 - 1e-4)
         return np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share)))
+    weights = _trained([t for t, h in zip(texts, held, strict=True) if not h], y[~held], seed)
+    slope, constant = calibrated(_logits([t for t, h in zip(texts, held, strict=True) if h], weights), y[held], prior)
+    return (weights * slope).astype(np.float32), constant
+
+
+def _trained(texts: list[str], y: np.ndarray, seed: int) -> np.ndarray:
     doc, word, share, names = _bags(texts)
     who, bucket = subwords(names) if names else (np.zeros(0, np.int64),) * 2
     per_word = (1 / np.maximum(np.bincount(who, minlength=len(names)), 1)).astype(np.float32)
@@ -127,8 +162,7 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 5) -> t
             m += 0.1 * (grad - m)
             v += 0.02 * (grad * grad - v)
             param -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-10)).astype(np.float32)
-    odds = np.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0
-    return emb @ (soft[:, 1] - soft[:, 0]) * scale, float(bias[1] - bias[0] + odds)
+    return emb @ (soft[:, 1] - soft[:, 0]) * scale
 
 
 def _scores(table_bytes: bytes, constant: float, n_keep: int):
