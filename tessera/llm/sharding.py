@@ -28,11 +28,22 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED, columns: l
     empty; no rows give no rows. columns: which columns of docs stay (all by default); shard and slot are replaced.
     """
     names = [c for c in (docs.columns if columns is None else columns) if c not in ("shard", "slot")]
-    rows = docs.select(F.struct(*names).alias("row"), F.col("source").alias("sh_source"), F.col("doc_id").alias("sh_id"), order_key(seed).alias("sh_key"))
+    slim = _assigned(docs.select(F.col("source").alias("sh_source"), order_key(seed).alias("sh_key")), n_shards)
+    # the rows of one doc_id, which are any of them
+    places = slim.groupBy(F.col("sh_source").alias("p_source"), F.col("sh_key").alias("p_key")).agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("places"))
+    same = W.partitionBy("sh_source", "sh_key").orderBy("sh_key")
+    rows = docs.select(F.struct(*names).alias("row"), F.col("source").alias("sh_source"), order_key(seed).alias("sh_key")).withColumn("sh_nth", F.row_number().over(same))
+    rows = rows.join(places.hint("shuffle_merge"), F.col("sh_source").eqNullSafe(F.col("p_source")) & (F.col("sh_key") == F.col("p_key")))
+    place = F.element_at("places", F.col("sh_nth"))
+    return rows.select("row.*", place["shard"].alias("shard"), place["slot"].alias("slot"))
+
+
+def _assigned(rows: DataFrame, n_shards: int) -> DataFrame:
+    """(sh_source, sh_key, shard, slot) of the rows (sh_source, sh_key)."""
     counts = rows.groupBy(F.col("sh_source").alias("c_source")).agg(F.count("*").alias("sh_rows")).withColumn("sh_ranges", n_ranges(F.col("sh_rows")))
     counts = counts.withColumn("sh_all", F.sum("sh_rows").over(W.partitionBy()))
     rows = rows.join(counts, F.col("sh_source").eqNullSafe(F.col("c_source"))).drop("c_source").withColumn("sh_range", key_range(F.col("sh_key"), F.col("sh_ranges")))
-    place = F.row_number().over(W.partitionBy("sh_source", "sh_range").orderBy("sh_key", F.col("sh_id")))
+    place = F.row_number().over(W.partitionBy("sh_source", "sh_range").orderBy("sh_key"))
     by_range = rows.groupBy(F.col("sh_source").alias("r_source"), F.col("sh_range").alias("r_range")).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("r_source").orderBy("r_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
     rows = rows.withColumn("sh_place", place).join(by_range.select("r_source", "r_range", before.alias("sh_before")), F.col("sh_source").eqNullSafe(F.col("r_source")) & (F.col("sh_range") == F.col("r_range"))).drop("r_source", "r_range")
@@ -42,12 +53,11 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED, columns: l
     steps = rows.groupBy(F.col("sh_step").alias("r_step")).agg(F.count("*").alias("n"))
     # one row for each RANGE_ROWS rows
     offset = F.coalesce(F.sum("n").over(W.orderBy("r_step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    inner = F.row_number().over(W.partitionBy("sh_step").orderBy("sh_frac", F.col("sh_source").isNull(), F.col("sh_source").cast("binary"), "sh_key", F.col("sh_id"))) - 1
+    inner = F.row_number().over(W.partitionBy("sh_step").orderBy("sh_frac", F.col("sh_source").isNull(), F.col("sh_source").cast("binary"), "sh_key")) - 1
     rows = rows.withColumn("sh_inner", inner).join(steps.select("r_step", offset.alias("sh_offset")), F.col("sh_step") == F.col("r_step"))
-    at = F.col("sh_offset") + F.col("sh_inner")
-    rows = rows.withColumn("sh_at", at).withColumn("shard", F.expr(f"(sh_at * {n_shards}) div sh_all").cast("int"))
+    rows = rows.withColumn("sh_at", F.col("sh_offset") + F.col("sh_inner")).withColumn("shard", F.expr(f"(sh_at * {n_shards}) div sh_all").cast("int"))
     first = F.expr(f"(shard * sh_all + {n_shards - 1}) div {n_shards}")
-    return rows.withColumn("slot", (F.col("sh_at") - first).cast("long")).select("row.*", "shard", "slot")
+    return rows.select("sh_source", "sh_key", "shard", (F.col("sh_at") - first).cast("long").alias("slot"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
