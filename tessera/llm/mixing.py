@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import n_spaced_words, table
+from .common import n_spaced_words, small, table, written
 
 RANGE_ROWS = 5_000
 WEIGHTS = (3, 1, 2)
@@ -72,13 +72,21 @@ def mixture(docs: DataFrame, columns: list[str] | None = None, weights: tuple[in
     """
     results = ("mix_size", "mix_source_size", "mix_target", "mix_taken")
     names = [c for c in (docs.columns if columns is None else columns) if c not in results]
-    rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("mix_in_doc_id"), F.col("source").alias("mix_in_source"), n_spaced_words(F.col("text")).alias("mix_size"), order_key(seed).alias("mix_key"))
-    totals = rows.groupBy(F.col("mix_in_source").alias("source")).agg(F.sum("mix_size").alias("source_size"), F.count("*").alias("source_rows"))
-    plan = budgets(totals, weights, share, most).withColumn("ranges", n_ranges(F.col("source_rows"))).withColumnRenamed("source", "plan_source")
-    rows = rows.join(plan, rows.mix_in_source.eqNullSafe(plan.plan_source)).drop("plan_source").withColumn("mix_range", key_range(F.col("mix_key"), F.col("ranges")))
-    by_range = rows.groupBy("mix_in_source", "mix_range").agg(F.sum("mix_size").alias("range_size"))
+    own = [F.col("doc_id").alias("mix_in_doc_id"), F.col("source").alias("mix_in_source"), n_spaced_words(F.col("text")).alias("mix_size"), order_key(seed).alias("mix_key")]
+    sizes = written(docs.select(*own), "mix-sizes")
+    totals = sizes.groupBy(F.col("mix_in_source").alias("source")).agg(F.sum("mix_size").alias("source_size"), F.count("*").alias("source_rows"))
+    plan = written(budgets(totals, weights, share, most).withColumn("ranges", n_ranges(F.col("source_rows"))).withColumnRenamed("source", "plan_source"), "mix-plan")
+    plan = small(plan, plan.count())
+
+    def ranged(rows: DataFrame) -> DataFrame:
+        found = rows.join(plan, rows.mix_in_source.eqNullSafe(plan.plan_source)).drop("plan_source")
+        return found.withColumn("mix_range", key_range(F.col("mix_key"), F.col("ranges")))
+
+    by_range = ranged(sizes).groupBy("mix_in_source", "mix_range").agg(F.sum("mix_size").alias("range_size"))
     before = F.coalesce(F.sum("range_size").over(W.partitionBy("mix_in_source").orderBy("mix_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    before_range = by_range.select(F.col("mix_in_source").alias("r_source"), F.col("mix_range").alias("r_range"), before.alias("range_before"))
+    before_range = written(by_range.select(F.col("mix_in_source").alias("r_source"), F.col("mix_range").alias("r_range"), before.alias("range_before")), "mix-ranges")
+    before_range = small(before_range, before_range.count())
+    rows = ranged(docs.select(F.struct(*names).alias("row"), *own))
     inner = F.coalesce(F.sum("mix_size").over(W.partitionBy("mix_in_source", "mix_range").orderBy("mix_key", F.col("mix_in_doc_id"), "mix_size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
     rows = rows.withColumn("mix_inner", inner).join(before_range, F.col("mix_in_source").eqNullSafe(F.col("r_source")) & (F.col("mix_range") == F.col("r_range")))
     budget = F.round("target").cast("long")
