@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import prepare, small, table, written
 from .textkit import Spans, U, mix, pieces, words
 
 MIN_WORDS = 50
@@ -109,8 +109,8 @@ def verdicts(docs: DataFrame, keep: list[str] | None = None, host: str = "source
     names = [c for c in (docs.columns if keep is None else keep) if c not in (*COUNTS, "base_failed", "failed", "host_rate", "kept", "qr_host")]
     rows = rule_counts(docs.withColumn("qr_host", F.col(host)), [*names, "qr_host"])
     hosts = rule_counts(docs.withColumn("qr_host", F.col(host)), ["qr_host"]).groupBy("qr_host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("k"))
-    rates = host_rates(hosts).select(F.col("qr_host").alias("h_host"), F.col("rate").alias("host_rate"))
-    out = rows.join(rates, F.col("qr_host").eqNullSafe(F.col("h_host")))
+    rates = written(host_rates(hosts).select(F.col("qr_host").alias("h_host"), F.col("rate").alias("host_rate")), "host-rates")
+    out = rows.join(small(rates, rates.count()), F.col("qr_host").eqNullSafe(F.col("h_host")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_rate)).select(*names, *COUNTS, "base_failed", "host_rate", "kept")
 
 
