@@ -25,9 +25,9 @@ def a02(s, d):
     return rounded(B.accumulate(X.stack(s, d), 4, 4))
 
 
-@query("a03_rebin_split", f"WITH {X.LAT} SELECT i // 5 AS i, j // 5 AS j, round(sum(azimuth), 6) + 0.0::DOUBLE AS total, round(coalesce(sum(azimuth) FILTER (WHERE (i + j) % 2 = 0), 0), 6) + 0.0::DOUBLE AS even, round(coalesce(sum(azimuth) FILTER (WHERE (i + j) % 2 <> 0), 0), 6) + 0.0::DOUBLE AS odd FROM lat WHERE i < 95 AND j < 60 GROUP BY i // 5, j // 5")
+@query("a03_rebin_split", f"WITH {X.LAT} SELECT i // 5 AS i, j // 5 AS j, round(sum(azimuth), 9) + 0.0::DOUBLE AS total, round(coalesce(sum(azimuth) FILTER (WHERE (i + j) % 2 = 0), 0), 9) + 0.0::DOUBLE AS even, round(coalesce(sum(azimuth) FILTER (WHERE (i + j) % 2 <> 0), 0), 9) + 0.0::DOUBLE AS odd FROM lat WHERE i < 95 AND j < 60 GROUP BY i // 5, j // 5")
 def a03(s, d):
-    return rounded(B.rebin_split(X.lattice(s, d), 5, *X.LAT_SHAPE, "azimuth"))
+    return rounded(B.rebin_split(X.lattice(s, d), 5, *X.LAT_SHAPE, "azimuth"), 9)
 
 
 @query("a04_coherence", f"WITH {X.ACC} SELECT d1, d2, i, j, valid, {r6('coh')} FROM coh")
