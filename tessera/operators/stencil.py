@@ -35,13 +35,17 @@ def edge_padded(df: DataFrame, axis: str, size: int, reach: int, mode: str = "re
 
 
 def box_mean(df: DataFrame, shape: tuple[int, int], size: int, value: str = "v", mode: str = "reflect", by: Sequence[str] = ()) -> DataFrame:
-    """The mean of the size x size box of a full grid, as two ROWS passes. mode constant counts cells outside as 0."""
-    h, out = size // 2, df.select(*by, "row", "col", value)
+    """The mean of the values in the size x size box, as two ROWS passes of sums and counts.
+
+    The grid is full: a cell without a value has a row with null. mode constant counts cells outside as 0.
+    """
+    h = size // 2
+    out = df.select(*by, "row", "col", F.coalesce(value, F.lit(0.0)).alias("num"), F.col(value).isNotNull().cast("double").alias("den"))
     for axis, n in (("row", shape[0]), ("col", shape[1])):
         w = axis_window(axis, by).rowsBetween(-h, h)
-        total = F.sum(value).over(w) / size if mode == "constant" else F.avg(value).over(w)
-        out = edge_padded(out, axis, n, h, mode).withColumn(value, total).where((F.col(axis) >= 0) & (F.col(axis) < n))
-    return out
+        out = edge_padded(out, axis, n, h, mode).withColumn("num", F.sum("num").over(w)).withColumn("den", F.sum("den").over(w)).where((F.col(axis) >= 0) & (F.col(axis) < n))
+    den = F.lit(float(size * size)) if mode == "constant" else F.col("den")
+    return out.select(*by, "row", "col", F.try_divide("num", den).alias(value))
 
 
 def offsets(reach: int, centre: bool = True):

@@ -248,7 +248,7 @@ def refocus_self_test(seed: int = 0, lines: int = 960, samples: int = 32, prf: f
     """Coherences of a made-up pair: as distorted, as refocused, with the wrong sign; and the error of a zero shift."""
     rng = np.random.default_rng(seed)
     ref = rng.normal(size=(lines, samples)) + 1j * rng.normal(size=(lines, samples))
-    shift = lambda c, f: 6.0 * np.sin(2 * np.pi * (c / lines + f / prf))
+    shift = lambda c, f: 4.0 * np.sin(2 * np.pi * (c / lines + f / prf))
     back = lambda c, f: -shift(c, f)
     bent = K.refocus(ref, shift, prf, block=240, hop=120)
     coh = lambda a, b: float(abs((a * b.conj()).sum()) / np.sqrt((abs(a) ** 2).sum() * (abs(b) ** 2).sum()))
