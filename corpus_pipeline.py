@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, text_key, written
+from tessera.llm.common import small, table, text_key, written
 from tessera.llm.decontaminate import contamination
 from tessera.llm.mixing import mixture
 from tessera.llm.near_dedup import near_duplicates
@@ -39,7 +39,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     hit = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("h_id"), F.col("tk").alias("h_tk")).distinct()
-    return docs.select(*COLUMNS, text_key().alias("tk")).join(hit, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tk") == F.col("h_tk")), "left_anti").select(*COLUMNS)
+    hit = written(hit, "contaminated")
+    return docs.select(*COLUMNS, text_key().alias("tk")).join(small(hit, hit.count()), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tk") == F.col("h_tk")), "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
