@@ -17,6 +17,7 @@ QUERIES = {
     "op10_pii": pii.op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_near_dedup": near_dedup.OP1_SQL,
     "op2_decontamination": decontaminate.OP2_SQL,
     "op3_warc": warc.OP3_SQL,
     "op5_mixing": mixing.OP5_SQL,
