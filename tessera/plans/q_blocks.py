@@ -20,9 +20,10 @@ def a01(s, d):
     return rounded(B.block_sum(X.slc_pair(s, d), 8, 4, ["r_re", "r_im"]))
 
 
-@query("a02_accumulate", f"WITH {X.ACC} SELECT 'A' AS freq, d1, d2, i, j, {r6('z_re', 'z_im', 'p1', 'p2', 'n')} FROM acc")
+@query("a02_accumulate", f"WITH {X.ACC} SELECT 'A' AS freq, d1, d2, i, j, {r6('z_re', 'z_im', 'p1', 'p2', 'n', digits=10)} FROM acc")
 def a02(s, d):
-    return rounded(B.accumulate(X.stack(s, d), 4, 4))
+    # sums of products of five-decimal values: rounding short of their last digit could meet ties
+    return rounded(B.accumulate(X.stack(s, d), 4, 4), 10)
 
 
 @query("a03_rebin_split", f"WITH {X.LAT} SELECT i // 5 AS i, j // 5 AS j, round(sum(azimuth), 9) + 0.0::DOUBLE AS total, round(coalesce(sum(azimuth) FILTER (WHERE (i + j) % 2 = 0), 0), 9) + 0.0::DOUBLE AS even, round(coalesce(sum(azimuth) FILTER (WHERE (i + j) % 2 <> 0), 0), 9) + 0.0::DOUBLE AS odd FROM lat WHERE i < 95 AND j < 60 GROUP BY i // 5, j // 5")

@@ -247,11 +247,11 @@ def f09(s, d):
     return rounded(X.lattice(s, d).select("row", "col", S.phase_rate(F.col("azimuth") * 1000, 0.242, 800000 + 12 * F.col("col")).alias("g")))
 
 
-@query("f13_split_solve", f"WITH {X.BANDS} SELECT i, j, round(azimuth, 6) + 0.0::DOUBLE AS disp, round(range_, 6) + 0.0::DOUBLE AS nondisp FROM bd")
+@query("f13_split_solve", f"WITH {X.BANDS} SELECT i, j, round(azimuth, 9) + 0.0::DOUBLE AS disp, round(range_, 9) + 0.0::DOUBLE AS nondisp FROM bd")
 def f13(s, d):
     """The planted dispersive and non-dispersive phases come back from the two bands."""
     disp, non = S.split_solve(F.col("phi_a"), F.col("phi_a") - F.col("phi_b"), X.FA, X.FB)
-    return rounded(X.bands(s, d).select("row", "col", disp.alias("disp"), non.alias("nondisp")))
+    return rounded(X.bands(s, d).select("row", "col", disp.alias("disp"), non.alias("nondisp")), 9)
 
 
 @query("f14_attribution", f"WITH {X.BANDS}, t AS (SELECT *, (1239.0::DOUBLE - 1293.5) / 1239.0 - (1293.5::DOUBLE - 1239.0) / 1293.5 AS unused, (1239.0::DOUBLE - 1293.5) / 1239.0 AS a21, (1239.0::DOUBLE - 1293.5) / 1293.5 * -1 AS x FROM bd) SELECT i, j, round((1239.0::DOUBLE - 1293.5) / 1239.0 / unused * phi_a, 4) + 0.0::DOUBLE AS term_a, round(-(phi_a - phi_b) / unused, 4) + 0.0::DOUBLE AS term_d FROM t")

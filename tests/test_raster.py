@@ -190,3 +190,47 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["select-pair", f"{tmp_path}/index", "--top", "2"]) == 0
     assert len(capsys.readouterr().out.strip().splitlines()) == 2
     assert main(["refocus"]) == 0 and main(["download"]) == 2
+
+
+def test_touched_cells_against_brute_force(spark):
+    from tessera.sources.grids import Grid, touched_cells
+
+    g = Grid(100.0, 60.0, 2.0, 20, 15, 32606)
+    ring = [(105.3, 55.1), (128.7, 48.2), (119.0, 35.6), (109.9, 44.0)]
+    poly = spark.createDataFrame([(1, [{"x": x, "y": y} for x, y in ring])], "id int, ring array<struct<x: double, y: double>>")
+    for buffer in (0.0, 1.5):
+        want = set()
+        for r in range(15):
+            for c in range(20):
+                x0, x1, y1, y0 = 100 + 2 * c - buffer, 102 + 2 * c + buffer, 60 - 2 * r + buffer, 58 - 2 * r - buffer
+                cx, cy = 101 + 2 * c, 59 - 2 * r
+                inside = False
+                for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+                    inside ^= (ay > cy) != (by > cy) and cx < (bx - ax) * (cy - ay) / (by - ay) + ax
+                    t = np.linspace(0, 1, 4001)
+                    px, py = ax + t * (bx - ax), ay + t * (by - ay)
+                    if ((px >= x0) & (px <= x1) & (py >= y0) & (py <= y1)).any():
+                        want.add((r, c))
+                if inside:
+                    want.add((r, c))
+        assert {(x["row"], x["col"]) for x in touched_cells(poly, g, buffer).collect()} == want
+
+
+def test_grids_nest_and_refuse(spark):
+    from tessera.sources.grids import Grid, cyclic_colours, grid_of, projected, resampled
+
+    g = grid_of((0.0, 80.0, 0.0, 800.0, 0.0, -80.0), 10, 10, 32606)
+    assert g.finer(20.0) == Grid(0.0, 800.0, 20.0, 40, 40, 32606)
+    for bad in ((0.0, 80.0, 1.0, 0.0, 0.0, -80.0), (0.0, 80.0, 0.0, 0.0, 0.0, -40.0)):
+        with pytest.raises(ValueError, match="grid|cells"):
+            grid_of(bad, 1, 1, 32606)
+    with pytest.raises(ValueError, match="divide"):
+        g.finer(30.0)
+    field = spark.range(100).select((F.col("id") / 10).cast("int").alias("row"), (F.col("id") % 10).cast("int").alias("col"), F.col("id").cast("double").alias("v"))
+    pts = spark.createDataFrame([(0, 0, 120.0, 680.0), (0, 1, 160.0, 600.0), (0, 2, 900.0, 10.0)], "row int, col int, x double, y double")
+    # the second point lies halfway between the centres of cells 21 and 22
+    assert {(r["col"], r["v"]) for r in resampled(pts, field, g).collect()} == {(0, 11.0), (1, 21.5), (2, None)}
+    assert {(r["col"], r["v"]) for r in resampled(pts, field, g, 0).collect()} == {(0, 11.0), (1, 22.0), (2, None)}
+    p = projected(spark.createDataFrame([(3.0, 0.0)], "lon double, lat double"), 31).first()
+    assert abs(p["x"] - 500000) < 1e-6 and abs(p["y"]) < 1e-6
+    assert cyclic_colours().shape == (256, 3)
