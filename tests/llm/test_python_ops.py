@@ -204,3 +204,13 @@ def test_gradients_of_the_tagger():
             losses.append(model.loss_grads(x, lengths, tags)[0])
         model.p[k][at] = old
         assert abs((losses[0] - losses[1]) / 2e-2 / 3 - grads[k][at]) < 1e-3
+
+
+def test_windows_of_a_long_text_are_covered_once():
+    from tessera.llm.substring_dedup import PART, _occurrences
+
+    text = "".join(random.Random(1).choices("abcdef ", k=2 * PART + 1234))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([text])], names=["doc_id", "tk", "text"])
+    spans = sorted((r["lo"], r["hi"]) for out in _occurrences(400, 64)(iter([batch])) for r in out.to_pylist())
+    assert spans[0][0] == 0 and spans[-1][1] == len(text) - 400
+    assert all(a[1] + 1 == b[0] for a, b in zip(spans, spans[1:], strict=False))
