@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, table
+from .textkit import PIECE, Spans, U, pieces, words
 
-#: Bytes of text that go to the tokenizer at once, and the length from which a text is split.
+#: Bytes of text that go to the tokenizer at once, and the length from which split_safely splits a text.
 BATCH_BYTES = 1 << 18
 SPLIT_BYTES = 1 << 16
+#: Pieces whose token numbers a worker keeps, as a power of two.
+CACHE_BITS = 20
 LIMIT = 2048
 
 
@@ -67,34 +70,60 @@ def split_safely(text: bytes, limit: int = SPLIT_BYTES) -> list[bytes]:
 
 
 def _counts(path: str, n_keep: int):
+    """n_bytes and n_tokens of the column after the kept ones.
+
+    Where white space makes no token, texts are cut at all of it, and the distinct pieces of a batch that the worker
+    hasn't met lately are encoded: a table of CACHE_BITS keeps the token numbers of pieces by their 64-bit hashes.
+    Other texts are encoded whole.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, cut = _counter(path), _drops_space(path)
+        keys, known = np.zeros(1 << CACHE_BITS, U), np.zeros(1 << CACHE_BITS, np.int64)
+
+        def encoded(texts: Iterator[bytes]) -> np.ndarray:
+            """Token numbers of texts, encoded in batches of about BATCH_BYTES."""
+            out: list[int] = []
+            held: list[str] = []
+            size = 0
+            for raw in texts:
+                held.append(raw.decode("utf-8", "replace"))
+                size += len(raw)
+                if size >= BATCH_BYTES:
+                    out += count(held)
+                    held, size = [], 0
+            return np.array(out + (count(held) if held else []), np.int64)
+
+        def of_pieces(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+            h = Spans(buf)(start, end)
+            slot = (h >> U(64 - CACHE_BITS)).astype(np.int64)
+            out = known[slot]
+            missed = np.flatnonzero((keys[slot] != h) | (h == 0))
+            if len(missed):
+                new, first, back = np.unique(h[missed], return_index=True, return_inverse=True)
+                at = missed[first]
+                got = encoded(bytes(buf[start[k] : end[k]]) for k in at)
+                out[missed] = got[back]
+                keys[slot[at]], known[slot[at]] = new, got
+            return out
+
         for batch in batches:
-            n = batch.num_rows
-            sizes, tokens = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            texts: list[str] = []
-            owners: list[int] = []
-            held = 0
-
-            def flush():
-                np.add.at(tokens, owners, count(texts))
-                texts.clear()
-                owners.clear()
-
-            for i, value in enumerate(batch.column(n_keep)):
-                if not value.is_valid:
-                    continue
-                raw = value.as_buffer().to_pybytes()
-                sizes[i] = len(raw)
-                for part in split_safely(raw) if cut else [raw]:
-                    texts.append(part.decode("utf-8", "replace"))
-                    owners.append(i)
-                    held += len(part)
-                    if held >= BATCH_BYTES:
-                        flush()
-                        held = 0
-            if texts:
-                flush()
+            column = batch.column(n_keep)
+            sizes, tokens = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for a, b, buf, offsets in pieces(column):
+                sizes[a:b] = np.diff(offsets)
+                if cut and len(buf) > PIECE:
+                    # one long text, in parts
+                    for part in split_safely(buf.tobytes(), PIECE):
+                        raw = np.frombuffer(part, np.uint8)
+                        start, end, _ = words(raw, np.array([0, len(raw)]))
+                        tokens[a] += of_pieces(raw, start, end).sum()
+                elif cut:
+                    start, end, first = words(buf, offsets)
+                    sums = np.concatenate([[0], np.cumsum(of_pieces(buf, start, end))])
+                    tokens[a:b] = sums[first[1:]] - sums[first[:-1]]
+                else:
+                    tokens[a:b] = encoded(bytes(buf[x:y]) for x, y in zip(offsets[:-1], offsets[1:], strict=True))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], pa.array(sizes), pa.array(tokens)], names=[*batch.schema.names[:n_keep], "n_bytes", "n_tokens"])
 
     return run
