@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 MAX_ROUNDS = 60
 
@@ -40,7 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == last or mark["n"] == 0:
             break
         last = mark
-        now = written(_small(_large(now).distinct()).distinct(), "edges")
+        before, now = now, written(_small(_large(now).distinct()).distinct(), "edges")
+        dropped(before)
     else:
         raise RuntimeError("the components did not settle")
     centre = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
