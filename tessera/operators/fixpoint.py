@@ -22,10 +22,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the table that cut() made, once nothing reads it any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/tessera/round-" in path:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def until_settled(df: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Callable[[DataFrame], int], rounds: int) -> DataFrame:
     now = cut(df)
     for _ in range(rounds):
-        now = cut(step(now))
+        before, now = now, cut(step(now))
+        discard(before)
         if not changed(now):
             break
     return now
