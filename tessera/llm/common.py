@@ -45,6 +45,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fitted(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
+    """df in as many partitions as its counted rows need, if these are fewer than a shuffle makes."""
+    parts = max(1, -(-rows // each))
+    return df.coalesce(parts) if parts < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table made by written() that nothing reads any more."""
     spark = df.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, fitted, written
 
 MAX_ROUNDS = 60
 
@@ -33,14 +33,14 @@ def components(edges: DataFrame) -> DataFrame:
     Nodes are longs. Every group is reduced by partial aggregates and its rows are joined with one row of the group,
     so a component of any size spreads over tasks. The number of rounds grows with the logarithm of the longest path.
     """
-    now = written(edges.where("u <> v").select("u", "v").distinct(), "edges")
+    now = written(fitted(edges.where("u <> v").select("u", "v").distinct(), edges.count()), "edges")
     last = None
     for _ in range(MAX_ROUNDS):
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if mark == last or mark["n"] == 0:
             break
         last = mark
-        before, now = now, written(_small(_large(now).distinct()).distinct(), "edges")
+        before, now = now, written(fitted(_small(_large(now).distinct()).distinct(), 2 * mark["n"]), "edges")
         dropped(before)
     else:
         raise RuntimeError("the components did not settle")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, lower_ascii, prepare, small, table, written
+from .common import fitted, prepare, small, table, written
 from .components import components
 from .textkit import Spans, U, lowered, mix, pieces, words
 
@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     known = lambda p: classes.select(F.col("c1").alias(f"{p}1"), F.col("c2").alias(f"{p}2"), F.col("n_shingles").alias(f"n{p}"), F.col("sketch").alias(f"s{p}"))
     star = star.join(known("b").hint("shuffle_merge"), ["b1", "b2"]).join(known("a").hint("shuffle_merge"), ["a1", "a2"])
     star = written(star.mapInArrow(_estimated(percent), PAIR), "star")
-    links = written(_links(star, docs, shingle_words, percent).distinct(), "links")
+    links = written(fitted(_links(star, docs, shingle_words, percent).distinct(), star.count()), "links")
     labels = components(links)
 
     labelled = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     late = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_across(percent), PAIR)
     late = written(late.distinct(), "across")
     if not late.isEmpty():
-        more = written(_links(late, docs, shingle_words, percent).distinct(), "links")
+        more = written(fitted(_links(late, docs, shingle_words, percent).distinct(), late.count()), "links")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
     reps = classes.select("c1", "c2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
