@@ -356,7 +356,7 @@ def r03(s, d):
 
 @query("r02_fill_interior")
 def r02(s, d):
-    return rounded(P.fill_interior(_holes(s, d), 48, 48))
+    return rounded(P.fill_interior(X.kept(s, d, 7.0), *X.LAT_SHAPE))
 
 
 _SPK = """sp{k} AS (SELECT a.i, a.j FROM (SELECT a.i, a.j, any_value(a.v) AS v, median(b.v) AS m, count(b.v) AS n FROM q{p} a LEFT JOIN q{p} b ON abs(a.i - b.i) <= 3 AND abs(a.j - b.j) <= 3 AND (a.i <> b.i OR a.j <> b.j) GROUP BY 1, 2) a WHERE n < 3 OR abs(v - m) > 0.8),
@@ -403,9 +403,9 @@ def m09(s, d):
 
 @query("m13_robust_plane")
 def m13(s, d):
-    return rounded(P.robust_plane(_holes(s, d)).select("row", "col", "filled"))
+    return rounded(P.robust_plane(X.kept(s, d, 7.0)).select("row", "col", "filled"))
 
 
 @query("r08_regional_level")
 def r08(s, d):
-    return rounded(P.regional_level(_holes(s, d), 48, 48).select("row", "col", "level"))
+    return rounded(P.regional_level(X.kept(s, d, 7.0), *X.LAT_SHAPE).select("row", "col", "level"))

@@ -234,3 +234,41 @@ def test_grids_nest_and_refuse(spark):
     p = projected(spark.createDataFrame([(3.0, 0.0)], "lon double, lat double"), 31).first()
     assert abs(p["x"] - 500000) < 1e-6 and abs(p["y"]) < 1e-6
     assert cyclic_colours().shape == (256, 3)
+
+
+def hole_tables(spark, path, field, hole):
+    """A lineitem table whose lattice has the field as azimuth and low snr in the holes."""
+    rows = [(r, c, float((field[r, c] - 3 * np.sin(r / 12)) / 20 + 0.05), 0.04, 9.0 if hole[r, c] else 30.0) for r, c in np.ndindex(X.LAT_SHAPE)]
+    # lattice cells are remainders by 96 and 64, so keys below these are rows and columns
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_discount double, l_tax double, l_quantity double").write.parquet(f"{path}/lineitem.parquet")
+
+
+def test_hole_queries_read_the_whole_lattice(spark, tmp_path):
+    y, x = np.indices(X.LAT_SHAPE)
+    plane, hole = 0.02 * y - 0.03 * x, np.zeros(X.LAT_SHAPE, bool)
+    hole[60:66, 50:55] = hole[45:52, 10:13] = hole[92:96, 20:24] = True
+    hole_tables(spark, tmp_path, plane, hole)
+    known = np.where(hole, np.nan, plane)
+
+    def got(name, column):
+        df = plans.QUERIES[name](spark, str(tmp_path)).toPandas()
+        out = np.full(X.LAT_SHAPE, np.inf)
+        out[df["i"], df["j"]] = df[column]
+        return out
+
+    inside = got("r02_fill_interior", "v")
+    want = K.local_fill(known)
+    want[92:96, 20:24] = np.nan
+    assert np.allclose(inside, want, atol=1e-5, equal_nan=True)
+    assert np.allclose(got("w16_grow_medians", "v"), K.local_fill(known, True), atol=1e-5)
+    assert np.allclose(got("m13_robust_plane", "filled"), plane, atol=1e-4)
+    level = np.full(X.LAT_SHAPE, np.nanmean(known))
+    for size in (128, 64, 32, 16, 8, 4, 2, 1):
+        for r in range(0, 96, size):
+            for c in range(0, 64, size):
+                part = known[r : r + size, c : c + size]
+                n = np.isfinite(part).sum()
+                w = min(1, n / size**2 / 0.02)
+                if n:
+                    level[r : r + size, c : c + size] = w * np.nanmean(part) + (1 - w) * level[r : r + size, c : c + size]
+    assert np.allclose(got("r08_regional_level", "level"), level, atol=1e-5)
