@@ -1,9 +1,8 @@
 """Personal data in texts: exact base patterns, and a character-level BiLSTM-CRF that adds spans.
 
-The tagger reads a text in overlapping windows around every digit and every @. It skips only stretches that are
-further than MARGIN characters from any: a span that it adds must hold one of these, so nothing is lost there. Each
-character takes its tag from the window in which it stands furthest from an edge, and spans are built from these tags
-over the whole text.
+The tagger reads the whole of every text that holds a digit or an @, in overlapping windows; a span that it adds must
+hold one of these, so nothing is lost in the other texts. Each character takes its tag from the window in which it
+stands furthest from an edge, and spans are built from these tags over the whole text.
 """
 
 from __future__ import annotations
@@ -20,7 +19,6 @@ from pyspark.sql import functions as F
 from .common import prepare, table
 from .pii_model import KINDS, Tagger, encode, trained
 
-MARGIN = 20
 WINDOW, OVERLAP = 96, 32
 WINDOWS_AT_ONCE = 256
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -71,18 +69,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches of the text within MARGIN characters of a digit or @."""
-    out: list[list[int]] = []
-    for m in _SIGN.finditer(text):
-        a, b = max(m.start() - MARGIN, 0), min(m.end() + MARGIN, len(text))
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
 def windows(start: int, end: int) -> list[tuple[int, int]]:
     """Windows of at most WINDOW characters that overlap by OVERLAP and cover [start, end)."""
     out = []
@@ -115,13 +101,11 @@ class Tags:
         self.model, self.jobs, self.result = model, [], {}
 
     def add(self, row: int, text: str) -> None:
-        for a, b in regions(text):
-            cover = windows(a, b)
-            code = encode(text[a:b])
-            for k, (s, e) in enumerate(cover):
-                low = s if k == 0 else s + OVERLAP // 2
-                high = e if k == len(cover) - 1 else e - (OVERLAP - OVERLAP // 2)
-                self.jobs.append((row, s, low, high, code[s - a : e - a]))
+        cover = windows(0, len(text))
+        for k, (s, e) in enumerate(cover):
+            low = s if k == 0 else s + OVERLAP // 2
+            high = e if k == len(cover) - 1 else e - (OVERLAP - OVERLAP // 2)
+            self.jobs.append((row, s, low, high, encode(text[s:e])))
             if len(self.jobs) >= WINDOWS_AT_ONCE:
                 self.flush()
 

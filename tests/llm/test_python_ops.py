@@ -191,6 +191,20 @@ def test_tagger_on_held_out_sentences():
     assert {"(415) 555-0134", "415-555-0199"} <= found and "2024-01-05" not in found
 
 
+def test_long_addresses_are_read_whole():
+    class Everything:
+        """Tags every character that it is shown as part of an email."""
+
+        def decode(self, x, lengths):
+            return np.full(x.shape, 2)
+
+    for text in ("bob @ mathematics.stanford-university.edu", "extraordinarily_long_name_of_somebody @ x.org", "a" * 300 + " @ " + "b" * 300 + ".org"):
+        held = pii.Tags(Everything())
+        held.add(0, text)
+        held.flush()
+        assert pii.merged(text, [], held.spans(0)) == [(0, 0, len(text))]
+
+
 def test_gradients_of_the_tagger():
     model, r = pii_model.Tagger(), np.random.default_rng(0)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
