@@ -293,23 +293,36 @@ def biharmonic_fill(y: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(y), y, z)
 
 
-def idw_fill(y: np.ndarray, smooth: int = 0, reach: int = 64) -> np.ndarray:
-    """Inverse distance over the nearest known cell of each of the eight directions, with optional 3 x 3 means in holes."""
+def _along(ok: np.ndarray, z: np.ndarray, dy: int, dx: int) -> tuple[np.ndarray, np.ndarray]:
+    """Steps from each cell to the nearest known cell that lies (-dy, -dx) steps off, inf without one, and its value."""
+    if dy == 0:
+        steps, value = _along(ok.T, z.T, dx, dy)
+        return steps.T, value.T
+    (h, w), steps, value = ok.shape, np.full(ok.shape, np.inf), np.zeros(ok.shape)
+    to, at = slice(max(dx, 0), w + min(dx, 0)), slice(max(-dx, 0), w - max(dx, 0))
+    for r in range(1, h) if dy > 0 else range(h - 2, -1, -1):
+        p = r - dy
+        steps[r, to] = np.where(ok[p], 1, steps[p] + 1)[at]
+        value[r, to] = np.where(ok[p], z[p], value[p])[at]
+    return steps, value
+
+
+def idw_fill(y: np.ndarray, smooth: int = 0, reach: int = 0) -> np.ndarray:
+    """Inverse distance over the nearest known cell of each of the eight directions, with optional 3 x 3 means in holes.
+
+    Without reach a direction is followed to the grid's edge, and cells that none serves take the nearest value.
+    """
     ok = np.isfinite(y)
     num, den = np.zeros(y.shape), np.zeros(y.shape)
     z = np.where(ok, y, 0.0)
     for dy, dx in ((0, 1), (1, 0), (0, -1), (-1, 0), (1, 1), (1, -1), (-1, 1), (-1, -1)):
-        found = np.zeros(y.shape, bool)
-        for k in range(1, reach + 1):
-            moved = lambda a, k=k, dy=dy, dx=dx: np.roll(a, (k * dy, k * dx), (0, 1))
-            r, c = np.indices(y.shape)
-            inside = (r - k * dy >= 0) & (r - k * dy < y.shape[0]) & (c - k * dx >= 0) & (c - k * dx < y.shape[1])
-            hit = moved(ok) & inside & ~found
-            w = 1 / (k * np.hypot(dy, dx))
-            num += np.where(hit, w * moved(z), 0)
-            den += np.where(hit, w, 0)
-            found |= hit
+        steps, value = _along(ok, z, dy, dx)
+        w = np.where(steps <= (reach or sum(y.shape)), 1 / (steps * np.hypot(dy, dx)), 0.0)
+        num += w * value
+        den += w
     out = np.where(ok, y, np.where(den > 0, num / np.maximum(den, 1e-12), np.nan))
+    if not reach:
+        out = np.where(np.isfinite(out), out, nearest_fill(y))
     for _ in range(smooth):
         out = np.where(ok, y, box3(out))
     return out

@@ -272,3 +272,12 @@ def test_hole_queries_read_the_whole_lattice(spark, tmp_path):
                 if n:
                     level[r : r + size, c : c + size] = w * np.nanmean(part) + (1 - w) * level[r : r + size, c : c + size]
     assert np.allclose(got("r08_regional_level", "level"), level, atol=1e-5)
+
+
+def test_idw_reaches_over_the_whole_grid():
+    a = np.full((10, 200), np.nan)
+    a[3, 2] = 5.0
+    assert np.allclose(K.idw_fill(a), 5.0, atol=1e-12)
+    a[3, 199] = 1.0
+    assert abs(K.idw_fill(a)[3, 12] - (5 / 10 + 1 / 187) / (1 / 10 + 1 / 187)) < 1e-12
+    assert np.isnan(K.idw_fill(a, 0, 64)[3, 100])
