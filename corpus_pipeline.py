@@ -24,16 +24,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return verdicts(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
+def _leaders(docs: DataFrame) -> DataFrame:
+    """The row with the smallest (doc_id, text key) of each group of near duplicates; every (doc_id, text) is a node."""
+    nodes = docs.select(*COLUMNS, text_key().alias("tk")).dropDuplicates(["doc_id", "tk"]).withColumn("node", F.monotonically_increasing_id())
+    nodes = written(nodes, "nodes")
+    found = near_duplicates(nodes.select(F.col("node").alias("doc_id"), "text")).select(F.col("doc_id").alias("node"), "component_id")
+    least = nodes.select("node", "doc_id", "tk").join(found.hint("shuffle_merge"), "node").groupBy("component_id").agg(F.min(F.struct("doc_id", "tk", "node")).alias("least"))
+    return nodes.join(least.select("least.node").hint("shuffle_merge"), "node", "left_semi").select(*COLUMNS)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more): the smallest
-    doc_id. Rows of one doc_id and one text are one document; those without doc_id all stay."""
-    keys = [F.col("doc_id"), text_key().alias("tk")]
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("k_id")).distinct()
-    named = docs.select(*COLUMNS).where("doc_id is not null").join(kept.hint("shuffle_merge"), F.col("doc_id") == F.col("k_id"), "left_semi")
-    repeats = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if not repeats.isEmpty():
-        named = named.withColumn("tk", keys[1]).dropDuplicates(["doc_id", "tk"]).select(*COLUMNS)
-    return named.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    doc_id. Rows of one doc_id and one text are one document, and other texts of a doc_id are documents of their own.
+    Rows without doc_id are compared with each other only, and one of each group stays."""
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("k_id"))
+        named = docs.select(*COLUMNS).join(kept.hint("shuffle_merge"), F.col("doc_id") == F.col("k_id"), "left_semi")
+        return named.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    return _leaders(docs.where("doc_id is not null")).unionByName(_leaders(docs.where("doc_id is null")))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,3 +26,11 @@ def test_repeated_rows_leave_one(spark, made, tmp_path):
     text = " ".join(f"w{k}" for k in range(60))
     docs = made([(1, text, "s"), (1, text, "s"), (2, text, "s"), (None, text, "s")])
     assert sorted(str(r.doc_id) for r in P.near_dedup(spark, docs, "").collect()) == ["1", "None"]
+
+
+def test_repeated_and_missing_ids(spark, made):
+    text = lambda p: " ".join(f"{p}{k}" for k in range(60))
+    near = text("c").replace("c59", "end")
+    docs = made([(61, text("a"), "s"), (62, text("a"), "s"), (62, text("b"), "s"), (3, text("c"), "s"), (7, near, "s"), (7, text("d"), "s"), (None, text("e"), "s"), (None, text("e"), "s"), (None, text("f"), "s")])
+    left = sorted((str(r.doc_id), r.text[:2]) for r in P.near_dedup(spark, docs, "").collect())
+    assert left == [("3", "c0"), ("61", "a0"), ("62", "b0"), ("7", "d0"), ("None", "e0"), ("None", "f0")]
