@@ -125,12 +125,22 @@ def _logits(texts: list[str], weights: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], labels: list[int], prior: float, seed: int = 5) -> tuple[np.ndarray, float]:
-    """One number for each bucket and a constant. prior: the share of label 1 that scores are calibrated to."""
+    """One number for each bucket and a constant. prior: the share of label 1 that scores are calibrated to.
+
+    Every HELD-th row of each class calibrates only. If a class has fewer rows than HELD, all rows train and the scores
+    aren't calibrated: the constant puts the middle of the classes' mean logits at 1 / 2.
+    """
     y = np.array(labels, np.float32)
-    held = np.arange(len(y)) % HELD == HELD - 1
-    if any(not 0 < part.sum() < len(part) for part in (y[held], y[~held])):
+    if not 0 < y.sum() < len(y):
         share = min(max(prior, 1e-4), 1 - 1e-4)
         return np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share)))
+    held = np.zeros(len(y), bool)
+    for k in (0, 1):
+        held[np.flatnonzero(y == k)[HELD - 1 :: HELD]] = True
+    if min(y.sum(), len(y) - y.sum()) < HELD:
+        weights = _trained(texts, y, seed)
+        logits = _logits(texts, weights)
+        return weights.astype(np.float32), float(-(logits[y > 0].mean() + logits[y == 0].mean()) / 2)
     weights = _trained([t for t, h in zip(texts, held, strict=True) if not h], y[~held], seed)
     slope, constant = calibrated(_logits([t for t, h in zip(texts, held, strict=True) if h], weights), y[held], prior)
     return (weights * slope).astype(np.float32), constant

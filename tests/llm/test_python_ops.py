@@ -151,6 +151,17 @@ def test_toxicity_is_learnt(spark, made):
     assert {x.predicted for x in toxicity.toxicity(made(test), none).collect()} == {0}
 
 
+@pytest.mark.parametrize("toxic", [3, 7])
+def test_rare_toxic_labels_still_train(toxic):
+    r = random.Random(3)
+    words = lambda: " ".join("".join(r.choice(["ta", "lo", "mi", "re", "su"]) for _ in range(3)) for _ in range(60))
+    # no toxic row is a fifth one
+    labels = [int(i % 5 == 0 and i < 5 * toxic) for i in range(200)]
+    weights, constant = toxicity.train([words() + " grobnik grobnak" * y for y in labels], labels, toxic / 200)
+    found = lambda tail: (1 / (1 + np.exp(-toxicity._logits([words() + tail for _ in range(50)], weights) - constant)) >= toxicity.THRESHOLD).sum()
+    assert found(" grobnik grobnak" * 3) > 25 > 5 > found("")
+
+
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
