@@ -24,7 +24,6 @@ from .common import prepare, scratch_path, table, written
 SPLIT_BYTES = 8 << 20
 CHUNK = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
-HEADER_BYTES = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, bytes long, records long"
@@ -126,7 +125,7 @@ def _member(source: _Source) -> tuple[bytes, int] | None:
 
     The checksum and length at the member's end are verified by zlib.
     """
-    unpack, out, used, seen = zlib.decompressobj(31), [], 0, 0
+    unpack, out, used, seen = zlib.decompressobj(31), [], 0, b""
     while not unpack.eof:
         if used == len(source.held) and not source.more():
             return None
@@ -136,9 +135,9 @@ def _member(source: _Source) -> tuple[bytes, int] | None:
         except zlib.error:
             return None
         used += len(part) - len(unpack.unused_data)
-        seen += len(got)
+        seen = seen if len(seen) >= 5 else seen + got[:5]
         out.append(got)
-        if seen >= 5 and not b"".join(out[:2])[:5] == b"WARC/" or seen >= HEADER_BYTES and b"\r\n\r\n" not in b"".join(out):
+        if len(seen) >= 5 and seen[:5] != b"WARC/":
             return None
     whole = b"".join(out)
     return (whole, used) if whole.startswith(b"WARC/") and b"\r\n\r\n" in whole else None
@@ -212,7 +211,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = scratch_path(spark, "warc")
     where = where if "://" in where else f"file://{where}"
     manifest = write_archive(table(spark, sf_dir, "pages"), where)
-    return read_archive(manifest, where).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = written(read_archive(manifest, where), "warc-records")
+    held, read = manifest.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n")).first()["n"], found.count()
+    if held != read:
+        raise ValueError(f"the archive holds {held} records, and {read} were read")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP3_SQL = r"""

@@ -54,6 +54,15 @@ def test_members_are_owned_once_whatever_the_ranges():
         assert got == payloads
 
 
+def test_long_headers_are_read():
+    r = random.Random(4)
+    urls = ["http://x/" + "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n)) for n in (3_000_000, 20, 200_000)]
+    raw = b"".join(record(k, u, b"payload", "D", None, False) for k, u in enumerate(urls))
+    for step in (500_000, len(raw)):
+        got = [parsed(m)[0]["warc-target-uri"] for a in range(0, len(raw), step) for _, m in members(io.BytesIO(raw), a, min(a + step, len(raw)))]
+        assert got == urls
+
+
 def test_empty_archive(spark):
     where = scratch_path(spark, "test-warc")
     assert read_archive(write_archive(spark.createDataFrame([], "page_id long, url string, html string"), where), where).collect() == []
