@@ -140,7 +140,7 @@ for _n, _f in {
     "m11_idw_fill": lambda g: K.fill(g, "idw_smooth"),
     "m12_nearest_fill": lambda g: K.fill(g, "nearest"),
     "m13_polynomial_fill": lambda g: K.fill(g, "poly"),
-    "m14_rbf_fill": lambda g: K.fill(g, "rbf", near=24),
+    "m14_rbf_fill": lambda g: K.fill(g, "rbf"),
     "m15_griddata_fill": lambda g: K.fill(g, "griddata"),
     "m17_gradient_integration": lambda g: K.poisson(*(lambda v: (v[1:] - v[:-1], v[:, 1:] - v[:, :-1], v[1:] * 0 + 1, v[:, 1:] * 0 + 1))(K.nearest_fill(g))),
     "m18_unwrap": lambda g: K.unwrap(K.np.angle(K.np.exp(1j * K.nearest_fill(g)))),

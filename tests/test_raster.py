@@ -281,3 +281,17 @@ def test_idw_reaches_over_the_whole_grid():
     a[3, 199] = 1.0
     assert abs(K.idw_fill(a)[3, 12] - (5 / 10 + 1 / 187) / (1 / 10 + 1 / 187)) < 1e-12
     assert np.isnan(K.idw_fill(a, 0, 64)[3, 100])
+
+
+def test_deep_holes_are_filled_in_full(spark, tmp_path):
+    y, x = np.indices(X.LAT_SHAPE)
+    field, hole = np.sin(y / 3.0) * np.cos(x / 4.0), np.zeros(X.LAT_SHAPE, bool)
+    hole[60:80, 20:40] = True
+    hole_tables(spark, tmp_path, field, hole)
+    known = np.where(hole, np.nan, field)
+    for name, column, want in (("w16_grow_medians", "v", K.local_fill(known, True)), ("m14_rbf_fill", "v", K.fill(known, "rbf", near=64))):
+        df = plans.QUERIES[name](spark, str(tmp_path)).toPandas()
+        cells = [c for c in ("i", "j", "row", "col") if c in df]
+        got = np.full(X.LAT_SHAPE, np.inf)
+        got[df[cells[0]], df[cells[1]]] = df[column]
+        assert np.allclose(got, want, atol=1e-3)
