@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .textkit import Spans, U
+from .textkit import U, eights
 
 #: Symbols of an index, ends of texts included, stay below 2**PLACE_BITS.
 PLACE_BITS = 21
@@ -70,13 +70,14 @@ class RunLengthIndex:
     def _extend(self, buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the longest common extension of the pairs of places, up to the ends of their texts."""
         room = np.minimum(self.ends[np.searchsorted(self.ends, a)] - a, self.ends[np.searchsorted(self.ends, b)] - b)
-        spans, out = Spans(buf), np.zeros(len(a), np.int64)
-        step = 1 << max(int(room.max(initial=0)).bit_length() - 1, 0)
-        while step:
-            k = np.flatnonzero(out + step <= room)
-            same = spans(a[k] + out[k], a[k] + out[k] + step) == spans(b[k] + out[k], b[k] + out[k] + step)
-            out[k[same]] += step
-            step >>= 1
+        at, out = eights(buf), np.zeros(len(a), np.int64)
+        live = np.flatnonzero(room > 0)
+        while len(live):
+            differ = at[a[live] + out[live]] ^ at[b[live] + out[live]]
+            # the lowest differing bit names the first differing byte
+            agree = np.where(differ == 0, 8, np.log2(np.maximum(differ & (~differ + U(1)), U(1)).astype(np.float64)).astype(np.int64) // 8)
+            out[live] = np.minimum(out[live] + agree, room[live])
+            live = live[(agree == 8) & (out[live] < room[live])]
         return out
 
     def matching_statistics(self) -> np.ndarray:

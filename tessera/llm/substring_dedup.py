@@ -8,9 +8,14 @@
 3. The distinct fragments of the other anchor strings are cut out and gathered, whole groups at a time, into run-length
    indexes of bounded size. An index streams matching statistics over its fragments and marks every place that matches
    LENGTH bytes elsewhere. Each window is in one fragment only, so a match is another occurrence.
-4. A group too large for one index is not gathered: blocks of its windows, and single windows at their borders, are
-   counted by hash, with partial sums.
+4. A group too large for one index is dealt anew: its fragments are cut into blocks of windows by their distance to the
+   anchor, and blocks whose windows can match, as they share the bytes common to all windows of the block, make smaller
+   groups, which have indexes of their own. Groups that are still too large are dealt by smaller blocks, down to one
+   window, so that no group of any size is gathered and every undecided match is decided by an index.
 5. Marked windows become byte ranges of documents; their union is removed.
+
+Passages of more than PASSAGE_WORDS words that stand in several documents can be shorter than LENGTH bytes; they are
+reported but not removed (see shared_passages).
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare, small, table, text_key, written
 from .runindex import RunLengthIndex
-from .textkit import Spans, U, pieces
+from .textkit import Rolling, Spans, U, mix, pieces, words
 
 LENGTH = 400
 K = 64
@@ -33,8 +38,10 @@ K = 64
 INDEX_BYTES = 1 << 20
 #: Bytes of a text that are searched for anchors at once; places take the low bits of a hash.
 PART = 1 << 20
-#: Numbers of windows of the blocks that large groups are counted by.
+#: Numbers of windows of the blocks that large groups are dealt by.
 BLOCKS = (64, 8, 1)
+#: Words that a shared passage has more than, and words of the strings that choose its anchors.
+PASSAGE_WORDS, ANCHOR_WORDS = 50, 8
 _PLACE_BITS = 22
 
 
@@ -54,10 +61,8 @@ def fragments(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
     if n < 1:
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(U), none.astype(U)
-    spans = Spans(buf)
-    starts = np.arange(len(buf) - k + 1)
-    hashes = spans(starts, starts + k)
-    keys = (hashes & ~U((1 << _PLACE_BITS) - 1)) | starts.astype(U)
+    hashes = Rolling(buf)(k)
+    keys = (hashes & ~U((1 << _PLACE_BITS) - 1)) | np.arange(len(hashes), dtype=U)
     anchor = (_least(keys, length - k + 1) & U((1 << _PLACE_BITS) - 1)).astype(np.int64)
     row = np.searchsorted(offsets, np.arange(n), "right") - 1
     valid = np.arange(n) + length <= offsets[row + 1]
@@ -68,7 +73,7 @@ def fragments(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
     a, r = anchor[where], row[where]
     cut = np.flatnonzero((a[1:] != a[:-1]) | (r[1:] != r[:-1]) | (where[1:] != where[:-1] + 1)) + 1
     lo, hi = where[np.concatenate([[0], cut])], where[np.concatenate([cut - 1, [len(where) - 1]])]
-    return row[lo], lo - offsets[row[lo]], hi - offsets[row[lo]], hashes[anchor[lo]], spans(lo, hi + length)
+    return row[lo], lo - offsets[row[lo]], hi - offsets[row[lo]], hashes[anchor[lo]], Spans(buf)(lo, hi + length)
 
 
 OCCURRENCE = "doc_id long, tk long, anchor long, fragment long, lo long, hi long"
@@ -146,69 +151,199 @@ def _indexed(length: int):
 NODE = "anchor long, fragment long, n long, doc_id long, tk long, low long, a long, b long, near long, far long, core long, span long"
 
 
+def _anchored(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray, int, int, int]]:
+    """(row, bytes of the rows around it, its begin and end, place of its anchor) of every fragment of a batch."""
+    keys = batch.column("anchor").to_numpy().view(U)
+    for x, y, buf, offsets in pieces(batch.column("bytes")):
+        grams = Rolling(buf)(k)
+        for i in range(x, y):
+            begin, end = int(offsets[i - x]), int(offsets[i - x + 1])
+            yield i, buf, begin, end, begin + int(np.flatnonzero(grams[begin : end - k + 1] == keys[i])[0])
+
+
 def _blocks(size: int, length: int, k: int):
     """Blocks of `size` neighbouring windows of fragments, by their distance to the anchor.
 
     low is the block's first distance; core hashes what all windows of a whole block share, and span all bytes of
     those that the fragment has, at distances near to far: bytes [a, b) of the document. Rows have the blocks of the
-    level above (of `within` windows) that are still open, or null for all.
+    level above (of `within` windows, with the times that they occur) that are still open, or null for all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("anchor").to_numpy().view(U)
-            at_doc, within = batch.column("lo").to_numpy(), batch.column("within").to_numpy()
-            for x, y, buf, offsets in pieces(batch.column("bytes")):
-                spans = Spans(buf)
-                rows, low, near, far, place = [], [], [], [], []
-                for i in range(x, y):
-                    begin, end = int(offsets[i - x]), int(offsets[i - x + 1])
-                    starts = np.arange(begin, end - k + 1)
-                    p = int(np.flatnonzero(spans(starts, starts + k) == keys[i])[0])
-                    least, most = p - (end - begin - length), p
-                    opened = batch.column("open")[i].as_py()
-                    lows = np.arange(least // size * size, most + 1, size) if opened is None else np.concatenate([np.arange(o, o + within[i], size) for o in sorted(set(opened))])
-                    lows = lows[(lows + size > least) & (lows <= most)]
-                    rows.append(np.full(len(lows), i))
-                    low.append(lows)
-                    near.append(np.maximum(lows, least))
-                    far.append(np.minimum(lows + size - 1, most))
-                    place.append(np.full(len(lows), begin + p))
-                rows, low, near, far, place = map(np.concatenate, (rows, low, near, far, place))
+            at_doc, within, counted = batch.column("lo").to_numpy(), batch.column("within").to_numpy(), batch.column("n").to_numpy()
+            held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+            buffers: dict[int, np.ndarray] = {}
+            for i, buf, begin, end, place in _anchored(batch, k):
+                least, most = place - begin - (end - begin - length), place - begin
+                opened = batch.column("open")[i].as_py()
+                if opened is None:
+                    lows = np.arange(least // size * size, most + 1, size)
+                    times = np.full(len(lows), counted[i])
+                else:
+                    lows = np.concatenate([np.arange(o["low"], o["low"] + within[i], size) for o in opened])
+                    times = np.repeat([o["times"] for o in opened], -(-within[i] // size))
+                ok = (lows + size > least) & (lows <= most)
+                lows, times = lows[ok], times[ok]
+                one = lambda v, n=len(lows): np.full(n, v)
+                held.setdefault(id(buf), []).append((one(i), lows, np.maximum(lows, least), np.minimum(lows + size - 1, most), one(place), one(begin), times))
+                buffers[id(buf)] = buf
+            for key, parts in held.items():
+                rows, low, near, far, place, begin, times = map(np.concatenate, zip(*parts, strict=True))
+                spans = Spans(buffers[key])
                 core = spans(place - low, place - low - size + 1 + length)
                 span = spans(place - far, place - near + length)
-                shift = at_doc[rows] - offsets[rows - x] + place
+                shift = at_doc[rows] - begin + place
                 take = pa.array(rows)
-                held = [batch.column(c).take(take) for c in ("anchor", "fragment", "n", "doc_id", "tk")]
-                yield pa.RecordBatch.from_arrays([*held, *map(pa.array, (low, shift - far, shift - near + length, near, far, core.view(np.int64), span.view(np.int64)))], names=[c.split()[0] for c in NODE.split(", ")])
+                own = {c: batch.column(c).take(take) for c in ("anchor", "fragment", "doc_id", "tk")}
+                columns = [own["anchor"], own["fragment"], times, own["doc_id"], own["tk"], low, shift - far, shift - near + length, near, far, core.view(np.int64), span.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in NODE.split(", ")])
+
+    return run
+
+
+def _block_cut(size: int, length: int, k: int):
+    """The bytes of the blocks that a row's list gives to an index, as fragments of the groups that share a core."""
+    names, types = [f.split()[0] for f in CUT.split(", ")], {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at_doc, rows = batch.column("lo").to_numpy(), []
+            for i, buf, begin, end, place in _anchored(batch, k):
+                least, most = place - begin - (end - begin - length), place - begin
+                for o in batch.column("open")[i].as_py():
+                    if not o["large"]:
+                        near, far = max(o["low"], least), min(o["low"] + size - 1, most)
+                        a, b = place - far, place - near + length
+                        rows.append((o["deal"], o["low"], o["times"], False, batch.column("doc_id")[i].as_py(), batch.column("tk")[i].as_py(), int(at_doc[i]) + a - begin, buf[a:b].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, types[f.split()[1]]) for x, f in zip(zip(*rows, strict=True), CUT.split(", "), strict=True)], names=names)
 
     return run
 
 
-def _counted(hot: DataFrame, length: int, k: int) -> DataFrame:
-    """Ranges of the fragments of large groups that occur once, by counts of block hashes.
+def _by_index(cut: DataFrame, length: int) -> DataFrame:
+    tasks = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut.repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(_indexed(length), RANGE)
+
 
-    A block whose span occurs twice is repeated as a whole; one whose core occurs once has no repeated window; the
-    others are cut into smaller blocks, down to single windows, where both are the window. No group is gathered.
+def _dealt(hot: DataFrame, length: int, k: int, index_bytes: int) -> DataFrame:
+    """Ranges of the fragments of large groups that occur once.
+
+    A block whose span occurs twice is repeated as a whole. Blocks that share their core make a group: one without any
+    other span has nothing left to decide, one of at most index_bytes goes into an index, and the blocks of larger ones
+    are cut into smaller blocks, down to single windows, whose core is their span. One row stands for equal blocks.
     """
     names = ("anchor", "fragment", "n", "doc_id", "tk", "lo", "bytes")
-    level, found = hot.select(*names, F.lit(None).cast("array<long>").alias("open"), F.lit(0).cast("long").alias("within")), None
+    level, found = hot.select(*names, F.lit(None).cast("array<struct<low:long,times:long>>").alias("open"), F.lit(0).cast("long").alias("within")), None
     for size in BLOCKS:
         nodes = written(level.mapInArrow(_blocks(size, length, k), NODE), "blocks")
         same = ["anchor", "low", "near", "far", "span"]
-        twice = nodes.groupBy(*same).agg(F.sum("n").alias("times")).where("times > 1").select(*same, F.lit(True).alias("done"))
-        nodes = nodes.join(twice.hint("shuffle_merge"), same, "left")
-        own = nodes.where("done and n = 1").select("doc_id", "tk", "a", "b")
+        kinds = written(nodes.groupBy(*same, "core").agg(F.sum("n").alias("times"), F.min("fragment").alias("fragment")), "kinds")
+        own = nodes.where("n = 1").join(kinds.where("times > 1").select(*same).hint("shuffle_merge"), same, "left_semi").select("doc_id", "tk", "a", "b")
         found = own if found is None else found.unionByName(own)
-        cores = nodes.groupBy("anchor", "low", "core").agg(F.sum("n").alias("times"), F.max(F.col("done").isNull() & (F.col("n") == 1)).alias("unsure")).where("times > 1 and unsure").select("anchor", "low", "core")
-        left = nodes.select("anchor", "fragment", "low", "core").join(cores.hint("shuffle_merge"), ["anchor", "low", "core"])
+        cores = kinds.groupBy("anchor", "low", "core").agg(F.count("*").alias("kinds"), F.max(F.col("times") == 1).alias("unsure"), F.sum(F.col("far") - F.col("near") + length + 1).alias("bytes")).where("kinds > 1 and unsure")
+        left = kinds.join(cores.hint("shuffle_merge"), ["anchor", "low", "core"])
+        entry = F.struct("low", "times", (F.col("bytes") > index_bytes).alias("large"), F.xxhash64("anchor", "low", "core").alias("deal"))
         # one row for a fragment, of at most as many blocks as it has
-        left = left.groupBy("anchor", "fragment").agg(F.collect_list("low").alias("open"))
-        level = hot.select(*names).join(left.hint("shuffle_merge"), ["anchor", "fragment"]).select(*names, "open", F.lit(size).cast("long").alias("within"))
+        left = left.select("anchor", "fragment", entry.alias("e")).groupBy("anchor", "fragment").agg(F.collect_list("e").alias("open"))
+        left = written(hot.select(*names).join(left.hint("shuffle_merge"), ["anchor", "fragment"]).select(*names, "open"), "open")
+        found = found.unionByName(_by_index(left.mapInArrow(_block_cut(size, length, k), CUT), length))
+        level = left.withColumn("open", F.expr("transform(filter(open, o -> o.large), o -> struct(o.low, o.times))")).where("size(open) > 0").withColumn("within", F.lit(size).cast("long"))
+        if level.isEmpty():
+            break
     return found
 
 
+PASSAGE = "d long, anchor long, fragment long, first long, n long"
+
+
+def _passages(words_most: int, k: int, listed: bool):
+    """Runs of windows of words_most + 1 words with one anchor: the hashes of the anchor and of the run's words.
+
+    The first window's first word and the number of windows place a run in its text. With `listed`, each row of the
+    input names the runs, and each window of them makes a row (d, anchor, window) with the hash of its words.
+    """
+    size = words_most + 1
+    multiply = U(0x9E3779B97F4A7C15)
+
+    def rolled(h: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of all strings of n words, from those of 1, 2, 4, ... words."""
+        m = max(len(h) - n + 1, 0)
+        out, level, width, at = None, h, 1, 0
+        while n and m:
+            if n & 1:
+                part = level[at : at + m]
+                out, at = part if out is None else mix(out * multiply + part), at + width
+            n >>= 1
+            if n:
+                level, width = mix(level[:-width] * multiply + level[width:]), 2 * width
+        return np.zeros(0, U) if out is None else out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("d").to_numpy()
+            for a, b, buf, offsets in pieces(batch.column("text")):
+                start, end, first = words(buf, offsets)
+                if len(start) < size:
+                    continue
+                h = Spans(buf)(start, end)
+                windows = rolled(h, size)
+                if listed:
+                    for i in range(a, b):
+                        cuts = batch.column("runs")[i].as_py()
+                        at = [np.arange(c["first"], c["first"] + c["n"]) + first[i - a] for c in cuts]
+                        anchor = np.repeat(np.array([c["anchor"] for c in cuts], np.int64), [len(x) for x in at])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(anchor), ids[i])), pa.array(anchor), pa.array(windows[np.concatenate(at)].view(np.int64))], names=["d", "anchor", "window"])
+                    continue
+                grams = rolled(h, k)
+                for at in range(0, len(windows), 1 << _PLACE_BITS - 1):
+                    part = grams[at : at + (1 << _PLACE_BITS - 1) + size - k]
+                    keys = (part & ~U((1 << _PLACE_BITS) - 1)) | np.arange(len(part), dtype=U)
+                    anchor = (_least(keys, size - k + 1) & U((1 << _PLACE_BITS) - 1)).astype(np.int64) + at
+                    window = np.arange(at, at + len(anchor))
+                    row = np.searchsorted(first, window, "right") - 1
+                    ok = window + size <= first[row + 1]
+                    if not ok.any():
+                        continue
+                    window, anchor, row = window[ok], anchor[ok], row[ok]
+                    cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | (window[1:] != window[:-1] + 1)) + 1
+                    lo, hi = window[np.concatenate([[0], cut])], window[np.concatenate([cut - 1, [len(window) - 1]])]
+                    r, where = row[np.concatenate([[0], cut])], anchor[np.concatenate([[0], cut])]
+                    fragment = mix(windows[lo] * multiply + mix(windows[hi] + (hi - lo).astype(U)))
+                    columns = (ids[r + a], grams[where].view(np.int64), fragment.view(np.int64), lo - first[r], hi - lo + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in PASSAGE.split(", ")])
+
+    return run
+
+
+def shared_passages(texts: DataFrame, words_most: int = PASSAGE_WORDS, k: int = ANCHOR_WORDS) -> DataFrame:
+    """(d) of the texts (d, text) that share a run of more than words_most words with one of another d.
+
+    Every window of words_most + 1 words belongs to the run of windows that share its anchor, the leftmost of its
+    k-word strings with the least hash. Runs are counted by anchor: those of anchors in one text have nothing to share,
+    and runs that stand in two texts as a whole decide both. Of the other runs the single windows are counted.
+    """
+    runs = written(texts.mapInArrow(_passages(words_most, k, False), PASSAGE), "passages")
+    spread = [F.min("d").alias("least"), F.max("d").alias("most")]
+    kinds = runs.groupBy("anchor", "fragment").agg(*spread)
+    anchors = kinds.groupBy("anchor").agg(F.min("least").alias("x"), F.max("most").alias("y"), F.count("*").alias("kinds")).where("x < y").select("anchor", "kinds")
+    met = written(runs.join(anchors.hint("shuffle_merge"), "anchor"), "met")
+    whole = met.groupBy("anchor", "fragment").agg(*spread).where("least < most").select("anchor", "fragment")
+    sure = written(met.join(whole.hint("shuffle_merge"), ["anchor", "fragment"], "left_semi").select("d").distinct(), "sure")
+    # undecided texts and whatever shares an anchor with them
+    open_anchors = met.where("kinds > 1").join(sure.hint("shuffle_merge"), "d", "left_anti").select("anchor").distinct()
+    # one row for a text, of at most as many runs as it has
+    named = met.where("kinds > 1").join(open_anchors.hint("shuffle_merge"), "anchor", "left_semi").groupBy("d").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("runs"))
+    windows = texts.join(named.hint("shuffle_merge"), "d").mapInArrow(_passages(words_most, k, True), "d long, anchor long, window long")
+    windows = written(windows.distinct(), "passage-windows")
+    twice = windows.groupBy("anchor", "window").agg(*spread).where("least < most").select("anchor", "window")
+    return sure.unionByName(windows.join(twice.hint("shuffle_merge"), ["anchor", "window"], "left_semi").select("d")).distinct()
+
+
 def _kept(n_keep: int):
+    """Sizes, hash and bytes of what the ranges leave, between the kept columns and the last one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -230,16 +365,17 @@ def _kept(n_keep: int):
                 out.append((len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *columns], names=[*batch.schema.names[:n_keep], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *columns, batch.column("shared_passage")], names=[*batch.schema.names[:n_keep], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "shared_passage"])
 
     return run
 
 
 def repeats_removed(docs: DataFrame, length: int = LENGTH, k: int = K, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes) of every row of docs (doc_id, text, ...).
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes, shared_passage) of every row of docs (doc_id, text, ...).
 
     Every byte inside a string of `length` bytes that also starts anywhere else, in the same document or another, is
-    removed; null texts are empty. Rows that repeat each other repeat all their strings. A null doc_id is a document
+    removed; null texts are empty. shared_passage tells whether a run of more than PASSAGE_WORDS words, of whatever
+    length in bytes, also stands in a document of another id or text; it removes nothing. Rows that repeat each other repeat all their strings. A null doc_id is a document
     like any other. Texts shorter than `length` lose nothing. Other columns are ignored; no rows give no rows.
     """
     spark = docs.sparkSession
@@ -259,15 +395,18 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, k: int = K, index_byt
     cut = texts.join(cuts.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("tk") == F.col("c_tk"))).select("doc_id", "tk", "text", "cuts").mapInArrow(_cut(length), CUT)
     # rows that repeat a document would cut its fragments again
     cut = written(cut.dropDuplicates(["anchor", "fragment"]), "fragments")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    indexed = cut.where("not hot").repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(_indexed(length), RANGE)
     hot = cut.where("hot")
-    ranges = whole.unionByName(indexed)
+    ranges = whole.unionByName(_by_index(cut.where("not hot"), length))
     if not hot.isEmpty():
-        ranges = ranges.unionByName(_counted(hot, length, k))
+        ranges = ranges.unionByName(_dealt(hot, length, k, index_bytes))
     ranges = ranges.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("a", "b")).alias("ranges")).withColumnsRenamed({"doc_id": "r_id", "tk": "r_tk"})
-    out = rows.join(ranges.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("tk") == F.col("r_tk")), "left")
-    return out.select("doc_id", "text", "ranges").mapInArrow(_kept(1), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
+    keyed = rows.withColumn("d", F.xxhash64("doc_id", "tk"))
+    shared = shared_passages(keyed.select("d", "text")).withColumn("shared", F.lit(True))
+    marks = ranges.withColumn("d", F.xxhash64("r_id", "r_tk")).join(shared.hint("shuffle_merge"), "d", "full_outer").withColumnRenamed("d", "r_d")
+    own = F.col("r_tk").isNull() | (F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("tk") == F.col("r_tk")))
+    out = keyed.join(marks.hint("shuffle_merge"), (F.col("d") == F.col("r_d")) & own, "left")
+    out = out.select("doc_id", "text", "ranges", F.coalesce("shared", F.lit(False)).alias("shared_passage"))
+    return out.mapInArrow(_kept(1), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary, shared_passage boolean")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

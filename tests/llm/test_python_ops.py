@@ -97,7 +97,18 @@ def brute_repeats(rows, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize("index_bytes", [1 << 20, 1500])
+def brute_passages(rows, most):
+    """The (doc_id, text) pairs that share more than `most` words in a row with another pair."""
+    seen = {}
+    pairs = {(i, t) for i, t, _ in rows}
+    for i, t in pairs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        for k in range(len(w) - most):
+            seen.setdefault(tuple(w[k : k + most + 1]), set()).add((i, t))
+    return {p for ps in seen.values() if len(ps) > 1 for p in ps}
+
+
+@pytest.mark.parametrize("index_bytes", [1 << 20, 1500, 300])
 def test_repeats_against_brute_force(made, corpus, index_bytes):
     rows = [(i, (t or "")[:4000] if t else t, s) for i, t, s in corpus]
     out = repeats_removed(made(rows).withColumnRenamed("lang", "n_bytes"), 100, 20, index_bytes).collect()
@@ -105,6 +116,43 @@ def test_repeats_against_brute_force(made, corpus, index_bytes):
     assert repeats_removed(made([])).collect() == []
 
 
+def test_shared_passages_against_brute_force(made, corpus):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 5)))
+    passage = [" ".join(word() for _ in range(n)) for n in (50, 51, 55)]
+    rows = [*corpus, *[(100 + k, " ".join([*(word() for _ in range(r.randint(0, 90))), passage[k % 3], *(word() for _ in range(r.randint(0, 90)))]), "s1") for k in range(12)]]
+    rows += [(200, " ".join([passage[1]] * 3), "s1"), (201, " ".join(["x" + word() for _ in range(30)] * 9), "s1")]
+    found = {(r.doc_id, r.n_bytes) for r in repeats_removed(made(rows)).where("shared_passage").collect()}
+    assert found == {(i, len(t.encode())) for i, t in brute_passages(rows, 50)}
+    assert {i for i, _ in found} >= {101, 102, 104, 200} and not {i for i, _ in found} & {100, 103, 201}
+
+
+def test_regular_strings_are_told_apart():
+    """Thue-Morse words collide under any polynomial hash modulo a power of two."""
+    from tessera.llm.near_dedup import shingle_sets
+    from tessera.llm.textkit import Spans
+
+    for bits in (10, 11, 12):
+        a = bytes(97 + k.bit_count() % 2 for k in range(1 << bits))
+        b = a.translate(bytes.maketrans(b"ab", b"ba"))
+        buf = np.frombuffer(a + b, np.uint8)
+        h = Spans(buf)(np.array([0, len(a)]), np.array([len(a), 2 * len(a)]))
+        assert h[0] != h[1]
+        assert counts(pa.array([f"{a.decode()}\n{b.decode()}"])).tolist()[0][3] == 0
+        x, y = shingle_sets(pa.array([a.decode(), b.decode()]), 2)
+        assert x[0] != y[0]
+        assert not RunLengthIndex([a[:600] + b"1", b[:600] + b"2"]).repeated_starts(500)[0]
+
+
+@pytest.mark.parametrize("length", [1024, 2048])
+def test_regular_strings_stay(made, length):
+    a = "".join("ab"[k.bit_count() % 2] for k in range(length))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a + " x", "s"), (2, b + " y", "s"), (3, "z " + a + " x", "s")]
+    out = repeats_removed(made(rows), 900, 64).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept_bytes)) for r in out) == brute_repeats(rows, 900)
+
+
 def test_token_counts(made, corpus):
     path = default_path("word_bpe_49k.json")
     rows = [*corpus, (70, "<|endoftext|> it's <|startoftext|>x " * 3000, "s"), (71, "é " * 50_000 + "a" * 70_000, "s"), (72, "A ́b é   c " * 20_000, "s")]
