@@ -16,30 +16,39 @@ from .textkit import U, eights
 PLACE_BITS = 21
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Places in the order of their suffixes, by prefix doubling; symbols are below 2**PLACE_BITS, and the last is unique."""
-    n = len(symbols)
+#: Symbols that the first sort of a suffix array looks at, nine bits each.
+FIRST = 7
+
+
+def suffix_array(buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places in the order of their suffixes, by prefix doubling from FIRST bytes on.
+
+    buf has fewer than 2**PLACE_BITS bytes. The byte at each of the ends, of which the last closes buf, counts as a
+    symbol of its own below all bytes, and earlier ends are less.
+    """
+    n = len(buf)
     place = np.arange(n, dtype=U)
     bits = U(PLACE_BITS)
-
-    def ranked(high, low):
-        keys = np.sort((high.astype(U) << (bits + bits)) | (low.astype(U) << bits) | place)
+    room = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
+    symbols = np.concatenate([buf.astype(U) + U(1), np.zeros(FIRST, U)])
+    keys = np.zeros(n, U)
+    for j in range(FIRST):
+        keys |= np.where(room > j, symbols[j : j + n], U(0)) << U(9 * (FIRST - 1 - j))
+    # of suffixes that end alike the one of the earlier text comes first
+    order = np.argsort(keys, kind="stable")
+    sorted_keys = keys[order]
+    fresh = np.concatenate([[0], (sorted_keys[1:] != sorted_keys[:-1]) | (room[order[1:]] < FIRST)]).astype(np.int64)
+    rank, count, h = np.empty(n, np.int64), int(fresh.sum()) + 1, FIRST
+    rank[order] = np.cumsum(fresh)
+    while count < n:
+        # past the end counts as least, which the last end, a symbol of its own, makes harmless
+        low = np.concatenate([rank[h:], np.zeros(min(h, n), np.int64)])[:n]
+        keys = np.sort((rank.astype(U) << (bits + bits)) | (low.astype(U) << bits) | place)
         order = (keys & U((1 << PLACE_BITS) - 1)).astype(np.int64)
         pair = keys >> bits
         fresh = np.concatenate([[0], (pair[1:] != pair[:-1]).astype(np.int64)])
-        rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(fresh)
-        return order, rank, int(fresh.sum()) + 1
-
-    def shifted(rank, h):
-        # past the end counts as least, which the unique last symbol makes harmless
-        return np.concatenate([rank[h:], np.zeros(min(h, n), np.int64)])[:n]
-
-    h = 1
-    order, rank, count = ranked(symbols, np.zeros(n, np.int64))
-    while count < n:
-        order, rank, count = ranked(rank, shifted(rank, h))
-        h *= 2
+        count, h = int(fresh.sum()) + 1, 2 * h
     return order
 
 
@@ -54,7 +63,7 @@ class RunLengthIndex:
         symbols = buf.astype(np.int64) + self.n_texts
         # every end is a symbol of its own, so no match runs past it
         symbols[self.ends] = np.arange(self.n_texts)
-        order = suffix_array(symbols) if self.size else np.zeros(0, np.int64)
+        order = suffix_array(buf, self.ends) if self.size else np.zeros(0, np.int64)
         bwt = symbols[order - 1]
         border = np.flatnonzero(bwt[1:] != bwt[:-1]) + 1
         self.run_start = np.concatenate([[0], border]) if self.size else border

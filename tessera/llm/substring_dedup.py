@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, small, table, text_key, written
+from .common import dropped, prepare, small, table, text_key, written
 from .runindex import RunLengthIndex
 from .textkit import Rolling, Spans, U, mix, pieces, words
 
@@ -325,19 +325,22 @@ def shared_passages(texts: DataFrame, words_most: int = PASSAGE_WORDS, k: int =
     and runs that stand in two texts as a whole decide both. Of the other runs the single windows are counted.
     """
     runs = written(texts.mapInArrow(_passages(words_most, k, False), PASSAGE), "passages")
-    spread = [F.min("d").alias("least"), F.max("d").alias("most")]
-    kinds = runs.groupBy("anchor", "fragment").agg(*spread)
-    anchors = kinds.groupBy("anchor").agg(F.min("least").alias("x"), F.max("most").alias("y"), F.count("*").alias("kinds")).where("x < y").select("anchor", "kinds")
-    met = written(runs.join(anchors.hint("shuffle_merge"), "anchor"), "met")
-    whole = met.groupBy("anchor", "fragment").agg(*spread).where("least < most").select("anchor", "fragment")
+    anchors = written(runs.groupBy("anchor").agg(F.min("d").alias("x"), F.max("d").alias("y")).where("x < y").select("anchor"), "passage-anchors")
+    met = written(runs.join(small(anchors, anchors.count()), "anchor"), "met")
+    dropped(runs)
+    # one text stands for all that have a run
+    kinds = written(met.groupBy("anchor", "fragment").agg(F.min(F.struct("d", "first", "n")).alias("rep"), F.max("d").alias("most")), "passage-kinds")
+    whole = kinds.where("rep.d < most").select("anchor", "fragment")
     sure = written(met.join(whole.hint("shuffle_merge"), ["anchor", "fragment"], "left_semi").select("d").distinct(), "sure")
-    # undecided texts and whatever shares an anchor with them
-    open_anchors = met.where("kinds > 1").join(sure.hint("shuffle_merge"), "d", "left_anti").select("anchor").distinct()
+    # anchors of undecided texts, and the runs that share them
+    unsure = written(met.join(small(sure, sure.count()), "d", "left_anti").select("anchor").distinct(), "unsure")
+    named = kinds.join(small(unsure, unsure.count()), "anchor", "left_semi").select("rep.d", F.struct("anchor", "rep.first", "rep.n").alias("run"))
+    wanted = named.select("d").distinct()
     # one row for a text, of at most as many runs as it has
-    named = met.where("kinds > 1").join(open_anchors.hint("shuffle_merge"), "anchor", "left_semi").groupBy("d").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("runs"))
-    windows = texts.join(named.hint("shuffle_merge"), "d").mapInArrow(_passages(words_most, k, True), "d long, anchor long, window long")
-    windows = written(windows.distinct(), "passage-windows")
-    twice = windows.groupBy("anchor", "window").agg(*spread).where("least < most").select("anchor", "window")
+    named = named.groupBy("d").agg(F.collect_list("run").alias("runs"))
+    read = texts.join(small(wanted, wanted.count()), "d", "left_semi").join(named.hint("shuffle_merge"), "d")
+    windows = written(read.mapInArrow(_passages(words_most, k, True), "d long, anchor long, window long"), "passage-windows")
+    twice = windows.groupBy("anchor", "window").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select("anchor", "window")
     return sure.unionByName(windows.join(twice.hint("shuffle_merge"), ["anchor", "window"], "left_semi").select("d")).distinct()
 
 
@@ -400,6 +403,9 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, k: int = K, index_byt
     if not hot.isEmpty():
         ranges = ranges.unionByName(_dealt(hot, length, k, index_bytes))
     ranges = ranges.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("a", "b")).alias("ranges")).withColumnsRenamed({"doc_id": "r_id", "tk": "r_tk"})
+    ranges = written(ranges, "ranges")
+    for done in (occ, groups, cut):
+        dropped(done)
     keyed = rows.withColumn("d", F.xxhash64("doc_id", "tk"))
     shared = shared_passages(keyed.select("d", "text")).withColumn("shared", F.lit(True))
     marks = ranges.withColumn("d", F.xxhash64("r_id", "r_tk")).join(shared.hint("shuffle_merge"), "d", "full_outer").withColumnRenamed("d", "r_d")
