@@ -1,8 +1,9 @@
 """Quality rules with host-level verdicts.
 
-Document rules are counted in one pass over the texts. Failures are then summed by host (here: source), each host's
-failure rate is shrunk towards all hosts by a beta prior fitted to the hosts' rates, and hosts whose shrunk rate
-exceeds a limit are rejected with all their documents.
+Document rules are counted in one pass over the texts. Failures are then summed by host (here: source) and each host's
+failure rate is shrunk towards the other hosts by a beta prior fitted to their rates. A host is rejected with all its
+documents if its shrunk rate lies beyond what that prior holds likely: DEVIATIONS standard deviations above its mean,
+and at least RATIO times the mean; above MAX_HOST_RATE it is rejected in any case.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ MAX_REPEAT_PERCENT = 50
 #: A document also counts as a failure of its host with more symbols for a hundred words, or more repeated lines, than this.
 MAX_SYMBOL_PERCENT = 50
 MAX_DUP_LINES = 50
-#: Hosts are rejected above this shrunk rate of failed documents.
+#: Hosts are rejected beyond this many standard deviations of the prior above its mean and this multiple of the mean.
+DEVIATIONS, RATIO = 3.0, 1.5
+#: Hosts are rejected above this shrunk rate of failed documents, whatever the others do.
 MAX_HOST_RATE = 0.6
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -83,40 +86,47 @@ def rule_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     return out.withColumn("base_failed", base).withColumn("failed", base | more)
 
 
-def host_rates(hosts: DataFrame) -> DataFrame:
-    """hosts (host, n, k) with rate = (k + alpha) / (n + alpha + beta), by a beta prior fitted to the hosts' rates.
+def host_rates(hosts: DataFrame, max_rate: float = MAX_HOST_RATE, deviations: float = DEVIATIONS, ratio: float = RATIO) -> DataFrame:
+    """hosts (host, n, k) with rate = (k + alpha) / (n + alpha + beta) and limit, by a beta prior fitted to the other hosts.
 
-    The prior's mean m is that of all documents; its weight alpha + beta comes from the variance of the hosts' rates
-    around m, weighted by documents, less what sampling alone would give: m (1 - m) / variance - 1. Without any excess
-    variance the weight is that of all documents, so every host gets the common rate.
+    The prior's mean m is that of all documents of other hosts; its weight alpha + beta comes from the variance of their
+    rates around m, weighted by documents, less what sampling alone would give: m (1 - m) / variance - 1. It is at most
+    the mean number of documents of the other hosts, as they show no more of how hosts differ. Its variance is m (1 - m) / (weight + 1), and the limit is
+    max(ratio * m, m + deviations * sqrt(variance)), at most max_rate. A host without others keeps its own rate and has
+    the limit max_rate.
     """
     sums = hosts.agg(F.sum("k").alias("sk"), F.sum("n").alias("sn"), F.count("*").alias("hosts"), F.sum(F.col("k") * F.col("k") / F.col("n")).alias("skk"))
-    prior = sums.withColumn("m", F.try_divide("sk", "sn")).withColumn("between", F.try_divide(F.col("skk"), F.col("sn")) - F.col("m") * F.col("m"))
-    prior = prior.withColumn("excess", F.col("between") - F.col("hosts") * F.col("m") * (1 - F.col("m")) / F.col("sn"))
-    prior = prior.withColumn("weight", F.when(F.col("excess") > 1e-12, F.greatest(F.col("m") * (1 - F.col("m")) / F.col("excess") - 1, F.lit(0.0))).otherwise(F.col("sn").cast("double")))
     # one row
-    return hosts.crossJoin(F.broadcast(prior.select("m", "weight"))).withColumn("rate", (F.col("k") + F.col("m") * F.col("weight")) / (F.col("n") + F.col("weight"))).drop("m", "weight")
+    own = hosts.crossJoin(F.broadcast(sums)).withColumn("on", F.col("sn") - F.col("n")).withColumn("m", F.coalesce(F.try_divide(F.col("sk") - F.col("k"), F.col("on")), F.lit(0.0)))
+    own = own.withColumn("between", F.try_divide(F.col("skk") - F.col("k") * F.col("k") / F.col("n"), F.col("on")) - F.col("m") * F.col("m")).withColumn("noise", F.col("m") * (1 - F.col("m")))
+    own = own.withColumn("each", F.coalesce(F.try_divide("on", F.col("hosts") - 1), F.lit(0.0)))
+    own = own.withColumn("excess", F.col("between") - F.try_divide((F.col("hosts") - 1) * F.col("noise"), F.col("on")))
+    own = own.withColumn("weight", F.when(F.col("excess") > 1e-12, F.least(F.greatest(F.col("noise") / F.col("excess") - 1, F.lit(0.0)), F.col("each"))).otherwise(F.col("each")))
+    limit = F.greatest(ratio * F.col("m"), F.col("m") + deviations * F.sqrt(F.col("noise") / (F.col("weight") + 1)))
+    limit = F.when(F.col("on") > 0, F.least(limit, F.lit(max_rate))).otherwise(F.lit(max_rate))
+    return own.select(*hosts.columns, ((F.col("k") + F.col("m") * F.col("weight")) / (F.col("n") + F.col("weight"))).alias("rate"), limit.alias("limit"))
 
 
 def verdicts(docs: DataFrame, keep: list[str] | None = None, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The kept columns of docs with COUNTS, base_failed, host_rate and kept.
+    """The kept columns of docs with COUNTS, base_failed, host_rate, host_limit and kept.
 
     Null and empty texts have no words, so they fail. A null host is a host of its own. Kept columns named as a result,
-    failed or qr_host are dropped. Rows that repeat others count again. No rows give no rows. The counts are written once by hosts and
-    read for the rows, which stay whole: a host of any share of the rows is summed in part before the shuffle and
-    joined as one row.
+    failed or qr_host are dropped. Rows that repeat others count again. No rows give no rows. The counts are written once
+    with the kept columns, and read by hosts and for the rows, which stay whole: a host of any share of the rows is
+    summed in part before the shuffle and joined as one row.
     """
-    names = [c for c in (docs.columns if keep is None else keep) if c not in (*COUNTS, "base_failed", "failed", "host_rate", "kept", "qr_host")]
-    rows = rule_counts(docs.withColumn("qr_host", F.col(host)), [*names, "qr_host"])
-    hosts = rule_counts(docs.withColumn("qr_host", F.col(host)), ["qr_host"]).groupBy("qr_host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("k"))
-    rates = written(host_rates(hosts).select(F.col("qr_host").alias("h_host"), F.col("rate").alias("host_rate")), "host-rates")
+    results = (*COUNTS, "base_failed", "failed", "host_rate", "host_limit", "kept", "qr_host")
+    names = [c for c in (docs.columns if keep is None else keep) if c not in results]
+    rows = written(rule_counts(docs.withColumn("qr_host", F.col(host)), [*names, "qr_host"]), "rule-counts")
+    hosts = rows.groupBy("qr_host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("k"))
+    rates = written(host_rates(hosts, max_rate).select(F.col("qr_host").alias("h_host"), F.col("rate").alias("host_rate"), F.col("limit").alias("host_limit")), "host-rates")
     out = rows.join(small(rates, rates.count()), F.col("qr_host").eqNullSafe(F.col("h_host")))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_rate)).select(*names, *COUNTS, "base_failed", "host_rate", "kept")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= F.col("host_limit"))).select(*names, *COUNTS, "base_failed", "host_rate", "host_limit", "kept")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return verdicts(docs, keep=["doc_id"]).drop("host_rate")
+    return verdicts(docs, keep=["doc_id"]).drop("host_rate", "host_limit")
 
 
 OP8_SQL = r"""
@@ -131,9 +141,11 @@ c AS (SELECT d.doc_id, d.source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 50 * n_words OR n_dup_lines > 50 AS failed FROM c),
 hs AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE failed) AS k FROM f GROUP BY source),
-p AS (SELECT sum(k) / sum(n) AS m, sum(n) AS sn, sum(k * k / n) / sum(n) - pow(sum(k) / sum(n), 2) - count(*) * (sum(k) / sum(n)) * (1 - sum(k) / sum(n)) / sum(n) AS excess FROM hs),
-pw AS (SELECT m, CASE WHEN excess > 1e-12 THEN greatest(m * (1 - m) / excess - 1, 0) ELSE sn END AS wt FROM p),
-hr AS (SELECT source, (k + m * wt) / (n + wt) AS rate FROM hs, pw)
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.6 AS kept
+hall AS (SELECT sum(k) AS sk, sum(n) AS sn, count(*) AS hosts, sum(k * k / n) AS skk FROM hs),
+o AS (SELECT source, n, k, hosts, sn - n AS rest, skk - k * k / n AS others, CASE WHEN sn > n THEN (sk - k) / (sn - n) ELSE 0 END AS m FROM hs, hall),
+e AS (SELECT *, CASE WHEN rest > 0 THEN others / rest - m * m - (hosts - 1) * m * (1 - m) / rest END AS excess FROM o),
+pw AS (SELECT *, CASE WHEN excess > 1e-12 THEN least(greatest(m * (1 - m) / excess - 1, 0), rest / (hosts - 1)) WHEN rest > 0 THEN rest / (hosts - 1) ELSE 0 END AS wt FROM e),
+hr AS (SELECT source, (k + m * wt) / (n + wt) AS rate, CASE WHEN rest > 0 THEN least(greatest(1.5 * m, m + 3 * sqrt(m * (1 - m) / (wt + 1))), 0.6) ELSE 0.6 END AS most FROM pw)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= most AS kept
 FROM f JOIN hr ON f.source IS NOT DISTINCT FROM hr.source
 """

@@ -14,7 +14,7 @@ import pytest
 
 from tessera.llm import pii, pii_model, toxicity
 from tessera.llm.common import scratch_path
-from tessera.llm.quality import counts, verdicts
+from tessera.llm.quality import counts, host_rates, verdicts
 from tessera.llm.runindex import RunLengthIndex
 from tessera.llm.substring_dedup import repeats_removed
 from tessera.llm.token_counts import _counter, default_path, split_safely, token_counts
@@ -185,6 +185,27 @@ def test_hosts_are_rejected_by_shrunk_rates(made):
     assert verdicts(made([])).collect() == []
 
 
+def test_host_limits_come_from_the_other_hosts(spark):
+    """Hosts that fail at about the same rate stay; one far beyond the others goes, long before most of it fails."""
+    like = [(f"h{i}", 1000, 90 + 3 * (i % 10)) for i in range(20)]
+    rates = lambda rows: {r.host: r for r in host_rates(spark.createDataFrame(rows, "host string, n long, k long")).collect()}
+    same = rates(like)
+    assert all(r.rate <= r.limit < 0.3 for r in same.values())
+    odd = rates([*like, ("odd", 1000, 300), ("few", 2, 2)])
+    assert odd["odd"].rate > odd["odd"].limit and odd["few"].rate < odd["few"].limit
+    assert all(r.rate <= r.limit for h, r in odd.items() if h != "odd")
+    alone = rates([("one", 10, 7)])["one"]
+    assert alone.rate == 0.7 and alone.limit == 0.6
+
+
+def test_bad_host_loses_its_good_documents(made):
+    good = lambda i: " ".join(f"word{k}x{i}" for k in range(60))
+    rows = [(1000 * h + i, "short" if i % 10 == 0 or (h == 7 and i % 2) else good(i), f"h{h}") for h in range(8) for i in range(100)]
+    out = verdicts(made(rows)).collect()
+    assert {r.source for r in out if not r.kept and not r.base_failed} == {"h7"}
+    assert not any(r.kept for r in out if r.source == "h7")
+
+
 def test_toxicity_is_learnt(spark, made):
     r = random.Random(3)
     word = lambda: "".join(r.choice(["ta", "lo", "mi", "re", "su"]) for _ in range(3))
