@@ -1,13 +1,20 @@
-"""Token counts by batch encoding in Arrow functions that return lengths only."""
+"""Token counts by batch encoding in Arrow functions that return lengths only.
+
+Where a text may be cut is read from the tokenizer itself, never from its name (see cutting). Texts are cut there, the
+parts are encoded in batches of about equal bytes, and the numbers of tokens are summed up by text.
+"""
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +27,9 @@ SPLIT_BYTES = 1 << 16
 #: Pieces whose token numbers a worker keeps, as a power of two.
 CACHE_BITS = 20
 LIMIT = 2048
+_WHITE = " \t\n\v\f\r"
+_SAFE = re.compile(rb"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def default_path(name: str) -> str:
@@ -45,27 +55,59 @@ def _counter(path: str):
     return lambda texts: [len(e) for e in model.encode(texts, num_threads=1)]
 
 
-def _drops_space(path: str) -> bool:
-    """Whether white space makes no token, so that a text may be cut there: true of the word-level vocabularies."""
-    return os.path.basename(path).startswith("word_")
+def _steps(part: dict | None, inner: str) -> list[dict]:
+    """The steps of a normaliser or pre-tokenizer, which may be none, one or a sequence."""
+    if part is None:
+        return []
+    return [x for p in part[inner] for x in _steps(p, inner)] if part["type"] == "Sequence" else [part]
+
+
+def _json_cutting(made: dict) -> str | None:
+    normal, split = _steps(made.get("normalizer"), "normalizers"), _steps(made.get("pre_tokenizer"), "pretokenizers")
+    if any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in made.get("added_tokens", [])) or not split:
+        return None
+    # steps that change no character together with a white space
+    local = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"].get("Regex") == r"\s+" and n["content"] == " " for n in normal)
+    first = split[0]
+    if local and first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and (pattern := first["pattern"].get("Regex")):
+        probe = "".join(x + w + y for w in _WHITE for x in "a1'.é" for y in "s1'.é") + _WHITE
+        if not any(re.search(r"\s", m[0]) for m in regex.finditer(pattern, probe)):
+            return "white"
+    if not normal and len(split) == 1 and first["type"] == "ByteLevel" and first["use_regex"] and not first["add_prefix_space"]:
+        return "before"
+    return None
+
+
+@lru_cache(maxsize=4)
+def cutting(path: str) -> str | None:
+    """Where a text may be cut without changing its number of tokens.
+
+    `white`: at any white space, as it makes no token: the pre-tokenizer keeps only what a pattern matches, and that holds
+    none. `before`: before a space between two letters or digits of ASCII, as the byte-level pattern begins a token there.
+    `drop`: in its place, as a model without any piece that goes on after a word mark gives each part the mark that
+    stands for the space. None: nowhere; such texts are encoded whole.
+    """
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as f:
+            return _json_cutting(json.load(f))
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=path)
+    mark = "\u2581"
+    apart = not any(mark in model.id_to_piece(k).lstrip(mark) for k in range(model.get_piece_size()))
+    probe = ["ab cd", "x 1", "7 seven"]
+    return "drop" if apart and all(model.encode(t) == [i for p in t.split(" ") for i in model.encode(p)] for t in probe) else None
 
 
-def split_safely(text: bytes, limit: int = SPLIT_BYTES) -> list[bytes]:
-    """Parts of a text that are encoded independently: each ends with a space and the next begins with A-Z, a-z or 0-9.
+def split_safely(text: bytes, how: str | None, limit: int = SPLIT_BYTES) -> list[bytes]:
+    """Parts of a text of about `limit` bytes or more whose token numbers add up to those of the text (see cutting).
 
-    The tokenizer drops white space, normalises no character together with a space, and no word, contraction or
-    special token holds one, so the parts' tokens are those of the whole. Where no such place follows, the rest stays
-    whole.
+    Where no place to cut follows, the rest stays whole.
     """
     parts, at = [], 0
-    while len(text) - at > limit:
-        space = text.find(b" ", at + limit)
-        while space >= 0 and not (space + 1 < len(text) and text[space + 1 : space + 2].isalnum()):
-            space = text.find(b" ", space + 1)
-        if space < 0:
-            break
-        parts.append(text[at : space + 1])
-        at = space + 1
+    while how and len(text) - at > limit and (found := (_GAP if how == "white" else _SAFE).search(text, at + limit)):
+        parts.append(text[at : found.start()])
+        at = found.start() if how == "before" else found.end()
     return [*parts, text[at:]]
 
 
@@ -74,11 +116,10 @@ def _counts(path: str, n_keep: int):
 
     Where white space makes no token, texts are cut at all of it, and the distinct pieces of a batch that the worker
     hasn't met lately are encoded: a table of CACHE_BITS keeps the token numbers of pieces by their 64-bit hashes.
-    Other texts are encoded whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, cut = _counter(path), _drops_space(path)
+        count, how = _counter(path), cutting(path)
         keys, known = np.zeros(1 << CACHE_BITS, U), np.zeros(1 << CACHE_BITS, np.int64)
 
         def encoded(texts: Iterator[bytes]) -> np.ndarray:
@@ -112,18 +153,18 @@ def _counts(path: str, n_keep: int):
             sizes, tokens = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for a, b, buf, offsets in pieces(column):
                 sizes[a:b] = np.diff(offsets)
-                if cut and len(buf) > PIECE:
-                    # one long text, in parts
-                    for part in split_safely(buf.tobytes(), PIECE):
-                        raw = np.frombuffer(part, np.uint8)
-                        start, end, _ = words(raw, np.array([0, len(raw)]))
-                        tokens[a] += of_pieces(raw, start, end).sum()
-                elif cut:
-                    start, end, first = words(buf, offsets)
-                    sums = np.concatenate([[0], np.cumsum(of_pieces(buf, start, end))])
-                    tokens[a:b] = sums[first[1:]] - sums[first[:-1]]
-                else:
-                    tokens[a:b] = encoded(bytes(buf[x:y]) for x, y in zip(offsets[:-1], offsets[1:], strict=True))
+                # only a row of its own is longer than PIECE
+                parts = [(buf, offsets, np.arange(a, b))]
+                if how != "white":
+                    cut = [(r, p) for r, x, y in zip(range(a, b), offsets[:-1], offsets[1:], strict=True) for p in split_safely(bytes(buf[x:y]), how)]
+                    np.add.at(tokens, [r for r, _ in cut], encoded(p for _, p in cut))
+                    continue
+                if len(buf) > PIECE:
+                    parts = [(np.frombuffer(p, np.uint8), np.array([0, len(p)]), np.array([a])) for p in split_safely(buf.tobytes(), how, PIECE)]
+                for own, places, rows in parts:
+                    start, end, first = words(own, places)
+                    sums = np.concatenate([[0], np.cumsum(of_pieces(own, start, end))])
+                    tokens[rows] += sums[first[1:]] - sums[first[:-1]]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], pa.array(sizes), pa.array(tokens)], names=[*batch.schema.names[:n_keep], "n_bytes", "n_tokens"])
 
     return run

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import io
+import json
 import random
 import re
 from collections import Counter
@@ -17,7 +18,8 @@ from tessera.llm.common import scratch_path
 from tessera.llm.quality import counts, host_rates, verdicts
 from tessera.llm.runindex import RunLengthIndex
 from tessera.llm.substring_dedup import repeats_removed
-from tessera.llm.token_counts import _counter, default_path, split_safely, token_counts
+from tessera.llm.textkit import PIECE
+from tessera.llm.token_counts import _counter, cutting, default_path, split_safely, token_counts
 from tessera.llm.warc import members, parsed, read_archive, record, write_archive
 
 PAGES = [(1, "http://a/ b\n", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "http://c", None), (4, "http://d", ""), (5, "http://e", "é" * 70000), (None, "http://f", "<p>x</p>"), (None, "http://g", "only"), (0, "http://h", "WARC/1.1\r\n\r\n"), (6, "u", "<p>x</p>"), (6, "u", "<p>x</p>")]
@@ -153,18 +155,33 @@ def test_regular_strings_stay(made, length):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept_bytes)) for r in out) == brute_repeats(rows, 900)
 
 
-def test_token_counts(made, corpus):
-    path = default_path("word_bpe_49k.json")
-    rows = [*corpus, (70, "<|endoftext|> it's <|startoftext|>x " * 3000, "s"), (71, "é " * 50_000 + "a" * 70_000, "s"), (72, "A ́b é   c " * 20_000, "s")]
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_token_counts(made, corpus, name):
+    path = default_path(name)
+    r = random.Random(2)
+    long = " ".join("".join(r.choice("abcdéß1'-.") for _ in range(r.randint(1, 9))) + r.choice(["", "", " ", "\n", "\t "]) for _ in range(300_000))
+    assert len(long) > PIECE
+    rows = [*corpus, (70, "<|endoftext|> it's <|startoftext|>x " * 3000, "s"), (71, "é " * 50_000 + "a" * 70_000, "s"), (72, "A ́b é   c " * 20_000, "s"), (73, long, "s"), (74, "a  b c 1 2\u3000x y z's " * 9000, "s"), (75, " " * 70_000 + "x", "s")]
     count = _counter(path)
     out = token_counts(made(rows).withColumnRenamed("lang", "n_tokens"), path, keep=("doc_id", "text", "n_tokens")).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in out) == sorted((str(i), len((t or "").encode()), count([t or ""])[0]) for i, t, _ in rows)
     assert all(r.over_limit == (r.n_tokens > 2048) for r in out)
-    raw = ("word " * 40_000).encode()
-    assert b"".join(split_safely(raw)) == raw and len(split_safely(raw)) > 2
     assert token_counts(made([]), path).collect() == []
 
 
+def test_where_texts_are_cut(tmp_path):
+    """The tokenizer's own steps decide, whatever the file is called."""
+    made = json.load(open(default_path("word_bpe_49k.json")))
+    (tmp_path / "renamed.json").write_text(json.dumps(made))
+    made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] += r"|\s"
+    (tmp_path / "word_with_spaces.json").write_text(json.dumps(made))
+    found = [cutting(str(tmp_path / "renamed.json")), cutting(str(tmp_path / "word_with_spaces.json")), *(cutting(default_path(n)) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))]
+    assert found == ["white", None, "before", "drop"]
+    raw = ("word " * 40_000).encode()
+    assert b"".join(split_safely(raw, "before")) == raw and len(split_safely(raw, "before")) > 2
+    assert b" ".join(split_safely(raw, "drop")) == raw and split_safely(raw, None) == [raw]
+
+
 def test_quality_counts_against_brute_force(corpus):
     texts = [t for _, t, _ in corpus] + ["a b c\na b c\n\n\n \nx a b c", "# $x #\r\n" * 3, "\n".join(["same line"] * 60)]
     for row, t in zip(counts(pa.array(texts)).tolist(), texts, strict=True):
