@@ -1,7 +1,9 @@
 """Personal data in texts: exact base patterns, and a character-level BiLSTM-CRF that adds spans.
 
-The tagger reads the whole of every text that holds a digit or an @, in overlapping windows; a span that it adds must
-hold one of these, so nothing is lost in the other texts. Each character takes its tag from the window in which it
+The tagger is trained on labelled spans planted into texts of the corpus itself. It knows the base kinds in writings that
+the patterns miss, and secrets (keys, tokens, passwords), of which there is no pattern. It reads the whole of every text
+that holds a digit or an @, in overlapping windows; a span that it adds must hold one of these, so nothing is lost in
+the other texts. Each character takes its tag from the window in which it
 stands furthest from an edge, and spans are built from these tags over the whole text.
 """
 
@@ -20,6 +22,9 @@ from .common import prepare, table
 from .pii_model import KINDS, Tagger, encode, trained
 
 WINDOW, OVERLAP = 96, 32
+#: Texts of the corpus, and characters of each, among which the labelled spans are planted.
+CONTEXTS, CONTEXT_CHARS = 400, 300
+BASE = KINDS[:4]
 WINDOWS_AT_ONCE = 256
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -27,6 +32,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@]+")
+_CODE = re.compile(r"[A-Za-z0-9_+/-]++")
+_AROUND = " .,;:=\n\"'"
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -91,6 +98,8 @@ def plausible(kind: int, value: str) -> bool:
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) <= 255 for p in parts)
     if kind == 2:
         return 13 <= len(digits) <= 19 and luhn(digits)
+    if kind == 4:
+        return len(value) >= 10 and bool(digits) and len(digits) < len(value) and not re.search(r"\s", value)
     return 9 <= len(digits) <= 15 and "\n" not in value and not re.search(r"[A-Za-z]", value)
 
 
@@ -134,14 +143,32 @@ class Tags:
         return [(k, a, b) for k, a, b in out]
 
 
+def _whole_secrets(text: str, added: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of the other kinds, and each run of code characters of which at least half is tagged as secret."""
+    out = [x for x in added if x[0] != 4]
+    tagged: dict[tuple[int, int], int] = {}
+    for _, a, b in (x for x in added if x[0] == 4):
+        while a < b:
+            if (run := _CODE.match(text, a)) is None:
+                a += 1
+                continue
+            end = run.end()
+            start = a
+            while start > 0 and _CODE.match(text, start - 1, start):
+                start -= 1
+            tagged[start, end] = tagged.get((start, end), 0) + min(b, end) - a
+            a = end
+    return out + [(4, a, b) for (a, b), n in tagged.items() if 2 * n >= b - a]
+
+
 def merged(text: str, base: list[tuple[int, int, int]], added: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Base spans and those added ones that are plausible, whole words and clear of base spans, by kind and start."""
     taken = sorted((a, b) for _, a, b in base)
     out = list(base)
-    for kind, a, b in added:
-        while b > a and text[b - 1] in " .,;:\n":
+    for kind, a, b in _whole_secrets(text, added):
+        while b > a and text[b - 1] in _AROUND:
             b -= 1
-        while a < b and text[a] in " .,;:\n":
+        while a < b and text[a] in _AROUND:
             a += 1
         inside = text[a - 1 : a].isalnum() or text[b : b + 1].isalnum()
         if b > a and not inside and not any(x < b and a < y for x, y in taken) and plausible(kind, text[a:b]):
@@ -153,6 +180,9 @@ def _named(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
+RESULTS = (*(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_added", "private")
+
+
 def _found(weights: dict, n_keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Tagger()
@@ -171,26 +201,41 @@ def _found(weights: dict, n_keep: int):
             every = []
             for i in range(n):
                 added = tags.spans(i)
-                every.append(_named(merged(texts[i].as_py(), base[i], added) if added else base[i]))
-            counts = [pa.array([sum(k == kind for k, _, _ in b) for b in base], pa.int64()) for kind in range(len(KINDS))]
+                every.append(merged(texts[i].as_py(), base[i], added) if added else base[i])
+            counts = [pa.array([sum(k == kind for k, _, _ in b) for b in base], pa.int64()) for kind in range(len(BASE))]
             sha = pa.array([hashlib.sha256(_named(b).encode()).hexdigest() for b in base])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *counts, sha, pa.array(every, pa.string())], names=[*batch.schema.names[:n_keep], *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            more = [pa.array([_named(e) for e in every], pa.string()), pa.array([len(e) - len(b) for e, b in zip(every, base, strict=True)], pa.int64()), pa.array([bool(e) for e in every], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *counts, sha, *more], names=[*batch.schema.names[:n_keep], *RESULTS])
 
     return run
 
 
+def contexts(docs: DataFrame, texts: int = CONTEXTS, chars: int = CONTEXT_CHARS) -> tuple[str, ...]:
+    """At most `texts` cuts of `chars` characters, from anywhere in texts of docs that hold no digit and no @.
+
+    Those with the least hash of the text are taken, so that the same documents give the same cuts.
+    """
+    plain = docs.select("text").where(F.length("text") >= 20).where(~F.col("text").rlike("[0-9@]"))
+    key = F.md5(F.col("text").cast("binary"))
+    at = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - chars, F.lit(1))).cast("int") + 1
+    picked = plain.select(key.alias("key"), F.substring(F.col("text"), at, F.lit(chars)).alias("cut")).orderBy("key", "cut").limit(texts).collect()
+    return tuple(r["cut"] for r in picked)
+
+
 def personal_data(docs: DataFrame, model: Tagger | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of docs (text, ...) with n_email, n_ip, n_card, n_phone, base_sha256 and spans.
+    """The kept columns of docs (text, ...) with n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added and private.
 
-    Counts and hash are of the base spans; spans holds base and added ones as kind:start:end in code points. Null and
-    empty texts have none. Kept columns named as a result are dropped. There is no shuffle, and the model is a few
-    thousand numbers, trained once on the driver from made-up labelled spans, the same in every run.
+    Counts and hash are of the base spans; spans holds base and added ones as kind:start:end in code points, n_added
+    counts the added ones, and private tells whether there is any span. Null and empty texts have none. Kept columns named
+    as a result are dropped. No rows give no rows. There is no shuffle but that of the CONTEXTS cuts, and the model is a
+    few thousand numbers, trained once on the driver from labelled spans planted into these cuts, the same in every run.
     """
     prepare(docs.sparkSession)
-    results = [f"n_{k}" for k in KINDS] + ["base_sha256", "spans"]
-    names = [c for c in keep if c not in results]
+    names = [c for c in keep if c not in RESULTS]
     fields = "".join(f"`{c}` {dict(docs.dtypes)[c]}, " for c in names)
-    return docs.select(*names, "text").mapInArrow(_found((model or trained()).p, len(names)), fields + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    model = model or trained(contexts=contexts(docs))
+    types = ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string, n_added long, private boolean"
+    return docs.select(*names, "text").mapInArrow(_found(model.p, len(names)), fields + types)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

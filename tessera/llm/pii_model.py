@@ -6,11 +6,12 @@ from functools import lru_cache
 
 import numpy as np
 
-KINDS = ("email", "ip", "card", "phone")
+#: The base patterns find the first four; secrets are the tagger's alone.
+KINDS = ("email", "ip", "card", "phone", "secret")
 #: 0 is outside; 1 + 2 * kind begins a span and 2 + 2 * kind goes on with it.
 TAGS = 1 + 2 * len(KINDS)
 CHARS, DIM, HIDDEN = 98, 10, 20
-STEPS, BATCH, LENGTH, RATE = 500, 48, 80, 0.012
+STEPS, BATCH, LENGTH, RATE = 600, 48, 112, 0.012
 
 
 def encode(text: str) -> np.ndarray:
@@ -149,12 +150,38 @@ class Tagger:
         return np.where(np.arange(t_all) < lengths[:, None], out, 0)
 
 
-def labelled_spans(rng: np.random.Generator, n: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """n made-up sentences with (kind, start, end) of the personal data in them, and look-alikes that are none."""
+def labelled_spans(rng: np.random.Generator, n: int, contexts: tuple[str, ...] = ()) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """n sentences with (kind, start, end) of the made-up personal data planted in them, and look-alikes that are none.
+
+    The words around them are cut from the contexts, or made up where there are none.
+    """
     d = lambda k: "".join(str(x) for x in rng.integers(0, 10, k))
     pick = lambda xs: xs[rng.integers(len(xs))]
     word = lambda: "".join(pick(["en", "th", "er", "ti", "ra", "lo", "que", "sch", "é", "ción", "ou", "ha"]) for _ in range(rng.integers(1, 4)))
 
+    def around(least: int, most: int) -> str:
+        k = int(rng.integers(least, most))
+        if contexts and rng.random() < 0.8:
+            ws = pick(contexts).split()
+            at = int(rng.integers(0, max(len(ws) - k, 0) + 1))
+            return " ".join(ws[at : at + k])
+        return " ".join(word() for _ in range(k))
+
+    code = lambda signs, k: "".join(pick(list(signs)) for _ in range(k))
+    upper, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef"
+
+    def secret() -> tuple[str, str, str]:
+        """What stands before a secret, the secret and what closes it."""
+        if rng.random() < 0.45:
+            mark = pick(["AKIA", "AKIA", "AKIA", "ASIA", "sk_live_", "sk_", "ghp_", "xoxb-"])
+            return "", mark + code(upper if mark.isalpha() else upper + hexa * 2, 16 if mark.isalpha() else int(rng.integers(18, 36))), ""
+        name = pick(["password", "token", "secret", "api_key", "apikey", "passwd", "access_token", "pwd", "key"])
+        sign = pick(["=", "=", " = ", " = ", ": ", ":"])
+        quote = pick(["", "", '"', '"', "'"])
+        signs = pick([hexa, hexa, hexa, hexa.upper(), upper + hexa])
+        value = code(signs, pick([16, 18, 20, 24, 32, 40, 40, int(rng.integers(10, 65))]))
+        return f"{name}{sign}{quote}", value if any(c.isdigit() for c in value) else value + d(2), quote
+
     def card() -> str:
         digits = pick(["4", "5", "37", "6011"]) + d(20)
         digits = digits[: pick([15, 15, 14, 13, 16]) ]
@@ -169,20 +196,21 @@ def labelled_spans(rng: np.random.Generator, n: int) -> list[tuple[str, list[tup
         2: card,
         3: lambda: pick([lambda: f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"+{d(2)} {d(3)} {d(3)} {d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"00{d(2)} {d(3)} {d(7)}", lambda: f"+{d(11)}", lambda: f"{d(3)}.{d(3)}.{d(4)}"])(),
     }
-    others = [lambda: f"20{d(2)}-0{rng.integers(1, 10)}-{rng.integers(10, 29)}", lambda: f"{rng.integers(1, 9)}.{rng.integers(0, 9)}", lambda: f"v{d(1)}.{d(1)}.{d(2)}", lambda: f"{d(1)},{d(3)}", lambda: d(int(rng.integers(1, 7))), lambda: f"${d(2)}.{d(2)}", lambda: f"@{word()}", lambda: f"{d(2)}:{d(2)}", lambda: "".join(pick(list("0123456789abcdef")) for _ in range(rng.integers(8, 40))), lambda: f"{word()}{d(3)}", lambda: f"sk_{''.join(pick(list('0123456789abcdefABCDEFXYZ')) for _ in range(24))}", lambda: "AKIA" + "".join(pick(list("0123456789ABCDEFGHIJKLMNOP")) for _ in range(16)), lambda: f"{d(4)}-{d(4)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"CC BY-NC {d(1)}.0"]
+    others = [lambda: f"20{d(2)}-0{rng.integers(1, 10)}-{rng.integers(10, 29)}", lambda: f"{rng.integers(1, 9)}.{rng.integers(0, 9)}", lambda: f"v{d(1)}.{d(1)}.{d(2)}", lambda: f"{d(1)},{d(3)}", lambda: d(int(rng.integers(1, 7))), lambda: f"${d(2)}.{d(2)}", lambda: f"@{word()}", lambda: f"{d(2)}:{d(2)}", lambda: "".join(pick(list("0123456789abcdef")) for _ in range(rng.integers(6, 16))), lambda: f"{word()}{d(3)}", lambda: f"version {d(1)}.", lambda: f"Version {d(1)}.{d(1)}.", lambda: f"License, {d(1)}.{d(1)}", lambda: f"{d(4)}-{d(4)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"CC BY-NC {d(1)}.0"]
     out = []
     for _ in range(n):
-        text, spans = " ".join(word() for _ in range(rng.integers(0, 6))), []
+        text, spans = around(0, 6), []
         for _ in range(rng.integers(1, 4)):
             text += pick([" ", ", ", ": ", "\n", " ("]) if text else ""
             if rng.random() < 0.55:
-                kind = int(rng.integers(4))
-                value = makers[kind]()
+                kind = int(rng.integers(len(KINDS)))
+                before, value, after = ("", makers[kind](), "") if kind < 4 else secret()
+                text += before
                 spans.append((kind, len(text), len(text) + len(value)))
-                text += value
+                text += value + after
             else:
                 text += pick(others)()
-            text += pick(["", ".", ",", ")"]) + " " + " ".join(word() for _ in range(rng.integers(1, 5)))
+            text += pick(["", ".", ",", ")"]) + " " + around(1, 5)
         out.append((text, spans))
     return out
 
@@ -201,12 +229,12 @@ def batch_of(examples, length: int):
 
 
 @lru_cache(maxsize=2)
-def trained(seed: int = 3, steps: int = STEPS) -> Tagger:
-    """A tagger trained with Adam on labelled_spans; the same seed gives the same weights. Once for each process."""
+def trained(seed: int = 3, steps: int = STEPS, contexts: tuple[str, ...] = ()) -> Tagger:
+    """A tagger trained with Adam on labelled_spans among the contexts; the same arguments give the same weights."""
     model, rng = Tagger(seed), np.random.default_rng(seed)
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     for step in range(1, steps + 1):
-        x, lengths, tags = batch_of(labelled_spans(rng, BATCH), LENGTH)
+        x, lengths, tags = batch_of(labelled_spans(rng, BATCH, contexts), LENGTH)
         _, grads = model.loss_grads(x, lengths, tags)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))

@@ -334,3 +334,25 @@ def test_windows_of_a_long_text_are_covered_once():
     spans = sorted((r["lo"], r["hi"]) for out in _occurrences(400, 64)(iter([batch])) for r in out.to_pylist())
     assert spans[0][0] == 0 and spans[-1][1] == len(text) - 400
     assert all(a[1] + 1 == b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_secrets_are_added_in_unseen_documents(made):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice(["en", "th", "er", "ti", "ra", "lo", "ouï", "ñez"]) for _ in range(r.randint(1, 4)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    code = lambda signs, k: "".join(r.choice(signs) for _ in range(k))
+    hexa = "0123456789abcdef"
+    makers = [lambda: ("", "AKIA" + code("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)), lambda: ("password=", code(hexa, 18)), lambda: ('token = "', code(hexa, 40))]
+    rows, want = [], {}
+    for i in range(120):
+        before, value = makers[i % 3]()
+        text = f"{words(r.randint(3, 60))} {before}"
+        want[i] = f"secret:{len(text)}:{len(text) + len(value)}"
+        rows.append((i, text + value + ('"' if '"' in before else "") + f" {words(r.randint(3, 60))}", "s"))
+    rows += [(1000 + i, f"{words(30)} Licensed under CC BY-NC 4.0.\\n{words(5)} version 3.{i} {words(20)}", "s") for i in range(60)] + [(2000 + i, words(60), "s") for i in range(40)]
+    out = {x.doc_id: x for x in pii.personal_data(made([*rows, (3000, None, "s"), (3001, "", "s")])).collect()}
+    assert sum(want[i] in out[i].spans.split(",") for i in range(120)) > 108
+    assert all(x.private == (x.spans != "") and x.n_added == len([s for s in x.spans.split(",") if s]) for x in out.values())
+    assert sum(x.n_added for i, x in out.items() if i >= 1000) <= 2
+    assert not any(out[i].private for i in (*range(2000, 2040), 3000, 3001))
+    assert pii.personal_data(made([])).collect() == []
