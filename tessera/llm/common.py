@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch. Kernels cut batches again by bytes, so this only bounds what one batch can hold.
 ARROW_ROWS = 512
-#: Rows of a side with a few fixed-width columns that may be broadcast (about 16 bytes each); larger sides shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a side that may be broadcast; larger sides shuffle.
+BROADCAST_BYTES = 16_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +24,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where the cluster names none."""
+    """The folder that driver and executors share. One on this machine is set only where none is named and master is local."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         where = "file:///tmp/tessera-checkpoints"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -60,9 +62,9 @@ def dropped(df: DataFrame) -> None:
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the limit; beyond it Spark shuffles both sides."""
-    return F.broadcast(df) if rows <= limit else df.hint("shuffle_merge")
+def small(df: DataFrame, rows: int, each: int = 16) -> DataFrame:
+    """df with a broadcast hint if its counted rows of about `each` bytes are within the limit; else both sides shuffle."""
+    return F.broadcast(df) if rows * each <= BROADCAST_BYTES else df.hint("shuffle_merge")
 
 
 def lower_ascii(text: Column) -> Column:

@@ -2,8 +2,9 @@
 
 A window is WINDOW consecutive words of a benchmark item. Both sides keep winnowed fingerprints: of every GUARD
 neighbouring k-gram hashes (GUARD = WINDOW - K + 1) the least one, so any shared span of WINDOW words shares one. The
-fingerprints of both sides are joined; documents with a match are read again, every place where one of their matched
-k-grams stands is extended to the windows that hold it, and these are joined with the items' windows by their words.
+fingerprints of both sides are joined; documents with a match are read again, their k-grams are joined with the items'
+fingerprints, every place found is extended to the windows that hold it, and these are joined with the items' windows by
+their words.
 Items of fewer than WINDOW words are one window each; for the lengths that occur, documents are fingerprinted by their
 n-grams of that length, which makes the guarantee hold for them too.
 """
@@ -47,9 +48,10 @@ def _winnowed(rows: DataFrame, lengths: list[int]) -> DataFrame:
     return rows.withColumn("fps", F.array_distinct(fps)).drop("h", "g")
 
 
-def _places(rows: DataFrame, n: int) -> DataFrame:
-    """rows (id columns, words, hit fps) with at: 1-based places of the n-grams whose hash is among the hits."""
-    return rows.withColumn("at", F.explode(F.expr(f"if(size(h) >= {n}, filter(transform({_grams(n)}, (x, i) -> if(array_contains(hits, x), i + 1, 0)), p -> p > 0), array())").cast("array<int>")))
+def _places(rows: DataFrame, n: int, fps: DataFrame) -> DataFrame:
+    """(doc_id, tk, at): 1-based places of the n-grams of rows (doc_id, tk, words) that are among the fingerprints."""
+    grams = _hashed(rows).select("doc_id", "tk", F.explode(F.expr(f"if(size(h) >= {n}, transform({_grams(n)}, (x, i) -> struct(x as fp, i + 1 as at)), array())").cast("array<struct<fp:bigint,at:int>>")).alias("g"))
+    return grams.select("doc_id", "tk", "g.fp", "g.at").join(fps, "fp").select("doc_id", "tk", "at")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -63,6 +65,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), word_list(F.col("text")).alias("words")).where(F.size("words") > 0)
+    # few rows, but much work for each
+    items = items.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     item_windows = items.withColumn("n", F.least(F.size("words"), F.lit(WINDOW))).select("item", "n", F.explode(F.expr("transform(sequence(1, size(words) - n + 1), i -> array_join(slice(words, i, n), ' '))")).alias("window"))
     item_windows = written(item_windows.distinct(), "windows")
     # at most WINDOW - 1 numbers
@@ -77,18 +81,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = _winnowed(ids.select("doc_id", text_key().alias("tk"), word_list(F.col("text")).alias("words")), lengths)
     base = written(base.select("doc_id", "tk", F.size("words").cast("long").alias("n_words"), "fps"), "doc-fps")
-    matched = base.select("doc_id", "tk", F.explode("fps").alias("fp")).join(small(fps, fps.count()), "fp").distinct()
-    # one row for a document: it holds at most as many hashes as the document has words
-    matched = written(matched.groupBy("doc_id", "tk").agg(F.collect_list("fp").alias("hits")), "matched")
-
-    hit_docs = matched.withColumnsRenamed({"doc_id": "m_id", "tk": "m_tk"})
-    found = ids.withColumn("tk", text_key()).join(small(hit_docs, matched.count(), 50_000), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("tk") == F.col("m_tk")))
-    found = _hashed(found.select("doc_id", "tk", "hits", word_list(F.col("text")).alias("words")))
-    starts = _places(found, K).select("doc_id", "tk", "words", F.explode(F.expr(f"if(size(words) >= {WINDOW}, sequence(greatest(at - {WINDOW - K}, 1), least(at, size(words) - {WINDOW - 1})), array())").cast("array<int>")).alias("s"), F.lit(WINDOW).alias("n"))
-    for n in lengths:
-        starts = starts.unionByName(_places(found, n).select("doc_id", "tk", "words", F.col("at").alias("s"), F.lit(n).alias("n")))
-    candidates = starts.select("doc_id", "tk", "s", "n", F.expr("array_join(slice(words, s, n), ' ')").alias("window")).distinct()
-    held = candidates.join(small(item_windows, item_windows.count()), ["window", "n"]).select("doc_id", "tk", "s", "n", "item")
+    fps = small(fps, fps.count())
+    hit_docs = written(base.select("doc_id", "tk", F.explode("fps").alias("fp")).join(fps, "fp").select(F.col("doc_id").alias("m_id"), F.col("tk").alias("m_tk")).distinct(), "matched")
+    found = ids.withColumn("tk", text_key()).join(small(hit_docs, hit_docs.count()), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("tk") == F.col("m_tk")), "left_semi")
+    # rows of one doc_id and one text have the same windows
+    found = written(found.select("doc_id", "tk", word_list(F.col("text")).alias("words")), "hit-words").dropDuplicates(["doc_id", "tk"])
+    reach = F.expr(f"if(size(words) >= {WINDOW}, flatten(transform(at, x -> sequence(greatest(x - {WINDOW - K}, 1), greatest(least(x, size(words) - {WINDOW - 1}), greatest(x - {WINDOW - K}, 1))))), array())")
+    starts = None
+    for n in [WINDOW, *lengths]:
+        # one row for a document, of at most as many places as it has words
+        at = _places(found, K if n == WINDOW else n, fps).groupBy(F.col("doc_id").alias("a_id"), F.col("tk").alias("a_tk")).agg(F.collect_set("at").alias("at"))
+        own = found.join(at.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("tk") == F.col("a_tk")))
+        own = own.withColumn("s", F.array_distinct(reach.cast("array<int>")) if n == WINDOW else F.col("at"))
+        cut = F.explode(F.expr(f"transform(filter(s, x -> x + {n - 1} <= size(words)), x -> struct(x as s, array_join(slice(words, x, {n}), ' ') as window))"))
+        own = own.select("doc_id", "tk", cut.alias("w")).select("doc_id", "tk", "w.s", F.lit(n).alias("n"), "w.window")
+        starts = own if starts is None else starts.unionByName(own)
+    # a window is a string of at most WINDOW words, which may be long
+    measure = item_windows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("window") + F.octet_length("item")), F.lit(0)).alias("bytes")).first()
+    held = starts.join(small(item_windows, measure["rows"] * 16 + measure["bytes"], 1), ["window", "n"]).select("doc_id", "tk", "s", "n", "item")
     held = written(held, "occurrences")
 
     in_doc = W.partitionBy("doc_id", "tk").orderBy("s", "n").rowsBetween(W.unboundedPreceding, -1)

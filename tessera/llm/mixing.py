@@ -21,9 +21,9 @@ MOST = 2.0
 SEED = "mix-1"
 
 
-def order_key(seed: str) -> Column:
-    """A random order of rows that depends on seed and doc_id alone."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+def order_key(seed: str, else_by: Column) -> Column:
+    """A random order of rows by seed and doc_id; rows without doc_id are ordered by another column, so that they spread."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), else_by))).cast("binary"))
 
 
 def key_range(key: Column, ranges: Column) -> Column:
@@ -65,14 +65,14 @@ def mixture(docs: DataFrame, columns: list[str] | None = None, weights: tuple[in
     in part. So the words taken of a source are its target to within a word, no document exceeds `most` times its size
     (rounded up to a word), and equal rows get the same result in every run.
 
-    Null texts have size 0 and are never taken. Null sources are a source of their own, last in order. A null doc_id
-    is ordered as the word null. Rows with the same doc_id are cut one after the other, smaller ones first. A source
+    Null texts have size 0 and are never taken. Null sources are a source of their own, last in order. Rows
+    without doc_id are ordered by their text. Rows with the same doc_id are cut one after the other, smaller ones first. A source
     without words has target 0. No rows give no rows. columns: which columns of docs stay (all by default); those
     named as a result are replaced.
     """
     results = ("mix_size", "mix_source_size", "mix_target", "mix_taken")
     names = [c for c in (docs.columns if columns is None else columns) if c not in results]
-    own = [F.col("doc_id").alias("mix_in_doc_id"), F.col("source").alias("mix_in_source"), n_spaced_words(F.col("text")).alias("mix_size"), order_key(seed).alias("mix_key")]
+    own = [F.col("doc_id").alias("mix_in_doc_id"), F.col("source").alias("mix_in_source"), n_spaced_words(F.col("text")).alias("mix_size"), order_key(seed, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("mix_key")]
     sizes = written(docs.select(*own), "mix-sizes")
     totals = sizes.groupBy(F.col("mix_in_source").alias("source")).agg(F.sum("mix_size").alias("source_size"), F.count("*").alias("source_rows"))
     plan = written(budgets(totals, weights, share, most).withColumn("ranges", n_ranges(F.col("source_rows"))).withColumnRenamed("source", "plan_source"), "mix-plan")
@@ -104,7 +104,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS k
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS weight FROM s),

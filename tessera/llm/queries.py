@@ -22,4 +22,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_warc": warc.OP3_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op8_quality_rules": quality.OP8_SQL,
+    "op9_sharding": sharding.OP9_SQL,
 }

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small, table, written
 from .mixing import key_range, n_ranges, order_key
 
 SHARDS = 16
@@ -23,16 +23,17 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED, columns: l
     """docs (doc_id, source, ...) with shard (int, from 0) and slot (long, gapless from 0 in each shard).
 
     The law is `rows`: counts of shards are at most one apart, and so are a source's counts but for the rounding of
-    its neighbours. Null sources are a source of their own; a null doc_id is ordered as the word null; rows that repeat
+    its neighbours. Null sources are a source of their own; rows without doc_id are ordered by a hash of their columns; rows that repeat
     a doc_id take neighbouring places of their source's order. Fewer rows than shards leave the last shards
     empty; no rows give no rows. columns: which columns of docs stay (all by default); shard and slot are replaced.
     """
     names = [c for c in (docs.columns if columns is None else columns) if c not in ("shard", "slot")]
-    slim = _assigned(docs.select(F.col("source").alias("sh_source"), order_key(seed).alias("sh_key")), n_shards)
+    key = order_key(seed, F.xxhash64(*names).cast("string"))
+    slim = _assigned(docs.select(F.col("source").alias("sh_source"), key.alias("sh_key")), n_shards)
     # the rows of one doc_id, which are any of them
     places = slim.groupBy(F.col("sh_source").alias("p_source"), F.col("sh_key").alias("p_key")).agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("places"))
     same = W.partitionBy("sh_source", "sh_key").orderBy("sh_key")
-    rows = docs.select(F.struct(*names).alias("row"), F.col("source").alias("sh_source"), order_key(seed).alias("sh_key")).withColumn("sh_nth", F.row_number().over(same))
+    rows = docs.select(F.struct(*names).alias("row"), F.col("source").alias("sh_source"), key.alias("sh_key")).withColumn("sh_nth", F.row_number().over(same))
     rows = rows.join(places.hint("shuffle_merge"), F.col("sh_source").eqNullSafe(F.col("p_source")) & (F.col("sh_key") == F.col("p_key")))
     place = F.element_at("places", F.col("sh_nth"))
     return rows.select("row.*", place["shard"].alias("shard"), place["slot"].alias("slot"))
@@ -41,8 +42,9 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED, columns: l
 def _assigned(rows: DataFrame, n_shards: int) -> DataFrame:
     """(sh_source, sh_key, shard, slot) of the rows (sh_source, sh_key)."""
     counts = rows.groupBy(F.col("sh_source").alias("c_source")).agg(F.count("*").alias("sh_rows")).withColumn("sh_ranges", n_ranges(F.col("sh_rows")))
-    counts = counts.withColumn("sh_all", F.sum("sh_rows").over(W.partitionBy()))
-    rows = rows.join(counts, F.col("sh_source").eqNullSafe(F.col("c_source"))).drop("c_source").withColumn("sh_range", key_range(F.col("sh_key"), F.col("sh_ranges")))
+    counts = written(counts.withColumn("sh_all", F.sum("sh_rows").over(W.partitionBy())), "shard-counts")
+    # one row for each source
+    rows = rows.join(small(counts, counts.count(), 64), F.col("sh_source").eqNullSafe(F.col("c_source"))).drop("c_source").withColumn("sh_range", key_range(F.col("sh_key"), F.col("sh_ranges")))
     place = F.row_number().over(W.partitionBy("sh_source", "sh_range").orderBy("sh_key"))
     by_range = rows.groupBy(F.col("sh_source").alias("r_source"), F.col("sh_range").alias("r_range")).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("r_source").orderBy("r_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
@@ -65,3 +67,16 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(docs, columns=["doc_id", "size", "text_crc32"]).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+OP9_SQL = r"""
+WITH RECURSIVE bits AS (SELECT i AS b, CAST(i AS BIGINT) AS v, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8),
+d AS (SELECT *, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1])) AS v FROM d, crc),
+p AS (SELECT doc_id, source, r, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, xor(v, 4294967295) AS text_crc32, md5('shard-1:' || doc_id) AS key,
+  count(*) OVER () AS n_all, count(*) OVER (PARTITION BY source) AS n_source FROM d JOIN c USING (r)),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY key) AS place FROM p),
+a AS (SELECT *, row_number() OVER (ORDER BY (2 * place - 1)::DOUBLE / (2 * n_source)::DOUBLE, source IS NULL, encode(source), key) - 1 AS pos FROM o),
+s AS (SELECT *, (pos * 16) // n_all AS shard FROM a)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(pos - (shard * n_all + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
