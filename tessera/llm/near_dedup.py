@@ -288,9 +288,14 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
 
 
-OP1_SQL = r"""
-WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
-l AS (SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS g FROM d),
+def near_sql(shingle_words: int, table: str = "documents") -> str:
+    """SQL of near_duplicates over the rows (doc_id, text) of a table with distinct doc_ids."""
+    return _SQL.replace("$K", str(shingle_words)).replace("$T", table)
+
+
+_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM $T),
+l AS (SELECT doc_id, CASE WHEN len(w) >= $K THEN list_distinct(list_transform(range(1, len(w) - $K + 2), lambda i: array_to_string(w[i : i + $K - 1], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
 s AS (SELECT doc_id, unnest(g) AS g FROM l),
 n AS (SELECT doc_id, len(g) AS n FROM l),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
@@ -301,3 +306,4 @@ k AS (SELECT src, min(cur) AS component_id FROM r GROUP BY src)
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, coalesce(component_id, n.doc_id) AS component_id, coalesce(component_id, n.doc_id) = n.doc_id AS kept
 FROM n LEFT JOIN k ON k.src = n.doc_id
 """
+OP1_SQL = near_sql(2)

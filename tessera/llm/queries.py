@@ -20,6 +20,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": near_dedup.OP1_SQL,
     "op2_decontamination": decontaminate.OP2_SQL,
     "op3_warc": warc.OP3_SQL,
+    "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op8_quality_rules": quality.OP8_SQL,
     "op9_sharding": sharding.OP9_SQL,

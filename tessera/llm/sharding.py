@@ -67,16 +67,21 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(docs, columns=["doc_id", "size", "text_crc32"]).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def shard_sql(rows: str, columns: str) -> str:
+    """SQL of shards over a table, with the named columns of its rows; doc_ids aren't null."""
+    return f"""
+SELECT {columns}, CAST(shard AS INTEGER) AS shard, CAST(pos - (shard * n_all + 15) // 16 AS BIGINT) AS slot FROM (
+  SELECT *, (pos * 16) // n_all AS shard FROM (
+    SELECT *, row_number() OVER (ORDER BY (2 * place - 1)::DOUBLE / (2 * n_source)::DOUBLE, source IS NULL, encode(source), sh_key) - 1 AS pos FROM (
+      SELECT *, row_number() OVER (PARTITION BY source ORDER BY sh_key) AS place FROM (
+        SELECT *, md5('shard-1:' || doc_id) AS sh_key, count(*) OVER () AS n_all, count(*) OVER (PARTITION BY source) AS n_source FROM {rows}))))"""
+
+
 OP9_SQL = r"""
 WITH RECURSIVE bits AS (SELECT i AS b, CAST(i AS BIGINT) AS v, 0 AS k FROM range(256) t(i)
   UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
 crc AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8),
 d AS (SELECT *, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
 c AS (SELECT r, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1])) AS v FROM d, crc),
-p AS (SELECT doc_id, source, r, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, xor(v, 4294967295) AS text_crc32, md5('shard-1:' || doc_id) AS key,
-  count(*) OVER () AS n_all, count(*) OVER (PARTITION BY source) AS n_source FROM d JOIN c USING (r)),
-o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY key) AS place FROM p),
-a AS (SELECT *, row_number() OVER (ORDER BY (2 * place - 1)::DOUBLE / (2 * n_source)::DOUBLE, source IS NULL, encode(source), key) - 1 AS pos FROM o),
-s AS (SELECT *, (pos * 16) // n_all AS shard FROM a)
-SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(pos - (shard * n_all + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
-"""
+p AS (SELECT doc_id, source, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, CAST(xor(v, 4294967295) AS BIGINT) AS text_crc32 FROM d JOIN c USING (r))
+""" + shard_sql("p", "doc_id, size, text_crc32, 'rows' AS law, CAST(NULL AS INTEGER) AS grown_shard")

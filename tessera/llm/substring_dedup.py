@@ -417,3 +417,20 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, k: int = K, index_byt
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_removed(table(spark, sf_dir, "documents")).drop("kept_bytes")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS nb FROM documents),
+win AS (SELECT r, s, md5(h[2 * s + 1 : 2 * s + 800]) AS m FROM (SELECT r, h, unnest(range(0, nb - 399)) AS s FROM d WHERE nb >= 400)),
+rep AS (SELECT r, s FROM (SELECT *, count(*) OVER (PARTITION BY m) AS n FROM win) WHERE n > 1),
+cut AS (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 400 THEN 0 ELSE 1 END AS fresh FROM rep),
+spans AS (SELECT r, min(s) AS a, max(s) + 400 AS b FROM (SELECT r, s, sum(fresh) OVER (PARTITION BY r ORDER BY s) AS g FROM cut) GROUP BY r, g),
+left_over AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS begin FROM spans),
+gone AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(h[2 * begin + 1 : 2 * a], '' ORDER BY a) AS head FROM left_over JOIN d USING (r) GROUP BY r),
+w AS (SELECT md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || text) AS key, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+pw AS (SELECT key, md5(array_to_string(w[i : i + 50], ' ')) AS m FROM (SELECT key, w, unnest(range(1, len(w) - 49)) AS i FROM w WHERE len(w) > 50)),
+sp AS (SELECT DISTINCT key FROM pw JOIN (SELECT m FROM pw GROUP BY m HAVING min(key) < max(key)) USING (m))
+SELECT doc_id, CAST(nb AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN gone.r IS NULL THEN h ELSE head || h[2 * last + 1 :] END)) AS kept_sha256, sp.key IS NOT NULL AS shared_passage
+FROM d LEFT JOIN gone ON gone.r = d.r LEFT JOIN sp ON sp.key = md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || text)
+"""
