@@ -10,17 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import small, table, text_key, written
-from tessera.llm.decontaminate import contamination
-from tessera.llm.mixing import mixture
-from tessera.llm.near_dedup import near_duplicates
-from tessera.llm.quality import verdicts
-from tessera.llm.sharding import shards
+from tessera.llm.decontaminate import OP2_SQL, contamination
+from tessera.llm.mixing import OP5_SQL, mixture
+from tessera.llm.near_dedup import near_duplicates, near_sql
+from tessera.llm.quality import OP8_SQL, verdicts
+from tessera.llm.sharding import shard_sql, shards
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and whose host does."""
+    """Documents that pass the rules and whose host does. Null and empty texts fail; repeated rows are judged alike; no rows
+    give no rows. Columns beside those of documents are dropped, here and in every stage."""
     return verdicts(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
@@ -45,21 +46,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item. Rows that repeat a doc_id are judged each by its own text, those
+    without doc_id too; null and empty texts have no windows and stay; without items or documents nothing goes."""
     hit = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("h_id"), F.col("tk").alias("h_tk")).distinct()
     hit = written(hit, "contaminated")
-    return docs.select(*COLUMNS, text_key().alias("tk")).join(small(hit, hit.count()), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tk") == F.col("h_tk")), "left_anti").select(*COLUMNS)
+    return docs.select(*COLUMNS, text_key().alias("tk")).join(small(hit, hit.count(), 32), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tk") == F.col("h_tk")), "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one at a source's cut counts as taken once more in whole."""
+    """Documents as often as the mix takes them; the one at a source's cut counts as taken once more in whole. Null texts
+    and texts without words have nothing to take and go; a null source is a source of its own; rows without doc_id are
+    ordered by their text; repeated rows are each taken on their own; no rows give no rows."""
     mixed = mixture(docs.select(*COLUMNS))
     times = F.when(F.col("mix_size") > 0, F.ceil(F.col("mix_taken") / F.col("mix_size"))).otherwise(0).cast("int")
     return mixed.withColumn("mix_times", times).where("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in 16 shards of its own proportions."""
+    """The mix in 16 shards of its own proportions, whose counts are at most one apart. Null sources are a source of their
+    own, repeated rows and rows without doc_id are dealt like others, and no rows give no rows."""
     return shards(docs.select(*COLUMNS))
 
 
@@ -75,4 +80,18 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-ORACLE_SQL = None
+
+def _over(sql: str, rows: str) -> str:
+    """The SQL of a query over documents, over other rows with their columns instead."""
+    return sql.replace("FROM documents", f"FROM {rows}")
+
+
+#: For documents with distinct ids, which the tables of the driver have.
+ORACLE_SQL = f"""
+WITH good AS MATERIALIZED (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM ({OP8_SQL}) WHERE kept)),
+single AS MATERIALIZED (SELECT * FROM good WHERE doc_id IN (SELECT doc_id FROM ({near_sql(5, "good")}) WHERE kept)),
+clean AS MATERIALIZED (SELECT * FROM single WHERE doc_id IN (SELECT doc_id FROM ({_over(OP2_SQL, "single")}) WHERE NOT contaminated)),
+times AS (SELECT doc_id, CASE WHEN size > 0 THEN ceil(taken / size) ELSE 0 END AS times FROM ({_over(OP5_SQL, "clean")})),
+mixed AS MATERIALIZED (SELECT {", ".join(COLUMNS)} FROM (SELECT clean.*, unnest(range(CAST(times AS BIGINT))) AS copy FROM clean JOIN times USING (doc_id)))
+{shard_sql("mixed", ", ".join(COLUMNS))}
+"""
