@@ -31,13 +31,17 @@ def discard(df: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def until_settled(df: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Callable[[DataFrame], int], rounds: int) -> DataFrame:
+def until_settled(df: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Callable[[DataFrame], int], rounds: int, passes: bool = False) -> DataFrame:
+    """df after rounds of step until nothing changes. With `passes` the number of rounds is part of the operator and the
+    last one is the result; else a loop that hasn't settled by then is an error."""
     now = cut(df)
     for _ in range(rounds):
         before, now = now, cut(step(now))
         discard(before)
         if not changed(now):
-            break
+            return now
+    if not passes:
+        raise RuntimeError(f"nothing settled in {rounds} rounds")
     return now
 
 
@@ -66,11 +70,11 @@ def grid_cells(spark, rows: int, cols: int) -> DataFrame:
     return spark.range(rows * cols).select(F.expr(f"cast(id div {cols} as int)").alias("row"), F.expr(f"cast(id % {cols} as int)").alias("col"))
 
 
-def grow(grid: DataFrame, rounds: int, how: str = "mean", holes: DataFrame | None = None) -> DataFrame:
+def grow(grid: DataFrame, how: str = "mean", holes: DataFrame | None = None, rounds: int = 500) -> DataFrame:
     """grid (row, col, v) with holes filled from their 3 x 3 neighbours, ring by ring, and the flag filled.
 
-    how: mean or median. holes limits the cells that may be filled. At most `rounds` rings; cells outside the grid have
-    no value and nothing wraps around.
+    how: mean or median. holes limits the cells that may be filled. Ends when no ring adds a cell, and fails if that takes
+    more than `rounds` rings; cells outside the grid have no value and nothing wraps around.
     """
     may = grid.select("row", "col", "v", F.lit(False).alias("filled"))
     may = may.join(holes.select("row", "col", F.lit(True).alias("hole")), ["row", "col"], "left").withColumn("hole", F.coalesce("hole", F.lit(False))) if holes is not None else may.withColumn("hole", F.col("v").isNull())
@@ -85,11 +89,11 @@ def grow(grid: DataFrame, rounds: int, how: str = "mean", holes: DataFrame | Non
     return until_settled(may, step, lambda x: x.where("moved = 1").limit(1).count(), rounds).select("row", "col", "v", "filled")
 
 
-def fill_interior(grid: DataFrame, rows: int, cols: int, rounds: int = 200) -> DataFrame:
+def fill_interior(grid: DataFrame, rows: int, cols: int, rounds: int = 500) -> DataFrame:
     """Grows means into the holes that don't touch the border; other holes stay empty."""
     labels = label_components(grid.where("v is null").select("row", "col"), cols)
     border = labels.where((F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == rows - 1) | (F.col("col") == cols - 1)).select("label").distinct()
-    return grow(grid, rounds, holes=labels.join(border, "label", "left_anti"))
+    return grow(grid, holes=labels.join(border, "label", "left_anti"), rounds=rounds)
 
 
 def nearest(grid: DataFrame, da: float = 1.0, dr: float = 1.0, reach: float | None = None) -> DataFrame:
@@ -134,20 +138,31 @@ def despike(lattice: DataFrame, channels: Sequence[str], limit: float, reach: in
             out = out.join(bad, ["row", "col"], "left").withColumn("keep", F.col("keep") & F.col("bad_").isNull()).drop("bad_")
         return out.withColumn("moved", (F.col("keep") != F.col("before_")).cast("int")).drop("before_")
 
-    return until_settled(now, step, lambda x: x.where("moved = 1").limit(1).count(), rounds).drop("moved")
+    return until_settled(now, step, lambda x: x.where("moved = 1").limit(1).count(), rounds, passes=True).drop("moved")
 
 
-def relax(grid: DataFrame, rounds: int) -> DataFrame:
-    """grid (row, col, v, fixed) after Jacobi rounds of the 4-neighbour mean in the cells that aren't fixed."""
-    sides = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in ((0, 1), (1, 0), (0, -1), (-1, 0))])
-    now = grid
-    for k in range(rounds):
-        sent = now.select("row", "col", "v", F.explode(sides).alias("o")).select((F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"), "v")
-        mean = sent.groupBy("row", "col").agg(F.avg("v").alias("m_"))
-        now = now.join(mean, ["row", "col"], "left").select("row", "col", F.when(F.col("fixed"), F.col("v")).otherwise(F.coalesce("m_", "v")).alias("v"), "fixed")
-        if k % 8 == 7:
-            now = cut(now)
-    return now
+def relax(grid: DataFrame, tolerance: float = 1e-6, rounds: int = 20_000, each: int = 12) -> DataFrame:
+    """grid (row, col, v, fixed) after Jacobi rounds of the 4-neighbour mean in the cells that aren't fixed.
+
+    Ends when no cell has changed by more than the tolerance in `each` rounds, and fails if that takes too long.
+    """
+    sides = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))])
+    own = (F.col("o.dr") == 0) & (F.col("o.dc") == 0)
+
+    def once(now: DataFrame) -> DataFrame:
+        # a cell sends itself too, so a round is one aggregate over one reading of the cells
+        sent = now.select("*", F.explode(sides).alias("o")).select((F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"), F.when(own, F.struct("v", "fixed", "old")).alias("own"), F.when(~own, F.col("v")).alias("near"))
+        met = sent.groupBy("row", "col").agg(F.max("own").alias("own"), F.avg("near").alias("m_")).where("own is not null")
+        return met.select("row", "col", F.when(F.col("own.fixed"), F.col("own.v")).otherwise(F.coalesce("m_", "own.v")).alias("v"), "own.fixed", "own.old")
+
+    def step(now: DataFrame) -> DataFrame:
+        now = now.select("row", "col", "v", "fixed", F.col("v").alias("old"))
+        for _ in range(each):
+            now = once(now)
+        return now.withColumn("moved", F.abs(F.col("v") - F.col("old")) > tolerance)
+
+    start = grid.select("row", "col", "v", "fixed", F.col("v").alias("old"), F.lit(True).alias("moved"))
+    return until_settled(start, step, lambda x: x.where("moved").limit(1).count(), -(-rounds // each)).select("row", "col", "v", "fixed")
 
 
 def robust_plane(grid: DataFrame, rounds: int = 3) -> DataFrame:

@@ -230,7 +230,7 @@ def w13(s, d):
 
 @query("w16_grow_medians")
 def w16(s, d):
-    return rounded(P.grow(X.kept(s, d, 7.0), sum(X.LAT_SHAPE), "median"))
+    return rounded(P.grow(X.kept(s, d, 7.0), "median"))
 
 
 @query("a19_phase_flatness", f"WITH {X.LAT}, b AS (SELECT i // 8 AS i, j // 8 AS j, sqrt(pow(avg(cos(azimuth)), 2) + pow(avg(sin(azimuth)), 2)) AS m FROM lat GROUP BY 1, 2 HAVING count(*) > 0.6 * 64) SELECT round(avg(m), 6) AS flatness FROM b")

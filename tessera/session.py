@@ -18,9 +18,11 @@ def session(app: str = "tessera", **settings: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where the cluster names none."""
+    """The folder that driver and executors share. One on this machine is set only where none is named and master is local."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         where = "file:///tmp/tessera-checkpoints"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)

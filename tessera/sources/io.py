@@ -219,37 +219,66 @@ def setting_differences(a: DataFrame, b: DataFrame, rtol: float = 1e-9, atol: fl
 # ---- settings ------------------------------------------------------------------------------------------------------
 @dataclass
 class PairConfig:
-    """Settings of one pair; names of products derive from the dates."""
+    """Settings of one pair; unset names of products derive from track, frame and dates. Keys and defaults are fixed values."""
 
-    track: str
-    frame: str
+    track: int
+    frame: int
     dates: list[str]
     pol: str = "HH"
-    grid_epsg: int = 0
-    posting: float = 80.0
-    looks: list[int] = field(default_factory=lambda: [16, 8])
+    grid_epsg: int = 3413
+    posting: float = 120.0
+    looks: tuple[int, int] = (24, 16)
+    gpus: str = "0"
+    cache: str = "cache"
+    coreg_out: str = "outputs_offsets"
+    routes_out: str = "outputs_unified"
+    refocus_km: str = "auto"
+    hybrid_cut_km: float = 32.0
     fill: dict = field(default_factory=dict)
     outlier: dict = field(default_factory=dict)
     split: dict = field(default_factory=dict)
-    refocus_km: float | None = None
-    hybrid_cut_km: float = 20.0
+    tag: str = ""
+    scratch: str = ""
+    dem: str = ""
+    grid: str = ""
+    glacier_mask: str = ""
+    ref: str = ""
+    sec: str = ""
+
+    def __post_init__(self) -> None:
+        self.track, self.frame, self.grid_epsg = int(self.track), int(self.frame), int(self.grid_epsg)
+        self.dates = [str(d).replace("-", "") for d in self.dates]
+        self.posting, self.hybrid_cut_km = float(self.posting), float(self.hybrid_cut_km)
+        self.looks = (int(self.looks[0]), int(self.looks[1]))
+        self.gpus, self.refocus_km = str(self.gpus), str(self.refocus_km)
+        track, frame, pair = f"t{self.track:03d}", f"f{self.frame:03d}", "_".join(self.dates)
+        self.tag = self.tag or f"{track}_{pair}"
+        self.scratch = self.scratch or f"offsets_scratch_{pair}"
+        self.dem = self.dem or f"{self.cache}/dem_insar_{track}.tif"
+        self.grid = self.grid or f"{self.cache}/grid_{track}_{frame}_{self.posting:.0f}m_{self.grid_epsg}.tif"
+        self.glacier_mask = self.glacier_mask or f"{self.cache}/rgi_glacier_{track}_ifggrid.tif"
 
     @property
-    def tag(self) -> str:
-        return "_".join(str(d).replace("-", "") for d in self.dates)
+    def offsets(self) -> str:
+        return f"{self.coreg_out}/offsets_{self.tag}.npz"
 
-    def path(self, kind: str) -> str:
-        return f"{self.track}_{self.frame}/{self.tag}/{kind}"
+    @property
+    def refocus(self) -> float | None:
+        """Kilometres of the refocusing layer, or None where it is to be measured."""
+        return None if self.refocus_km == "auto" else float(self.refocus_km)
 
 
 def read_config(path: str) -> PairConfig:
+    """The settings of a pair; unknown keys and missing track, frame or dates are errors."""
     import yaml
 
-    raw = yaml.safe_load(Path(path).read_text())
-    known = set(PairConfig.__dataclass_fields__)
-    unknown = set(raw) - known
+    raw = yaml.safe_load(Path(path).read_text()) or {}
+    unknown = set(raw) - set(PairConfig.__dataclass_fields__)
     if unknown:
         raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
-    if len(raw.get("dates", [])) != 2:
+    missing = [k for k in ("track", "frame", "dates") if k not in raw]
+    if missing:
+        raise ValueError(f"missing settings: {', '.join(missing)}")
+    if not isinstance(raw["dates"], list) or len(raw["dates"]) != 2:
         raise ValueError("a pair has two dates")
-    return PairConfig(**{k: [str(d) for d in v] if k == "dates" else v for k, v in raw.items()})
+    return PairConfig(**raw)

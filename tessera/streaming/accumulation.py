@@ -1,8 +1,8 @@
 """Accumulation of new acquisitions as they arrive.
 
 Sums by block are algebraic, so a stream of samples keeps one running row for each date and block: the powers of a
-date need no other date, and pairs are formed when both dates have ended. A batch replaces what it has again, so a
-batch that is run twice changes nothing.
+date need no other date, and pairs are formed with all dates so far. The samples of a date may come in any number of
+batches: each keeps its own part, which a batch that is run twice writes again, so nothing is lost or counted twice.
 """
 
 from __future__ import annotations
@@ -21,19 +21,20 @@ def block_power(samples: DataFrame, fy: int, fx: int) -> DataFrame:
 
 
 def accumulate_stream(samples: DataFrame, store: str, fy: int, fx: int, checkpoint: str) -> StreamingQuery:
-    """Writes each new date of a stream to store/samples and its pairs with all dates so far to store/pairs.
+    """Writes the samples of a stream to store/samples, by date and batch, and the pairs of its dates to store/pairs.
 
-    Pairs are partitioned by (d1, d2) and overwritten by partition, so a batch that runs again leaves the same files.
+    Pairs are partitioned by (d1, d2). Those of a date that a batch adds to are computed again from all samples of both
+    dates and replaced, so a batch that runs again leaves the same files.
     """
 
-    def on_batch(batch: DataFrame, _: int) -> None:
+    def on_batch(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.persist()
         dates = [r["d"] for r in batch.select("d").distinct().collect()]  # the dates of one batch
         if dates:
             write = lambda df, name, *keys: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{store}/{name}")
-            write(batch.select("freq", "row", "col", "re", "im", "d"), "samples", "d")
-            every = spark.read.schema("freq string, row int, col int, re double, im double, d string").parquet(f"{store}/samples")
+            write(batch.select("freq", "row", "col", "re", "im", "d").withColumn("batch", F.lit(number).cast("long")), "samples", "d", "batch")
+            every = spark.read.schema("freq string, row int, col int, re double, im double, d string, batch long").parquet(f"{store}/samples").drop("batch")
             pairs = accumulate(every, fy, fx).where(F.col("d1").isin(dates) | F.col("d2").isin(dates))
             write(pairs, "pairs", "d1", "d2")
         batch.unpersist()

@@ -149,12 +149,58 @@ def test_tiles_and_files_round_trip(spark, tmp_path):
 
 def test_config(tmp_path):
     p = tmp_path / "pair.yaml"
-    p.write_text("track: '087'\nframe: '057'\ndates: [20260714, 20260726]\nfill: {cutoff: 20}\n")
+    p.write_text("track: 87\nframe: 57\ndates: [20260714, 20260726]\npol: HH\ngpus: '0'\nrefocus_km: auto\nfill: {cutoff: 30, aniso: auto}\nsplit: {unwrap_diff: false}\n")
     c = IO.read_config(str(p))
-    assert c.tag == "20260714_20260726" and c.fill == {"cutoff": 20} and c.path("offsets").startswith("087_057/")
-    p.write_text("track: a\nframe: b\ndates: [1, 2]\nnonsense: 1\n")
-    with pytest.raises(ValueError, match="unknown settings"):
-        IO.read_config(str(p))
+    assert c.tag == "t087_20260714_20260726" and c.fill == {"cutoff": 30, "aniso": "auto"} and c.offsets == "outputs_offsets/offsets_t087_20260714_20260726.npz"
+    assert (c.posting, c.looks, c.hybrid_cut_km, c.grid_epsg, c.refocus) == (120.0, (24, 16), 32.0, 3413, None)
+    assert c.grid == "cache/grid_t087_f057_120m_3413.tif"
+    p.write_text("track: '029'\nframe: 35\ndates: ['2026-07-22', '2026-08-15']\nrefocus_km: 350\ntag: own\n")
+    c = IO.read_config(str(p))
+    assert c.tag == "own" and c.track == 29 and c.refocus == 350.0 and c.scratch == "offsets_scratch_20260722_20260815"
+    for text, what in (("track: 1\nframe: 2\ndates: [1, 2]\nnonsense: 1\n", "unknown"), ("track: 1\nframe: 2\n", "missing"), ("track: 1\nframe: 2\ndates: [1]\n", "two dates")):
+        p.write_text(text)
+        with pytest.raises(ValueError, match=what):
+            IO.read_config(str(p))
+
+
+def test_a_date_in_many_batches_is_kept_whole(spark, tmp_path):
+    schema = "freq string, d string, row int, col int, re double, im double"
+    r = np.random.default_rng(4)
+    rows = [("A", d, i, j, *r.normal(size=2).tolist()) for d in ("20260101", "20260113") for i in range(6) for j in range(6)]
+    for k in range(4):
+        # every batch has some rows of both dates
+        spark.createDataFrame(rows[k::4], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    accumulate_stream(stream, f"{tmp_path}/store", 2, 3, f"{tmp_path}/ck").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/store/samples").count() == 72
+    key = lambda df: sorted((str(x.d1), str(x.d2), x.row, x.col, round(x.z_re, 9), round(x.z_im, 9), round(x.p1, 9)) for x in df.collect())
+    assert key(spark.read.parquet(f"{tmp_path}/store/pairs")) == key(B.accumulate(spark.createDataFrame(rows, schema), 2, 3))
+
+
+def test_unsettled_loops_are_errors(spark):
+    a = np.full((4, 40), np.nan)
+    a[:, 0] = 1.0
+    grid = grid_df(spark, a).drop("grid_id")
+    assert P.grow(grid).where("v is null").count() == 0
+    with pytest.raises(RuntimeError, match="settled"):
+        P.grow(grid, rounds=3)
+    with pytest.raises(RuntimeError, match="settled"):
+        P.label_components(grid.select("row", "col"), 40, rounds=1)
+
+
+def test_relaxation_solves_the_laplace_equation(spark, tmp_path):
+    y, x = np.indices(X.LAT_SHAPE)
+    field, hole = 0.05 * y + np.sin(x / 7.0), np.zeros(X.LAT_SHAPE, bool)
+    hole[40:45, 30:36] = hole[80:83, 55:58] = True
+    hole_tables(spark, tmp_path, field, hole)
+    df = plans.QUERIES["m09_jacobi_fill"](spark, str(tmp_path)).toPandas()
+    got = np.full(X.LAT_SHAPE, np.inf)
+    got[df["i"], df["j"]] = df["v"]
+    want = np.where(hole, 0.0, field)
+    for _ in range(2000):
+        mean = (want[:-2, 1:-1] + want[2:, 1:-1] + want[1:-1, :-2] + want[1:-1, 2:]) / 4
+        want[1:-1, 1:-1] = np.where(hole[1:-1, 1:-1], mean, want[1:-1, 1:-1])
+    assert np.abs(got - want).max() < 1e-3
 
 
 def test_streamed_accumulation_equals_the_batch(spark, tmp_path):
