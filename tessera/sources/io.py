@@ -120,12 +120,13 @@ def write_npz(path: str, **arrays) -> None:
     part.replace(path)
 
 
-def read_flat(spark: SparkSession, path: str, shape: tuple[int, int], dtype: str, block_rows: int = 256) -> DataFrame:
+def read_flat(spark: SparkSession, path: str, shape: tuple[int, int], dtype: str, block_rows: int = 256, rows: tuple[int, int] | None = None) -> DataFrame:
     """RASTER rows of a headerless row-major binary, by blocks of rows; complex values give v (real) in grid re and im.
 
-    Every task seeks to its own rows, so a file of any size is read in parallel.
+    Every task seeks to its own rows, so a file of any size is read in parallel, and of a half-open window only its rows.
     """
     item = np.dtype(dtype)
+    low, high = rows or (0, shape[0])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -133,7 +134,7 @@ def read_flat(spark: SparkSession, path: str, shape: tuple[int, int], dtype: str
         files, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
         for batch in batches:
             for first in batch["id"]:
-                n = min(block_rows, shape[0] - first)
+                n = min(block_rows, high - first)
                 with files.open_input_file(root) as f:
                     f.seek(int(first) * shape[1] * item.itemsize)
                     a = np.frombuffer(f.read(n * shape[1] * item.itemsize), item).reshape(n, shape[1])
@@ -143,8 +144,8 @@ def read_flat(spark: SparkSession, path: str, shape: tuple[int, int], dtype: str
                     out["row"] += np.int32(first)
                     yield out
 
-    blocks = spark.range(0, shape[0], block_rows)
-    return blocks.repartition(min(-(-shape[0] // block_rows), 1024)).mapInPandas(run, RASTER)
+    blocks = spark.range(low, high, block_rows)
+    return blocks.repartition(max(1, min(-(-(high - low) // block_rows), 1024))).mapInPandas(run, RASTER)
 
 
 def header_shape(text: str) -> tuple[int, int]:
