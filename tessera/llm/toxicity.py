@@ -55,7 +55,7 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             ok = np.flatnonzero(room[: len(h)] >= n)
             who.append(owner[ok])
             what.append(h[ok] ^ U(n))
-    sums = np.concatenate([[0], np.cumsum(cp * (np.arange(len(cp), dtype=U) * U(2) + U(1)) * U(0x9E3779B97F4A7C15), dtype=U)]).astype(U)
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(cp * (np.arange(len(cp), dtype=U) * U(2) + U(1)) * U(0x9E3779B97F4A7C15), dtype=U)])
     shifts = (ends - lengths).astype(U)
     plain = np.concatenate([np.zeros(1, U), np.cumsum(cp * U(0x9E3779B97F4A7C15), dtype=U)])
     whole = (sums[ends] - sums[ends - lengths]) - U(2) * shifts * (plain[ends] - plain[ends - lengths])
