@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_dedup, pii, quality, sharding, substring_dedup, token_counts, toxicity, warc
+from . import decontaminate, fill_in_middle, merkle, mixing, near_dedup, pii, quality, sharding, substring_dedup, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_sharding": sharding.op9_sharding,
     "op10_pii": pii.op10_pii,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_url_filter": url_filter.op12_url_filter,
+    "op13_merkle": merkle.op13_merkle,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": near_dedup.OP1_SQL,
@@ -24,4 +27,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_mixing": mixing.OP5_SQL,
     "op8_quality_rules": quality.OP8_SQL,
     "op9_sharding": sharding.OP9_SQL,
+    "op11_fill_in_middle": fill_in_middle.OP11_SQL,
+    "op12_url_filter": url_filter.OP12_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }
