@@ -59,6 +59,12 @@ def at_place(values: Column, row: Column, col: Column, shape: tuple[int, int], p
     return F.when((row >= 0) & (row <= shape[0] - 1) & (col >= 0) & (col <= shape[1] - 1), value)
 
 
+def cogrouped(a: DataFrame, b: DataFrame, key: Sequence[str], run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Groups of a with those of b under one key. b's columns get identities of their own, as both may come from one table."""
+    own = b.select(*[F.col(c).alias(c) for c in b.columns])
+    return a.groupBy(*key).cogroup(own.groupBy(*key)).applyInPandas(run, schema)
+
+
 def by_tiles(df: DataFrame, shape: tuple[int, int], size: int, halo: int, kernel: Callable[[dict[str, np.ndarray], int, int], dict[str, np.ndarray]], values: Sequence[str], out: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by, row, col, out) of a kernel of tiles with their halo, for rasters (by, row, col, values).
 

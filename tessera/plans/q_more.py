@@ -283,11 +283,6 @@ def a26(s, d):
     return rounded(e.groupBy("method", "band").agg(F.median("err").alias("err"), F.count("*").alias("n")), 4)
 
 
-@query("m19_refocus")
-def m19(s, d):
-    return s.createDataFrame([(k, round(v, 6)) for k, v in sorted(Z.refocus_self_test().items())], "what string, value double")
-
-
 @query("m04_goldstein")
 def m04(s, d):
     import pandas as pd

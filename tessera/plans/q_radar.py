@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import math
-import uuid
-
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import q
 from tessera.operators import orbits as O
+from tessera.operators import patches as P
+from tessera.operators import refocusing as R
+from tessera.operators import resample as M
 from tessera.sources import granule as G
 
 from . import fixtures as X
 from .q_routes import _path
-from .registry import query, r6, rounded
+from .registry import query, rounded
 
 #: A round body, and a straight orbit over it that SQL can follow; both are exact for cubic Hermite curves.
 BODY = O.Ellipsoid(6371000.0, 6371000.0)
@@ -121,3 +120,66 @@ def s04(s, d):
                 G.write_array(path, f"{product}/metadata/calibrationInformation/frequency{freq}/commonDelay", float(r.n))
         G.close_granule(path)
     return G.grid_of(s, folder).drop("azbw")
+
+
+#: A lattice of offsets over the image pair, with gross offsets besides.
+NODES = M.Lattice((8.0, 6.0), (16.0, 16.0), (15, 8))
+
+
+def _offsets(s, d):
+    return X.lattice(s, d).where(f"row < {NODES.shape[0]} and col < {NODES.shape[1]}").select("row", "col", (0.3 * F.col("azimuth") + 5.0).alias("az"), (0.2 * F.col("range") - 3.0).alias("rg"))
+
+
+def _image(s, d, side):
+    return X.slc_pair(s, d).select("row", "col", F.col(f"{side}_re").alias("re"), F.col(f"{side}_im").alias("im"))
+
+
+_TAP = "CASE WHEN x = 0 THEN 1 ELSE sin(pi() * x) / (pi() * x) END * cos(pi() * x / 8) * cos(pi() * x / 8)"
+
+
+@query("m22_resampling", f"WITH {X.LAT}, {X.PAIR}, nd AS (SELECT i, j, 0.3::DOUBLE * azimuth + 5 AS az, 0.2::DOUBLE * range_ - 3 AS rg FROM lat WHERE i < 15 AND j < 8), e AS (SELECT CAST(unnest(range(0, 240)) AS INT) AS i), o AS (SELECT i, CAST(unnest(range(0, 128)) AS INT) AS j FROM e), t AS (SELECT i, j, least(greatest((i - 8) / 16.0::DOUBLE, 0), 14) AS a, least(greatest((j - 6) / 16.0::DOUBLE, 0), 7) AS b FROM o), lo AS (SELECT *, least(floor(a), 13) AS la, least(floor(b), 6) AS lb FROM t), cn AS (" + " UNION ALL ".join(f"SELECT i, j, la + {a} AS ri, lb + {b} AS rj, ({'a - la' if a else '1 - (a - la)'}) * ({'b - lb' if b else '1 - (b - lb)'}) AS w FROM lo" for a in (0, 1) for b in (0, 1)) + f"), fd AS (SELECT cn.i, cn.j, cn.i + sum(w * coalesce(az, 0)) AS y, cn.j + sum(w * coalesce(rg, 0)) AS x FROM cn LEFT JOIN nd ON nd.i = ri AND nd.j = rj GROUP BY 1, 2), k AS (SELECT CAST(unnest(range(-3, 5)) AS INT) AS k), ty AS (SELECT i, j, CAST(floor(y) AS INT) + k AS p, y - floor(y) - k AS x FROM fd, k), tx AS (SELECT i, j, CAST(floor(x) AS INT) + k AS q, x - floor(x) - k AS x FROM fd, k), wy AS (SELECT i, j, p, {_TAP} AS w FROM ty), wx AS (SELECT i, j, q, {_TAP} AS w FROM tx), ny AS (SELECT i, j, p, w / sum(w) OVER (PARTITION BY i, j) AS w FROM wy), nx AS (SELECT i, j, q, w / sum(w) OVER (PARTITION BY i, j) AS w FROM wx) SELECT ny.i, ny.j, round(sum(ny.w * nx.w * coalesce(s_re, 0)), 4) + 0.0::DOUBLE AS re, round(sum(ny.w * nx.w * coalesce(s_im, 0)), 4) + 0.0::DOUBLE AS im FROM ny JOIN nx ON nx.i = ny.i AND nx.j = ny.j LEFT JOIN pr ON pr.i = p AND pr.j = q GROUP BY 1, 2 HAVING min(p) >= 0 AND max(p) < 240 AND min(q) >= 0 AND max(q) < 128")
+def m22(s, d):
+    return rounded(M.resampled_image(_image(s, d, "s"), _offsets(s, d), NODES, X.PAIR_SHAPE, tile=64), 4)
+
+
+@query("w15_patch_filter")
+def w15(s, d):
+    return rounded(P.patch_filtered(_product(s, d), X.PAIR_SHAPE, tile=64))
+
+
+def _product(s, d):
+    p = X.slc_pair(s, d)
+    re, im = F.col("r_re") * F.col("s_re") + F.col("r_im") * F.col("s_im"), F.col("r_im") * F.col("s_re") - F.col("r_re") * F.col("s_im")
+    return p.select("row", "col", re.alias("re"), im.alias("im"))
+
+
+#: Lines a second, bandwidth, centre and spacing of the pair, and the steering field's lattice.
+BAND = R.Band(1520.0, 1262.5, -557.0, 4.44)
+STEER = M.Lattice((4.0, 4.0), (4.0, 4.0), (58, 31))
+
+
+def _steering(s, d):
+    return X.lattice(s, d).where(f"row < {STEER.shape[0]} and col < {STEER.shape[1]}").select("row", "col", F.col("azimuth").alias("v"))
+
+
+def _flat_pair(s, d):
+    names = {f"{a}_{b}": f"{c}_{b}" for a, c in (("r", "a"), ("s", "b")) for b in ("re", "im")}
+    return X.slc_pair(s, d).withColumnsRenamed(names)
+
+
+@query("m19_refocus")
+def m19(s, d):
+    image, _ = R.refocus(_flat_pair(s, d), _steering(s, d), STEER, X.PAIR_SHAPE, BAND, 0.2, 48, 24, 32, least_spread=0.5, looks=(8, 8))
+    return rounded(image)
+
+
+@query("c08_refocus_sweep")
+def c08(s, d):
+    sweep = R.calibrated(_flat_pair(s, d), _steering(s, d), STEER, X.PAIR_SHAPE, BAND, 48, 32, 6, (0.0, 0.1, 0.2, 0.4), (8, 8))
+    return sweep.select("along_km", F.round("coherence", 6).alias("coherence"), "better", "n")
+
+
+@query("c08_local_gains")
+def c08_gains(s, d):
+    gains = R.local_gains(_flat_pair(s, d), _steering(s, d), STEER, X.PAIR_SHAPE, BAND, 0.2, 48, 32, 0.5, looks=(8, 8))
+    return gains.select("gi", "gj", "gain", F.transform("coherences", lambda c: F.round(c, 6)).alias("coherences"))
