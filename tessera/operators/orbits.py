@@ -8,6 +8,7 @@ image values come from a join on tiles that overlap by as much as a point can mo
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import shared_dir
 
-from .fixpoint import cut
+from .fixpoint import cut, discard
 from .tiling import at_place, tile_arrays
 
 STATE = ("t", "x", "y", "z", "vx", "vy", "vz")
@@ -143,25 +144,31 @@ def _sighted(df: DataFrame, body: Ellipsoid) -> DataFrame:
     return _ground(df.withColumns({f"g_{c}": F.col(f"o_{c}") + F.col("g_r") * (F.col("g_cos") * F.col(f"g_d{c}") + F.col("g_sin") * F.col(f"g_e{c}")) for c in XYZ}), body)
 
 
-def _settling(df: DataFrame, height: Column, body: Ellipsoid, rounds: int) -> DataFrame:
-    """Moves g_rt by what the ground point lies off the wanted height, which may depend on the point, round after round."""
+#: What the rounds go on with.
+_SIGHT = ["g_r", "g_s2", "g_sp", "g_rt", "g_want", "g_h", "lon", "lat", *[f"{p}{c}" for p in ("o_", "g_d", "g_e", "g_") for c in XYZ]]
+
+
+def _settling(df: DataFrame, height: Column, body: Ellipsoid, rounds: int, keep: list[str]) -> DataFrame:
+    """Moves g_rt by what the ground point lies off the wanted height, which may depend on the point, round after round. Each
+    round keeps its own columns only, as the optimizer would carry what it knows of all others from round to round."""
     for _ in range(rounds):
         df = df.withColumn("g_want", height)
-        df = _sighted(df.withColumn("g_rt", F.col("g_rt") + F.col("g_want") - F.col("g_h")), body)
-    return df.withColumn("g_want", height)
+        df = _sighted(df.withColumn("g_rt", F.col("g_rt") + F.col("g_want") - F.col("g_h")), body).select(*keep, *_SIGHT)
+    return df.withColumn("g_want", height).select(*keep, *_SIGHT)
 
 
-def forward(points: DataFrame, states: DataFrame, grid: RadarGrid, surface: float | str | Heights = 0.0, body: Ellipsoid = WGS84, rounds: int = 4, tolerance: float = 0.01, least_incidence: float = 15.0, tile: int = 128) -> DataFrame:
+def forward(points: DataFrame, states: DataFrame, grid: RadarGrid, surface: float | str | Heights = 0.0, body: Ellipsoid = WGS84, rounds: int = 4, tolerance: float = 0.01, least_incidence: float = 15.0, tile: int = 128, passes: int = 8) -> DataFrame:
     """points (row, col, ...) with x, y, z (metres), lon, lat (degrees) and height of the ground that they show.
 
-    surface is a height, a column of heights, or a height model, whose tiles are joined once: rounds over the
-    mean height come first, and a tile's halo is as wide as heights can move a point from there at the least
-    incidence. Null where a range doesn't reach the ground, outside the model, at its gaps, and where the heights aren't
-    met to the tolerance (metres) after the rounds, 6 times as many over a model; null rows, columns or heights give
-    null. No rows give no rows.
+    surface is a height, a column of heights, or a height model. Over a model, rounds over the mean height come first; then
+    each pass joins the points to the model's tiles, whose halo is as wide as heights can move a point from there at the
+    least incidence, makes some rounds inside the tile and is written; passes go on until every point has met its
+    height to the tolerance (metres), `passes` at most. Null where a range doesn't reach the ground, outside
+    the model, at its gaps, where the heights still aren't met (steep slopes that face the radar), and for null rows, columns
+    or heights. No rows give no rows.
     """
     names = [c for c in points.columns if c not in (*XYZ, "lon", "lat", "height")]
-    start = points.select(*names).withColumn("g_id", F.monotonically_increasing_id())
+    start = points.select(*names)
     # one row
     df = _state(start.crossJoin(F.broadcast(orbit_of(states))), F.lit(grid.sensing_start) + F.col("row") / grid.prf)
     side = 1.0 if grid.lookside.lower().startswith("r") else -1.0
@@ -181,22 +188,32 @@ def forward(points: DataFrame, states: DataFrame, grid: RadarGrid, surface: floa
         flat = F.lit(float(mean or 0.0))
     else:
         flat = F.col(surface).cast("double") if isinstance(surface, str) else F.lit(float(surface))
-    df = _sighted(df.withColumn("g_rt", F.lit(body.a) + flat), body)
-    df = _settling(df, flat, body, rounds)
+    df = _sighted(df.withColumn("g_rt", F.lit(body.a) + flat).withColumn("g_want", flat), body).select(*names, *_SIGHT)
+    df = _settling(df, flat, body, rounds, names)
     if model and low is not None:
-        wanted = surface.place(F.col("lon"), F.col("lat"))
+        shared_dir(points.sparkSession)
         reach = max(high - mean, mean - low) / math.tan(math.radians(least_incidence))
         lat_far = min(89.9, max(abs(surface.lat), abs(surface.lat + surface.dy * surface.shape[0])))
         each = math.radians(min(abs(surface.dy), abs(surface.dx) * math.cos(math.radians(lat_far)))) * body.b
         halo = math.ceil(reach / each) + 2
         size = max(tile, 2 * halo)
         tiles = tile_arrays(surface.cells, surface.shape, size, halo, ["v"])
-        keep = [*names, "g_id", *[f"o_{c}" for c in XYZ], *[f"g_d{c}" for c in XYZ], *[f"g_e{c}" for c in XYZ], "g_r", "g_s2", "g_sp", "g_rt", "g_cos", "g_sin", *[f"g_{c}" for c in XYZ], "g_h", "lon", "lat"]
+        tiles = cut(tiles.select(*[F.col(c).alias(f"m_{c}") for c in ("ty", "tx", "r0", "c0", "w", "v")]))
         tile_of = lambda at, n: F.greatest(F.lit(0), F.least(F.lit((n - 1) // size), F.floor(at / size))).cast("int")
-        df = df.select(*keep, tile_of(wanted[0], surface.shape[0]).alias("g_ty"), tile_of(wanted[1], surface.shape[1]).alias("g_tx"))
-        tiles = tiles.select(*[F.col(c).alias(f"m_{c}") for c in ("ty", "tx", "r0", "c0", "w", "v")])
-        df = df.join(tiles, (F.col("g_ty") == F.col("m_ty")) & (F.col("g_tx") == F.col("m_tx")), "left")
-        df = _settling(df, at_place(F.col("m_v"), *wanted, surface.shape, "m_"), body, 6 * rounds)
+        wanted = surface.place(F.col("lon"), F.col("lat"))
+        now = cut(df)
+        for _ in range(passes):
+            placed = now.withColumns({"g_ty": tile_of(wanted[0], surface.shape[0]), "g_tx": tile_of(wanted[1], surface.shape[1])})
+            both = placed.join(tiles, (F.col("g_ty") == F.col("m_ty")) & (F.col("g_tx") == F.col("m_tx")), "left")
+            tile_columns = ["m_r0", "m_c0", "m_w", "m_v"]
+            before, now = now, cut(_settling(both, at_place(F.col("m_v"), *wanted, surface.shape, "m_"), body, rounds, [*names, *tile_columns]).drop(*tile_columns))
+            discard(before)
+            if now.where(F.abs(F.col("g_want") - F.col("g_h")) > tolerance).isEmpty():
+                break
+        discard(tiles)
+        df = now
+    elif model:
+        df = df.withColumn("g_want", F.lit(None).cast("double"))
     met = F.abs(F.col("g_want") - F.col("g_h")) <= tolerance
     return df.select(*names, *[F.when(met, F.col(f"g_{c}")).alias(c) for c in XYZ], *[F.when(met, F.col(c)).alias(c) for c in ("lon", "lat")], F.when(met, F.col("g_h")).alias("height"))
 
@@ -224,11 +241,12 @@ def inverse(points: DataFrame, states: DataFrame, grid: RadarGrid, rounds: int =
     return df.select(*names, F.when(fine, (F.col("o_t") - grid.sensing_start) * grid.prf).alias("az"), F.when(fine, (F.sqrt(_dot(line, line)) - grid.starting_range) / grid.range_spacing).alias("rg"))
 
 
-def geocoded(cells: DataFrame, image: DataFrame, states: DataFrame, grid: RadarGrid, values: list[str], body: Ellipsoid = WGS84, tile: int = 256) -> DataFrame:
+def geocoded(cells: DataFrame, image: DataFrame | Callable[[tuple[int, int], tuple[int, int]], DataFrame], states: DataFrame, grid: RadarGrid, values: list[str], body: Ellipsoid = WGS84, tile: int = 256) -> DataFrame:
     """Map cells (lon, lat, height, ...) with the bilinear values of a radar image (row, col, values).
 
     Cells are placed in the image and written; the lines and samples that they touch, one row, prune the image before it
-    is cut into tiles (a granule's reader then opens the chunks of that box only); each cell joins the tile that it lies in.
+    is cut into tiles; each cell joins the tile that it lies in. image may be a function of (first, after the last) rows and
+    columns, such as a granule's reader, which then opens the chunks of that box only.
     Cells outside the image, without a height, or beside a missing value are null; complex images are geocoded by their
     parts. Nothing is broadcast but the orbit.
     """
@@ -241,7 +259,9 @@ def geocoded(cells: DataFrame, image: DataFrame, states: DataFrame, grid: RadarG
     box = found.where(inside).agg(F.floor(F.min("az")), F.floor(F.max("az")), F.floor(F.min("rg")), F.floor(F.max("rg"))).first()
     if box[0] is None:
         return found.select("g_row.*", *[F.lit(None).cast("double").alias(v) for v in values])
-    seen = image.where(F.col("row").between(int(box[0]), int(box[1]) + 1) & F.col("col").between(int(box[2]), int(box[3]) + 1))
+    rows, cols = (int(box[0]), int(box[1]) + 2), (int(box[2]), int(box[3]) + 2)
+    seen = image(rows, cols) if callable(image) else image
+    seen = seen.where(F.col("row").between(rows[0], rows[1] - 1) & F.col("col").between(cols[0], cols[1] - 1))
     tiles = tile_arrays(seen, shape, tile, 1, values).select(*[F.col(c).alias(f"m_{c}") for c in ("ty", "tx", "r0", "c0", "w", *values)])
     on = (F.floor(F.col("az") / tile) == F.col("m_ty")) & (F.floor(F.col("rg") / tile) == F.col("m_tx"))
     out = found.join(tiles, on & inside, "left")

@@ -87,7 +87,7 @@ def _granules(s, d):
 
 @query("s01_granule_samples", f"WITH {X.PAIR} SELECT 'pair' AS granule, i, j, round(CAST(CAST(s_re AS FLOAT) AS DOUBLE), 5) + 0.0::DOUBLE AS re, round(CAST(CAST(s_im AS FLOAT) AS DOUBLE), 5) + 0.0::DOUBLE AS im FROM pr WHERE i >= 70 AND i < 190 AND j > 20")
 def s01(s, d):
-    samples = G.load_slc(s, _granules(s, d), "B")["samples"].where("row >= 70 and row < 190 and col > 20")
+    samples = G.load_slc(s, _granules(s, d), "B", rows=(70, 190), cols=(21, X.PAIR_SHAPE[1]))["samples"]
     return rounded(samples.where("re <> 0 or im <> 0").withColumns({c: F.col(c).cast("double") for c in ("re", "im")}), 5)
 
 

@@ -2,9 +2,10 @@
 
 A granule is a folder of chunked arrays (Zarr, version 2) under the group paths of the radar products: focused images
 (`radargrid`, `orbit`, `dop`, `slc`), slant-range products (`science/*/RSLC`) and map-grid products (`science/*/GSLC`).
-`spark.read.format("granule")` takes one granule or a folder of granules. Its option `table` is one of TABLES. Filters on
-granule, row and col decide on the driver which chunks are planned, so no task opens another chunk, and are applied to
-the cells of a chunk where it is read; nothing is left for Spark to filter.
+`spark.read.format("granule")` takes one granule or a folder of granules. Its option `table` is one of TABLES; `granules`
+(names, comma-joined), `rows` and `cols` ("first:after") say on the driver which chunks are planned, so no task opens another
+chunk. These are options and not pushed filters, as Spark 4.1 keeps what one query pushes into a Python source for every
+later query of the same DataFrame, which then misses rows; filters of a DataFrame are left to Spark.
 
 Samples are planned as runs of neighbouring chunks of about RUN_BYTES, and a task holds one chunk at a time. A chunk that
 isn't there holds the fill value, as the format has it. Files go through pyarrow's file systems (file, hdfs, s3, gs).
@@ -23,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 RUN_BYTES = 16_000_000
 LIGHT = 299792458.0
@@ -235,35 +236,27 @@ class Run(InputPartition):
     last: int
 
 
+def _range(text: str) -> tuple[int, int]:
+    low, high = text.split(":")
+    return int(low or 0), int(high or 1 << 31)
+
+
 class GranuleReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.table = options["path"], options.get("table", "samples")
         self.pol = options.get("polarization", "HH")
         self.freq = options.get("frequency", "" if self.table == "grids" else "A")
-        self.low, self.high = {"row": 0, "col": 0}, {"row": 1 << 31, "col": 1 << 31}
-        self.only: dict[str, set] = {}
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            name = f.attribute[0] if len(f.attribute) == 1 else None
-            if name == "granule" and isinstance(f, (EqualTo, EqualNullSafe, In)) or name in self.low and self.table == "samples" and isinstance(f, (EqualTo, EqualNullSafe, In)):
-                values = set(f.value) if isinstance(f, In) else {f.value}
-                self.only[name] = self.only.get(name, values) & values
-            elif name in self.low and self.table == "samples" and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                self.low[name] = max(self.low[name], f.value + isinstance(f, GreaterThan))
-            elif name in self.low and self.table == "samples" and isinstance(f, (LessThan, LessThanOrEqual)):
-                self.high[name] = min(self.high[name], f.value + isinstance(f, LessThanOrEqual))
-            elif not (isinstance(f, IsNotNull) and name in ("granule", *self.low)):
-                yield f
+        self.only = {n for n in options.get("granules", "").split(",") if n}
+        self.window = {axis: _range(options.get(f"{axis}s", ":")) for axis in ("row", "col")}
 
     def _wanted(self, axis: str, at: np.ndarray) -> np.ndarray:
-        inside = (at >= self.low[axis]) & (at < self.high[axis])
-        return inside & np.isin(at, [v for v in self.only[axis] if v is not None]) if axis in self.only else inside
+        low, high = self.window[axis]
+        return (at >= low) & (at < high)
 
     def _stores(self) -> list[Store]:
         root = Store(self.path)
         found = [root] if root._read(".zgroup") is not None else [Store(f"{self.path}/{c}") for c in root.children("")]
-        return [s for s in found if ("granule" not in self.only or s.name in self.only["granule"]) and s._read(".zgroup") is not None]
+        return [s for s in found if (not self.only or s.name in self.only) and s._read(".zgroup") is not None]
 
     def partitions(self) -> list[Run]:
         stores = self._stores()
@@ -287,7 +280,10 @@ class GranuleReader(DataSourceReader):
                     at = last + 1
         return runs
 
-    def read(self, run: Run) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
+    def read(self, run: Run | None) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
+        if run is None:
+            # nothing is planned
+            return
         store = Store(run.path)
         if run.image is None:
             yield from _SMALL[self.table](store, self.freq, self.pol)
@@ -318,16 +314,21 @@ class GranuleSource(DataSource):
         return GranuleReader(dict(self.options))
 
 
-def read_granules(spark: SparkSession, path: str, table: str = "samples", **options: str) -> DataFrame:
-    """A table of the granules at a path; options are frequency and polarization."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+Window = tuple[int, int]
+
+
+def read_granules(spark: SparkSession, path: str, table: str = "samples", rows: Window | None = None, cols: Window | None = None, **options: str) -> DataFrame:
+    """A table of the granules at a path, of samples those in a window (first, after the last); other options are frequency,
+    polarization and granules."""
     spark.dataSource.register(GranuleSource)
-    return spark.read.format("granule").options(table=table, **options).load(path)
+    window = {name: f"{w[0]}:{w[1]}" for name, w in (("rows", rows), ("cols", cols)) if w}
+    return spark.read.format("granule").options(table=table, **window, **options).load(path)
 
 
-def load_slc(spark: SparkSession, path: str, freq: str = "A", pol: str = "HH") -> dict[str, DataFrame]:
+def load_slc(spark: SparkSession, path: str, freq: str = "A", pol: str = "HH", rows: Window | None = None, cols: Window | None = None) -> dict[str, DataFrame]:
     """samples, radar, orbit and doppler of focused images and slant-range products."""
-    return {name: read_granules(spark, path, name, frequency=freq, polarization=pol) for name in ("samples", "radar", "orbit", "doppler")}
+    window = {"rows": rows, "cols": cols}
+    return {name: read_granules(spark, path, name, frequency=freq, polarization=pol, **(window if name == "samples" else {})) for name in ("samples", "radar", "orbit", "doppler")}
 
 
 def swath_axes(spark: SparkSession, path: str, freq: str, pol: str = "HH") -> dict[str, DataFrame]:
