@@ -29,9 +29,10 @@ def _corners(values: str, nodes: str) -> str:
     return f"cn AS ({four}), got AS (SELECT cn.i, cn.j, w, {values} FROM cn LEFT JOIN {nodes} n ON n.i = ri AND n.j = rj WHERE w <> 0)"
 
 
-def _lattice_file(s, d, nodata=None, block=32):
-    path = f"{_path(s, 'geotiff')}.tif"
-    T.write_geotiff(X.kept(s, d), path, X.LAT_SHAPE, SRC.transform(), SRC.epsg, nodata, block=block)
+def _lattice_file(s, d, nodata=None, block=16):
+    """The lattice as a mosaic of files of 32 x 32 cells."""
+    path = f"{_path(s, 'geotiff')}.vrt"
+    T.write_mosaic(X.kept(s, d), path, X.LAT_SHAPE, SRC.transform(), SRC.epsg, nodata, block=block, part=32)
     return path
 
 

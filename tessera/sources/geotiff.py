@@ -1,28 +1,30 @@
-"""GeoTIFF files: raster tables to tiled, deflated files and back, one tile a row.
+"""GeoTIFF files and mosaics of them: raster tables to tiled, deflated files and back.
 
-Tasks deflate and inflate tiles; the driver holds one offset and one length for each tile, and passes the bytes of one
-partition at a time on to the file. Files are read and written through pyarrow's file systems (file, hdfs, s3, gs).
+Tasks write and read files, one part or tile at a time; no values pass through the driver. Files go through pyarrow's file
+systems (file, hdfs, s3, gs).
 """
 
 from __future__ import annotations
 
 import struct
 import uuid
+import xml.etree.ElementTree as ET
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.kernels import to_long
 from tessera.schema import RASTER
-from tessera.session import shared_dir
 from tessera.sources.io import read_flat
 
 BLOCK = 512
+#: Lines and samples of a file of a mosaic.
+PART = 2048
 #: Bytes of raw values beyond which a file gets 64-bit offsets.
 BIG = 2_000_000_000
 # fixed values of the file format: field types by number, and sample formats
@@ -66,71 +68,137 @@ def _directory(entries: list[tuple[int, int, list | bytes]], big: bool) -> bytes
     return first + struct.pack(count, len(entries)) + table + b"\0" * inline + behind
 
 
-def write_geotiff(df: DataFrame, path: str, shape: tuple[int, int], transform: tuple[float, ...], epsg: int, nodata: float | None = None, level: int = 6, block: int = BLOCK) -> int:
-    """Writes one grid (row, col, v), or complex (row, col, re, im), as a tiled, deflated GeoTIFF of 32-bit floats.
+@dataclass(frozen=True)
+class Layout:
+    """What a file needs beside its values: block, compression level, transform, projection, nodata, and whether it's complex."""
 
-    Missing cells are NaN if nodata is given and values are real, and 0 else. Cells outside the shape are an error; of a
-    cell that comes twice any one is taken. Tiles without a cell share one blank tile. Returns the bytes written.
-    """
+    block: int
+    level: int
+    transform: tuple[float, ...]
+    epsg: int
+    nodata: float | None
+    cplx: bool
+
+    @property
+    def dtype(self) -> np.dtype:
+        return np.dtype("<c8" if self.cplx else "<f4")
+
+    @property
+    def blank(self) -> float:
+        return np.nan if self.nodata is not None and not self.cplx else 0.0
+
+    def shifted(self, row: int, col: int) -> Layout:
+        x0, dx, _, y0, _, dy = self.transform
+        return replace(self, transform=(x0 + col * dx, dx, 0.0, y0 + row * dy, 0.0, dy))
+
+    def file(self, a: np.ndarray) -> bytes:
+        """The file of a dense array; blank tiles share one."""
+        (rows, cols), n = a.shape, self.block
+        across, down = -(-cols // n), -(-rows // n)
+        big = rows * cols * self.dtype.itemsize > BIG
+        padded = np.full((down * n, across * n), self.blank, self.dtype)
+        padded[:rows, :cols] = a
+        empty = _tile_bytes(np.full((n, n), self.blank, self.dtype), self.level)
+        tiles = [_tile_bytes(np.ascontiguousarray(padded[y * n : (y + 1) * n, x * n : (x + 1) * n]), self.level) for y in range(down) for x in range(across)]
+        x0, dx, _, y0, _, dy = self.transform
+        geographic = 4000 <= self.epsg < 5000
+        keys = [1, 1, 0, 3, 1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1, 2048 if geographic else 3072, 0, 1, self.epsg]
+
+        def header(offsets: list[int], counts: list[int]) -> bytes:
+            wide = 16 if big else 4
+            entries = [(256, 4, [cols]), (257, 4, [rows]), (258, 3, [self.dtype.itemsize * 8]), (259, 3, [8]), (262, 3, [1]), (277, 3, [1]), (317, 3, [1 if self.cplx else 2]), (322, 4, [n]), (323, 4, [n]), (324, wide, offsets), (325, wide, counts), (339, 3, [6 if self.cplx else 3]), (33550, 12, [dx, -dy, 0.0]), (33922, 12, [0.0, 0.0, 0.0, x0, y0, 0.0]), (34735, 3, keys)]
+            if self.nodata is not None and not self.cplx:
+                entries.append((42113, 2, f"{self.nodata!r}".encode() + b"\0"))
+            return _directory(entries, big)
+
+        first = len(header([0] * len(tiles), [0] * len(tiles)))
+        own, at = [], first + len(empty)
+        for t in tiles:
+            own.append(first if t == empty else at)
+            at += 0 if t == empty else len(t)
+        return b"".join([header(own, [len(t) for t in tiles]), empty, *[t for t in tiles if t != empty]])
+
+
+def _put(path: str, data: bytes) -> None:
+    """Writes beside the place and renames, so that a file is whole or not there, however often its task runs."""
+    files, root = _files(path)
+    folder = root.rsplit("/", 1)[0]
+    files.create_dir(folder, recursive=True)
+    beside = f"{folder}/.part-{uuid.uuid4().hex}"
+    with files.open_output_stream(beside) as out:
+        out.write(data)
+    files.move(beside, root)
+
+
+def _written_parts(df: DataFrame, name: Callable[[int, int], str], shape: tuple[int, int], layout: Layout, part: int) -> list[tuple[int, int, int]]:
+    """(row, col, bytes) of the files of a raster's parts, each written by the task that holds its cells as one group."""
+    spark, (rows, cols) = df.sparkSession, shape
+    values = ["re", "im"] if layout.cplx else ["v"]
+
+    def put(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["pi"].iloc[0]), int(pdf["pj"].iloc[0])
+        a = np.full((min(part, rows - i * part), min(part, cols - j * part)), layout.blank, layout.dtype)
+        own = pdf[pdf["row"].notna()]
+        r, c = own["row"].to_numpy(int) - i * part, own["col"].to_numpy(int) - j * part
+        if layout.cplx:
+            a[r, c] = np.nan_to_num(own["re"].to_numpy(float, na_value=np.nan)) + 1j * np.nan_to_num(own["im"].to_numpy(float, na_value=np.nan))
+        else:
+            v = own["v"].to_numpy(float, na_value=np.nan)
+            a[r, c] = np.where(np.isnan(v), layout.blank, v)
+        data = layout.shifted(i * part, j * part).file(a)
+        _put(name(i, j), data)
+        return pd.DataFrame({"pi": [i], "pj": [j], "n": [len(data)]})
+
+    inside = F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1)
+    pi = F.when(inside, F.expr(f"row div {part}")).otherwise(F.raise_error(F.lit("a cell lies outside the grid")).cast("long")).cast("int")
+    across = -(-cols // part)
+    cells = df.select(pi.alias("pi"), F.expr(f"cast(col div {part} as int)").alias("pj"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *[F.col(v).cast("double").alias(v) for v in values])
+    # a row for each part, so that those without cells have a file too
+    every = spark.range(across * -(-rows // part)).select(F.expr(f"cast(id div {across} as int)").alias("pi"), (F.col("id") % across).cast("int").alias("pj"))
+    dealt = cells.unionByName(every, allowMissingColumns=True)
+    # three numbers for each part of part * part cells
+    return [(r.pi * part, r.pj * part, r.n) for r in dealt.groupBy("pi", "pj").applyInPandas(put, "pi int, pj int, n long").orderBy("pi", "pj").collect()]
+
+
+def _layout(df: DataFrame, transform: tuple[float, ...], epsg: int, nodata: float | None, level: int, block: int) -> Layout:
     if transform[2] or transform[4]:
         raise ValueError("the grid is rotated")
     if not epsg:
         raise ValueError("the grid has no projection")
-    spark, cplx = df.sparkSession, "re" in df.columns
-    dtype = np.dtype("<c8" if cplx else "<f4")
-    rows, cols = shape
-    across, down = -(-cols // block), -(-rows // block)
-    blank = np.full((block, block), np.nan if nodata is not None and not cplx else 0, dtype)
-
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = blank.copy()
-        r, c = pdf["row"].to_numpy() % block, pdf["col"].to_numpy() % block
-        if cplx:
-            a[r, c] = np.nan_to_num(pdf["re"].to_numpy(float, na_value=np.nan)) + 1j * np.nan_to_num(pdf["im"].to_numpy(float, na_value=np.nan))
-        else:
-            v = pdf["v"].to_numpy(float, na_value=np.nan)
-            a[r, c] = np.where(np.isnan(v), blank[0, 0], v)
-        data = _tile_bytes(a, level)
-        return pd.DataFrame({"tile": [pdf["tile"].iloc[0]], "n": [len(data)], "data": [data]})
+    return Layout(block, level, transform, epsg, nodata, "re" in df.columns)
 
-    inside = F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1)
-    cell = F.when(inside, F.expr(f"cast(row div {block} as long) * {across} + col div {block}")).otherwise(F.raise_error(F.lit("a cell lies outside the grid")).cast("long"))
-    # a tile is one group of at most block * block cells
-    made = df.withColumn("tile", cell).groupBy("tile").applyInPandas(packed, "tile long, n int, data binary")
-    where = f"{shared_dir(spark)}/tessera/tiles-{uuid.uuid4().hex}"
-    made.write.parquet(where)
-    made = spark.read.parquet(where)
-    # one length for each tile of block * block cells
-    lengths = {r["tile"]: r["n"] for r in made.select("tile", "n").toLocalIterator()}
-    empty = _tile_bytes(blank, level)
-    big = rows * cols * dtype.itemsize > BIG
-    geographic = 4000 <= epsg < 5000
+
+def write_geotiff(df: DataFrame, path: str, shape: tuple[int, int], transform: tuple[float, ...], epsg: int, nodata: float | None = None, level: int = 6, block: int = BLOCK) -> int:
+    """Writes one grid (row, col, v), or complex (row, col, re, im), as a tiled, deflated GeoTIFF of 32-bit floats.
+
+    Missing cells are NaN if nodata is given and values are real, and 0 else. Cells outside the shape are an error; of a
+    cell that comes twice any one is taken. The file is one group, which its task writes and renames into place; a grid
+    of more than PART ** 2 cells is an error, as it is a mosaic's (write_mosaic). Returns the bytes written.
+    """
+    layout = _layout(df, transform, epsg, nodata, level, block)
+    if shape[0] * shape[1] > PART**2:
+        raise ValueError(f"{shape[0]} x {shape[1]} cells are too many for one file; write a mosaic")
+    return _written_parts(df, lambda i, j: path, shape, layout, max(shape))[0][2]
+
+
+def write_mosaic(df: DataFrame, path: str, shape: tuple[int, int], transform: tuple[float, ...], epsg: int, nodata: float | None = None, level: int = 6, block: int = BLOCK, part: int = PART) -> int:
+    """Writes a grid as write_geotiff does, in parts of part * part cells, and a VRT header at `path` that joins them.
+
+    Tasks write the parts, each a whole GeoTIFF in a folder beside the header, and rename them into place; the driver gets the
+    length of each and writes the header last, so a mosaic is there with all its parts or not at all. A part
+    without cells has a file too. Returns the bytes of the parts.
+    """
+    layout = _layout(df, transform, epsg, nodata, level, block)
+    if part % block:
+        raise ValueError("a part has to hold whole blocks")
+    name = path.rsplit("/", 1)[-1].removesuffix(".vrt") + f"-{uuid.uuid4().hex[:12]}"
+    folder = f"{path.rsplit('/', 1)[0]}/{name}"
+    parts = _written_parts(df, lambda i, j: f"{folder}/{i}-{j}.tif", shape, layout, part)
+    sources = "".join(f'<SimpleSource><SourceFilename relativeToVRT="1">{name}/{r // part}-{c // part}.tif</SourceFilename><SourceBand>1</SourceBand><SrcRect xOff="0" yOff="0" xSize="{min(part, shape[1] - c)}" ySize="{min(part, shape[0] - r)}"/><DstRect xOff="{c}" yOff="{r}" xSize="{min(part, shape[1] - c)}" ySize="{min(part, shape[0] - r)}"/></SimpleSource>' for r, c, _ in parts)
     x0, dx, _, y0, _, dy = transform
-    keys = [1, 1, 0, 3, 1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1, 2048 if geographic else 3072, 0, 1, epsg]
-
-    def header(offsets: list[int], counts: list[int]) -> bytes:
-        wide = 16 if big else 4
-        entries = [(256, 4, [cols]), (257, 4, [rows]), (258, 3, [dtype.itemsize * 8]), (259, 3, [8]), (262, 3, [1]), (277, 3, [1]), (317, 3, [1 if cplx else 2]), (322, 4, [block]), (323, 4, [block]), (324, wide, offsets), (325, wide, counts), (339, 3, [6 if cplx else 3]), (33550, 12, [dx, -dy, 0.0]), (33922, 12, [0.0, 0.0, 0.0, x0, y0, 0.0]), (34735, 3, keys)]
-        if nodata is not None and not cplx:
-            entries.append((42113, 2, f"{nodata!r}".encode() + b"\0"))
-        return _directory(entries, big)
-
-    n = across * down
-    at = len(header([0] * n, [0] * n))
-    shared, at = at, at + len(empty)
-    offsets, counts = [], []
-    for k in range(n):
-        size = lengths.get(k)
-        offsets.append(shared if size is None else at)
-        counts.append(len(empty) if size is None else size)
-        at += size or 0
-    files, root = _files(path)
-    with files.open_output_stream(root) as out:
-        out.write(header(offsets, counts))
-        out.write(empty)
-        for r in made.orderBy("tile").select("data").toLocalIterator():
-            out.write(bytes(r["data"]))
-    return at
+    gone = "" if layout.cplx or nodata is None else f"<NoDataValue>{nodata!r}</NoDataValue>"
+    _put(path, f'<VRTDataset rasterXSize="{shape[1]}" rasterYSize="{shape[0]}"><SRS>EPSG:{epsg}</SRS><GeoTransform>{x0!r}, {dx!r}, 0.0, {y0!r}, 0.0, {dy!r}</GeoTransform><VRTRasterBand dataType="{"CFloat32" if layout.cplx else "Float32"}" band="1">{gone}{sources}</VRTRasterBand></VRTDataset>'.encode())
+    return sum(n for _, _, n in parts)
 
 
 @dataclass(frozen=True)
@@ -190,44 +258,87 @@ def geotiff_header(path: str) -> Tiff:
     return Tiff((rows, cols), dtype, block, tiled, tags[324 if tiled else 273], tags[325 if tiled else 279], one(259, 1), one(317, 1), transform, named.get(3072, named.get(2048)), float(tags[42113]) if 42113 in tags else None)
 
 
+def mosaic_header(path: str) -> tuple[tuple[int, int], tuple[float, ...], int | None, list[tuple[str, int, int]]]:
+    """(shape, transform, projection, parts (path, row, col)) of a mosaic; other than whole parts side by side is an error."""
+    files, root = _files(path)
+    with files.open_input_stream(root) as f:
+        top = ET.fromstring(f.read())
+    parts = []
+    for s in top.iter("SimpleSource"):
+        name, src, dst = s.find("SourceFilename"), s.find("SrcRect"), s.find("DstRect")
+        if src.get("xOff") != "0" or src.get("yOff") != "0" or (src.get("xSize"), src.get("ySize")) != (dst.get("xSize"), dst.get("ySize")):
+            raise ValueError("a part of the mosaic is cut or scaled")
+        parts.append((f"{path.rsplit('/', 1)[0]}/{name.text}" if name.get("relativeToVRT") == "1" else name.text, int(dst.get("yOff")), int(dst.get("xOff"))))
+    code = top.findtext("SRS") or ""
+    return (int(top.get("rasterYSize")), int(top.get("rasterXSize"))), tuple(float(x) for x in top.findtext("GeoTransform").split(",")), int(code[5:]) if code.startswith("EPSG:") else None, parts
+
+
+def raster_shape(path: str) -> tuple[int, int]:
+    return mosaic_header(path)[0] if path.endswith(".vrt") else geotiff_header(path).shape
+
+
 def read_geotiff(spark: SparkSession, path: str, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None) -> DataFrame:
-    """RASTER rows of a file, cut to half-open windows; only tiles that meet these are read, in parallel.
+    """RASTER rows of a file or of a mosaic (.vrt), cut to half-open windows; only tiles that meet these are read, in parallel.
 
-    Nodata and non-finite values are null. Complex values give their parts as grids re and im, others the grid v.
+    Nodata and non-finite values are null. Complex values give their parts as grids re and im, others the grid v. A task
+    reads one tile at a time; the parts of a mosaic are opened by tasks only.
     """
-    head = geotiff_header(path)
-    (r0, r1), (c0, c1) = ((max(a, 0), min(b, n)) for (a, b), n in zip((rows or (0, head.shape[0]), cols or (0, head.shape[1])), head.shape, strict=True))
-    (h, w), across = head.block, -(-head.shape[1] // head.block[1])
-    wanted = [(k, head.offsets[k], head.counts[k]) for y in range(r0 // h, -(-r1 // h)) for x in range(c0 // w, -(-c1 // w)) for k in [y * across + x]] if r0 < r1 and c0 < c1 else []
-    shape, dtype, tiled, packed, predictor, nodata = head.shape, np.dtype(head.dtype), head.tiled, head.compression != 1, head.predictor, head.nodata
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files, root = _files(path)
+    if path.endswith(".vrt"):
+        shape, _, _, parts = mosaic_header(path)
+    else:
+        shape, parts = geotiff_header(path).shape, [(path, 0, 0)]
+    (r0, r1), (c0, c1) = ((max(a, 0), min(b, n)) for (a, b), n in zip((rows or (0, shape[0]), cols or (0, shape[1])), shape, strict=True))
+
+    def tiles_of(name: str, row: int, col: int) -> list[tuple]:
+        """The tiles of a part that meet the window, which has to be the whole part's at most."""
+        head = geotiff_header(name)
+        (h, w), across = head.block, -(-head.shape[1] // head.block[1])
+        a, b = max(r0 - row, 0), min(r1 - row, head.shape[0])
+        x, y = max(c0 - col, 0), min(c1 - col, head.shape[1])
+        return [(name, row, col, k, head.offsets[k], head.counts[k]) for i in range(a // h, -(-b // h)) for j in range(x // w, -(-y // w)) for k in [i * across + j]] if a < b and x < y else []
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                if found := tiles_of(r["name"], r["row"], r["col"]):
+                    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), kinds, strict=True)], names=["name", "row", "col", "tile", "at", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads: dict[str, Tiff] = {}
         for batch in batches:
-            with files.open_input_file(root) as f:
-                for k, at, n in zip(batch["tile"], batch["at"], batch["n"], strict=True):
-                    top, left = int(k) // across * h, int(k) % across * w
-                    high = h if tiled else min(h, shape[0] - top)
-                    f.seek(int(at))
-                    raw = f.read(int(n))
-                    raw = zlib.decompress(raw) if packed else raw
-                    a = np.frombuffer(raw, dtype, high * w).reshape(high, w)
-                    if predictor == 2:
-                        u = a.view(f"{dtype.str[0]}u{dtype.itemsize}")
-                        a = np.cumsum(u, axis=1, dtype=f"u{dtype.itemsize}").view(dtype.newbyteorder("="))
-                    a = a[max(r0 - top, 0) : r1 - top, max(c0 - left, 0) : c1 - left]
-                    for grid, values in ({"re": a.real, "im": a.imag} if dtype.kind == "c" else {"v": a}).items():
-                        v = values.astype(float)
-                        if nodata is not None:
-                            v[v == nodata] = np.nan
-                        out = to_long(v, grid_id=grid)
-                        out["row"] += np.int32(max(top, r0))
-                        out["col"] += np.int32(max(left, c0))
-                        yield out
-
-    # one row for each tile that meets the window
-    tiles = spark.createDataFrame(wanted, "tile long, at long, n long")
-    return tiles.repartition(max(1, min(len(wanted), 1024))).mapInPandas(run, RASTER)
+            for t in batch.to_pylist():
+                head = heads.setdefault(t["name"], geotiff_header(t["name"]) if t["name"] not in heads else None)
+                (h, w), across, dtype = head.block, -(-head.shape[1] // head.block[1]), np.dtype(head.dtype)
+                top, left = t["tile"] // across * h, t["tile"] % across * w
+                high = h if head.tiled else min(h, head.shape[0] - top)
+                files, root = _files(t["name"])
+                with files.open_input_file(root) as f:
+                    f.seek(t["at"])
+                    raw = f.read(t["n"])
+                raw = zlib.decompress(raw) if head.compression != 1 else raw
+                a = np.frombuffer(raw, dtype, high * w).reshape(high, w)
+                if head.predictor == 2:
+                    u = a.view(f"{dtype.str[0]}u{dtype.itemsize}")
+                    a = np.cumsum(u, axis=1, dtype=f"u{dtype.itemsize}").view(dtype.newbyteorder("="))
+                a = a[: head.shape[0] - top, : head.shape[1] - left]
+                y, x = top + t["row"], left + t["col"]
+                a = a[max(r0 - y, 0) : max(r1 - y, 0), max(c0 - x, 0) : max(c1 - x, 0)]
+                i, j = (k.ravel().astype(np.int32) + np.int32(n) for k, n in zip(np.indices(a.shape), (max(y, r0), max(x, c0)), strict=True))
+                for grid, values in ({"re": a.real, "im": a.imag} if dtype.kind == "c" else {"v": a}).items():
+                    v = values.astype(float).ravel()
+                    gone = ~np.isfinite(v) if head.nodata is None else ~np.isfinite(v) | (v == head.nodata)
+                    yield pa.RecordBatch.from_arrays([pa.array([grid]).take(pa.array(np.zeros(len(v), np.int32))), pa.array(i), pa.array(j), pa.array(v, mask=gone)], names=["grid_id", "row", "col", "v"])
+
+    fields = "name string, row int, col int, tile long, at long, n long"
+    if len(parts) > 1:
+        meet = spark.createDataFrame(parts, "name string, row int, col int").repartition(max(1, min(len(parts), 1024)))
+        tiles = meet.mapInArrow(listed, fields)
+    else:
+        # one row for each tile that meets the window
+        found = [t for p in parts for t in tiles_of(*p)]
+        tiles = spark.createDataFrame(found, fields).repartition(max(1, min(len(found), 1024)))
+    return tiles.mapInArrow(run, RASTER)
 
 
 def open_raster(spark: SparkSession, path: str, shape: tuple[int, int], dtype: str, rows: slice = slice(None), cols: tuple[int, int] | None = None) -> DataFrame:
@@ -242,6 +353,6 @@ def open_raster(spark: SparkSession, path: str, shape: tuple[int, int], dtype: s
     if files.get_file_info(root).size == shape[0] * shape[1] * np.dtype(dtype).itemsize:
         out = read_flat(spark, path, shape, dtype, rows=(first, max(first, stop)))
         return out if cols is None else out.where((F.col("col") >= cols[0]) & (F.col("col") < cols[1]))
-    if geotiff_header(path).shape != tuple(shape):
-        raise ValueError(f"{path} is {geotiff_header(path).shape}, not {tuple(shape)}")
+    if raster_shape(path) != tuple(shape):
+        raise ValueError(f"{path} is {raster_shape(path)}, not {tuple(shape)}")
     return read_geotiff(spark, path, (first, max(first, stop)), cols)

@@ -125,3 +125,31 @@ def test_delays_have_to_agree(spark):
     G.check_delay(make([]))
     with pytest.raises(ValueError, match=r"A 2 9\.4948 m \(1\.00 cells\)"):
         G.check_delay(make([("A", "1", 2.0, 2e7), ("A", "2", 2.0 + G.LIGHT / 4e7, 2e7)]))
+
+
+def test_mosaic_of_parts(spark, tmp_path):
+    a = np.round(np.random.default_rng(2).normal(size=(75, 50)), 3).astype(np.float32).astype(float)
+    a[40:, 30:] = np.nan
+    path = f"{tmp_path}/m.vrt"
+    n = T.write_mosaic(table(spark, a), path, a.shape, GT, 32606, -9999.0, block=8, part=24)
+    shape, transform, epsg, parts = T.mosaic_header(path)
+    assert shape == a.shape and transform == GT and epsg == 32606 and len(parts) == 12 and n == sum(os.path.getsize(p[0]) for p in parts)
+    inner = next(p for p in parts if p[1:] == (24, 48))
+    head = T.geotiff_header(inner[0])
+    assert head.shape == (24, 2) and head.transform == (GT[0] + 48 * GT[1], GT[1], 0.0, GT[3] + 24 * GT[5], 0.0, GT[5])
+    got = T.read_geotiff(spark, path)
+    assert got.count() == a.size
+    np.testing.assert_array_equal(array(got, a.shape), a)
+    box = T.read_geotiff(spark, path, (20, 61), (10, 33)).collect()
+    assert len(box) == 41 * 23 and all((r.v is None) == bool(np.isnan(a[r.row, r.col])) and (r.v is None or r.v == a[r.row, r.col]) for r in box)
+    assert T.open_raster(spark, path, a.shape, "float32", slice(-5, None)).count() == 5 * 50
+    with pytest.raises(ValueError, match="too many"):
+        T.write_geotiff(table(spark, a), f"{tmp_path}/x.tif", (5000, 5000), GT, 32606)
+    with pytest.raises(ValueError, match="whole blocks"):
+        T.write_mosaic(table(spark, a), path, a.shape, GT, 32606, block=16, part=24)
+    z = spark.createDataFrame([(3, 30, 1.5, -2.0), (0, 0, 1.0, None)], "row int, col int, re double, im double")
+    T.write_mosaic(z, f"{tmp_path}/z.vrt", (20, 40), GT, 3413, block=8, part=16)
+    got = {(r.grid_id, r.row, r.col): r.v for r in T.read_geotiff(spark, f"{tmp_path}/z.vrt").where("v <> 0").collect()}
+    assert got == {("re", 3, 30): 1.5, ("im", 3, 30): -2.0, ("re", 0, 0): 1.0}
+    assert T.write_mosaic(z.limit(0), f"{tmp_path}/e.vrt", (20, 40), GT, 3413, block=8, part=16) > 0
+    assert not [f for _, _, names in os.walk(tmp_path) for f in names if f.startswith(".part")]
