@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import magnitude, times_conj
 
+from .selection import median, percentiles
+
 
 def cell(name: str, size: int):
     return F.expr(f"{name} div {size}").cast("int")
@@ -53,6 +55,35 @@ def accumulate(stack: DataFrame, fy: int, fx: int, date: str = "d", by: Sequence
     return out.select(*by, "d1", "d2", "row", "col", "z_re", "z_im", "p1", "p2", (F.least("ok1", "ok2") / (fy * fx)).alias("n"))
 
 
+def block_power(samples: DataFrame, fy: int, fx: int, date: str = "d", by: Sequence[str] = ("freq",)) -> DataFrame:
+    """(by, d, row, col, p, ok): the power and the valid samples of each date and block."""
+    power = F.col("re") * F.col("re") + F.col("im") * F.col("im")
+    s = samples.where("re is not null and im is not null")
+    return s.groupBy(*by, F.col(date).alias("d"), cell("row", fy).alias("row"), cell("col", fx).alias("col")).agg(F.sum(power).alias("p"), F.sum((power > 0).cast("long")).alias("ok"))
+
+
+def accumulate_new(new: DataFrame, every: DataFrame, power: DataFrame, fy: int, fx: int, by: Sequence[str] = ("freq",)) -> DataFrame:
+    """What accumulate() gives of the pairs that have a date of `new`, from the samples of those dates, of all dates
+    (by, d, row, col, re, im) and the power of all dates (block_power).
+
+    Cells of new dates join those of all dates, so dates that were there before are never paired with each other. A pair of
+    two new dates is met once, from its earlier date.
+    """
+    keys = [*by, "row", "col"]
+    valid = "re is not null and im is not null"
+    a = new.where(valid).select(*keys, F.col("d").alias("dn"), F.col("re").alias("re1"), F.col("im").alias("im1"))
+    fresh = F.broadcast(new.select(F.col("d").alias("df")).distinct())  # the dates of one batch
+    b = every.where(valid).select(*keys, "d", "re", "im").join(fresh, F.col("d") == F.col("df"), "left")
+    pairs = a.join(b, keys).where((F.col("d") != F.col("dn")) & (F.col("df").isNull() | (F.col("dn") < F.col("d"))))
+    first = F.col("dn") < F.col("d")
+    re, im = times_conj(F.col("re1"), F.col("im1"), F.col("re"), F.col("im"))
+    blocks = [cell("row", fy).alias("row"), cell("col", fx).alias("col")]
+    z = pairs.groupBy(*by, F.least("dn", "d").alias("d1"), F.greatest("dn", "d").alias("d2"), *blocks).agg(F.sum(re).alias("z_re"), F.sum(F.when(first, im).otherwise(-im)).alias("z_im"))
+    of = lambda n: power.select(*keys, F.col("d").alias(f"d{n}"), F.col("p").alias(f"p{n}"), F.col("ok").alias(f"ok{n}"))
+    out = z.join(of(1), [*keys, "d1"]).join(of(2), [*keys, "d2"])
+    return out.select(*by, "d1", "d2", "row", "col", "z_re", "z_im", "p1", "p2", (F.least("ok1", "ok2") / (fy * fx)).alias("n"))
+
+
 def merge_accumulations(old: DataFrame, new: DataFrame) -> DataFrame:
     """Two accumulations of disjoint pairs as one; rows of `new` replace rows of equal key."""
     keys = ["freq", "d1", "d2", "row", "col"]
@@ -120,19 +151,21 @@ def residual_constant(df: DataFrame, value: str = "v", least: int = 20) -> DataF
 
     sigma is 1.4826 times the median absolute deviation, 1e-6 at least; fewer than `least` values raise an error.
     """
-    one = df.agg(F.median(value).alias("med"), F.count(value).alias("n"))
-    both = df.crossJoin(F.broadcast(one))
-    spread = both.agg(F.greatest(1.4826 * F.median(F.abs(F.col(value) - F.col("med"))), F.lit(1e-6)).alias("sigma"))
-    kept = both.crossJoin(F.broadcast(spread)).where(F.abs(F.col(value) - F.col("med")) <= 3 * F.col("sigma"))
-    out = kept.agg(F.first("med").alias("med"), F.first("sigma").alias("sigma"), F.first("n").alias("n"), F.median(value).alias("level"))
+    mid = median(df, value)
+    wide = median(df.where(F.col(value).isNotNull()), F.abs(F.col(value) - F.lit(mid)))
+    sigma = None if wide is None else max(1.4826 * wide, 1e-6)
+    kept = df.where(F.abs(F.col(value) - F.lit(mid)) <= F.lit(sigma) * 3)
+    level, n = median(kept, value), df.where(F.col(value).isNotNull()).count()
+    out = df.sparkSession.createDataFrame([(mid, sigma, n, level)], "med double, sigma double, n long, level double")
     return out.withColumn("level", F.when(F.coalesce("n", F.lit(0)) >= least, F.col("level")).otherwise(F.raise_error(F.lit("too few values for a constant")).cast("double")))
 
 
 def stats(df: DataFrame, value: str = "v") -> DataFrame:
     """One row: share of valid values, 1st, 50th and 99th percentile, and the symmetric limit around the median."""
-    p = df.agg(F.avg(F.col(value).isNotNull().cast("double")).alias("valid"), *[F.percentile(value, x).alias(f"p{int(100 * x):02d}") for x in (0.01, 0.5, 0.99)])
-    lim = df.crossJoin(F.broadcast(p.select("p50"))).agg(F.percentile(F.abs(F.col(value) - F.col("p50")), 0.98).alias("half_width"))
-    return p.crossJoin(lim)
+    low, mid, high = percentiles(df, value, (0.01, 0.5, 0.99))
+    (half,) = percentiles(df, F.abs(F.col(value) - F.lit(mid)), (0.98,))
+    p = df.agg(F.avg(F.col(value).isNotNull().cast("double")).alias("valid"))
+    return p.select("valid", *[F.lit(x).cast("double").alias(n) for n, x in (("p01", low), ("p50", mid), ("p99", high), ("half_width", half))])
 
 
 def largest_share(labels: DataFrame, label: str = "label") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.session import shared_dir
 
 from .robust import least_squares3
+from .selection import median
 from .stencil import neighbours
 
 
@@ -174,9 +175,10 @@ def robust_plane(grid: DataFrame, rounds: int = 3) -> DataFrame:
     for _ in range(rounds):
         fit = least_squares3(known, terms, F.col("v"), F.col("w"))
         resid = known.select("row", "col", "v").crossJoin(F.broadcast(fit)).withColumn("r", F.col("v") - value)
-        mid = resid.agg(F.median("r").alias("m_"))
-        mad = resid.crossJoin(F.broadcast(mid)).agg(F.greatest(1.4826 * F.median(F.abs(F.col("r") - F.col("m_"))), F.lit(1e-12)).alias("s_"))
-        known = cut(resid.crossJoin(F.broadcast(mad)).select("row", "col", "v", (1 / F.sqrt(1 + F.pow(F.col("r") / (4.685 * F.col("s_")), 2))).alias("w")))
+        mid = median(resid, "r")
+        wide = median(resid, F.abs(F.col("r") - F.lit(mid)))
+        mad = max(1.4826 * wide, 1e-12) if wide is not None else None
+        known = cut(resid.select("row", "col", "v", (1 / F.sqrt(1 + F.pow(F.col("r") / (4.685 * F.lit(mad)), 2))).alias("w")))
     out = grid.crossJoin(F.broadcast(fit)).withColumn("fit", value).drop("c0", "c1", "c2")
     return out.withColumn("filled", F.coalesce("v", "fit"))
 

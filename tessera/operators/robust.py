@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .blocks import cell
+from .selection import median
 from .stencil import running_median
 
 
@@ -41,10 +42,10 @@ def reject_block_outliers(df: DataFrame, channels: Sequence[str], k: float = 5.0
 
 def reject_median9(df: DataFrame, n: float = 3.0, value: str = "v", size: int = 9) -> DataFrame:
     """Rows within n * 1.4826 * MAD (of all values) of the running median."""
-    mid = df.agg(F.median(value).alias("m_"))
-    mad = df.crossJoin(F.broadcast(mid)).agg(F.median(F.abs(F.col(value) - F.col("m_"))).alias("mad_"))
-    out = running_median(df.where(F.col(value).isNotNull()), size, value).crossJoin(F.broadcast(mad))
-    return out.where(F.abs(F.col(value) - F.col("med")) < n * 1.4826 * F.col("mad_")).drop("mad_")
+    mid = median(df, value)
+    wide = median(df, F.abs(F.col(value) - F.lit(mid)))
+    out = running_median(df.where(F.col(value).isNotNull()), size, value)
+    return out.where(F.abs(F.col(value) - F.col("med")) < F.lit(wide) * n * 1.4826)
 
 
 def _solve3(s: dict[str, Column], b: Sequence[Column]) -> list[Column]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars as S
 from tessera.operators import geometry as G
 from tessera.sources import geotiff as T
-from tessera.sources.grids import Grid, resampled
+from tessera.sources.grids import Grid, resampled, write_lattice_map
 
 from . import fixtures as X
 from .q_routes import _path
@@ -106,3 +106,22 @@ def k07(s, d):
     lat, state = X.lattice(s, d), X.kept(s, d)
     other = G.state_or_zero(lat, state, (1, 1)).withColumnRenamed("v", "other")
     return rounded(G.state_or_zero(lat, state, X.LAT_SHAPE).join(other, ["row", "col"]))
+
+
+#: A map grid finer than the lattice, so that most cells hold no node.
+_MAP = Grid(995.0, 515.0, 1.0, 140, 150, 3413)
+_CLOSE = ", ".join(f"({i}, {j})" for i in range(-4, 5) for j in range(-4, 5) if i * i + j * j <= 16)
+
+
+def _closed(name: str, value: str) -> str:
+    """SQL: mean of a column by map cell, then the nearest within four cells."""
+    return f"{name}0 AS (SELECT a, b, avg({value}) AS v FROM nd WHERE {value} IS NOT NULL GROUP BY a, b), {name} AS (SELECT a + di AS i, b + dj AS j, arg_min(v, (di * di + dj * dj) * 1000000 + a * 1000 + b) AS v FROM {name}0, near WHERE a BETWEEN 0 AND 149 AND b BETWEEN 0 AND 139 AND a + di BETWEEN 0 AND 149 AND b + dj BETWEEN 0 AND 139 GROUP BY 1, 2)"
+
+
+@query("k12_lattice_map", f"WITH {X.LAT}, near(di, dj) AS (VALUES {_CLOSE}), nd AS (SELECT azimuth AS v, CASE WHEN snr >= 8 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ok, CAST(trunc((500.3::DOUBLE - 1.37::DOUBLE * i + 0.21::DOUBLE * j - 515) / -1.0::DOUBLE) AS INT) AS a, CAST(trunc(1001.2::DOUBLE + 1.91::DOUBLE * j + 0.17::DOUBLE * i - 995) AS INT) AS b FROM lat), {_closed('vv', 'v')}, {_closed('va', 'ok')} SELECT vv.i, vv.j, round(CAST(CAST(vv.v AS FLOAT) AS DOUBLE), 5) + 0.0::DOUBLE AS v, va.v > 0.5 AS valid FROM vv JOIN va ON va.i = vv.i AND va.j = vv.j")
+def k12(s, d):
+    row, col = F.col("row"), F.col("col")
+    nodes = X.lattice(s, d).select((1001.2 + 1.91 * col + 0.17 * row).alias("x"), (500.3 - 1.37 * row + 0.21 * col).alias("y"), F.col("azimuth").alias("v"), F.when(F.col("snr") >= 8, 1.0).otherwise(0.0).alias("valid"))
+    value, valid = write_lattice_map(nodes, _MAP, _path(s, "lattice-map"), block=16, part=64)
+    both = T.read_geotiff(s, value).where("v is not null").join(T.read_geotiff(s, valid).select("row", "col", (F.col("v") > 0.5).alias("valid")), ["row", "col"])
+    return rounded(both.drop("grid_id"), 5)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.joins import bilinear, edges, fractional
+from tessera.operators.joins import bilinear, edges, fractional, scatter_mean
 from tessera.operators.kernels import utm
 
 
@@ -120,6 +120,43 @@ def resampled(points: DataFrame, field: DataFrame, src: Grid, order: int = 1) ->
     return points.select("row", "col").join(got, ["row", "col"], "left")
 
 
+def closed_speckle(cells: DataFrame, shape: tuple[int, int], reach: float = 4.0) -> DataFrame:
+    """cells (row, col, v) with the cells of the shape that have none but lie within reach of one: they take the nearest
+    value, of equally near ones that of the smallest row, then column.
+
+    Each cell offers its value to the cells around it, a number that the reach sets, and the nearest offer wins in one
+    grouping with partial minima; nothing is compared with the whole grid.
+    """
+    k = int(reach)
+    around = [(i, j) for i in range(-k, k + 1) for j in range(-k, k + 1) if i * i + j * j <= reach * reach]
+    offers = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(i * i + j * j).alias("d")) for i, j in around]))
+    dealt = cells.where("v is not null").withColumn("o", offers).select((F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), F.struct(F.col("o.d").alias("d"), F.col("row").alias("r"), F.col("col").alias("c"), "v").alias("offer"))
+    inside = F.col("row").between(0, shape[0] - 1) & F.col("col").between(0, shape[1] - 1)
+    return dealt.where(inside).groupBy("row", "col").agg(F.min("offer").alias("offer")).select("row", "col", F.col("offer.v").alias("v"))
+
+
+def lattice_to_map(nodes: DataFrame, grid: Grid, reach: float = 4.0) -> DataFrame:
+    """(row, col, v, valid) of the cells of a map grid that lattice nodes (x, y, v, valid) or their neighbours reach.
+
+    A cell has the mean of the nodes in it, and cells within reach of one that has the nearest; valid is whether more than half
+    of the cell's nodes are. Cells beyond have no row. Nodes without a value count for valid only.
+    """
+    mean = lambda v: scatter_mean(nodes, grid.x0, grid.y0, grid.posting, -grid.posting, grid.nx, grid.ny, v).select("row", "col", F.col("mean").alias("v"))
+    shape = (grid.ny, grid.nx)
+    share = closed_speckle(mean("valid"), shape, reach).select("row", "col", (F.col("v") > 0.5).alias("valid"))
+    return closed_speckle(mean("v"), shape, reach).join(share, ["row", "col"], "full")
+
+
+def write_lattice_map(nodes: DataFrame, grid: Grid, path: str, reach: float = 4.0, **options) -> tuple[str, str]:
+    """Writes the values and the validity of lattice_to_map as two mosaics, path.vrt and path_valid.vrt, with NaN elsewhere."""
+    from .geotiff import write_mosaic
+
+    made = lattice_to_map(nodes, grid, reach)
+    for name, v in ((f"{path}.vrt", F.col("v")), (f"{path}_valid.vrt", F.col("valid").cast("double"))):
+        write_mosaic(made.select("row", "col", v.alias("v")), name, (grid.ny, grid.nx), grid.transform(), grid.epsg, float("nan"), **options)
+    return f"{path}.vrt", f"{path}_valid.vrt"
+
+
 def cyclic_colours(n: int = 256) -> np.ndarray:
     """n RGB rows in 0..1 once around the hue circle at constant lightness and saturation, for wrapped phase."""
     return np.array([colorsys.hls_to_rgb(k / n, 0.5, 0.9) for k in range(n)])

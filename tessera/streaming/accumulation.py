@@ -11,32 +11,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.blocks import accumulate, cell
+from tessera.operators.blocks import accumulate_new, block_power
 
-
-def block_power(samples: DataFrame, fy: int, fx: int) -> DataFrame:
-    """Running (freq, d, row, col, p, ok) of a streamed or static table of samples (freq, d, row, col, re, im)."""
-    power = F.col("re") * F.col("re") + F.col("im") * F.col("im")
-    return samples.groupBy("freq", "d", cell("row", fy).alias("row"), cell("col", fx).alias("col")).agg(F.sum(power).alias("p"), F.sum((power > 0).cast("long")).alias("ok"))
+SAMPLES = "freq string, row int, col int, re double, im double, d string, batch long"
 
 
 def accumulate_stream(samples: DataFrame, store: str, fy: int, fx: int, checkpoint: str) -> StreamingQuery:
-    """Writes the samples of a stream to store/samples, by date and batch, and the pairs of its dates to store/pairs.
+    """Writes the samples (freq, d, row, col, re, im) of a stream to store/samples, by date and batch, the power of their
+    dates to store/power, and the pairs of these dates with all dates to store/pairs.
 
-    Pairs are partitioned by (d1, d2). Those of a date that a batch adds to are computed again from all samples of both
-    dates and replaced, so a batch that runs again leaves the same files.
+    A batch reads the samples of its own dates and joins them to the stored samples of all dates, once; pairs of dates
+    that it doesn't add to are neither formed nor written. Power is kept by date, so that of other dates is read as it
+    stands. All three tables are replaced by partition (date and batch, date, pair), so a batch that runs again, or goes on after a failure at any
+    point, leaves the same files.
     """
 
     def on_batch(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        write = lambda df, name, *keys: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{store}/{name}")
         batch.persist()
-        dates = [r["d"] for r in batch.select("d").distinct().collect()]  # the dates of one batch
-        if dates:
-            write = lambda df, name, *keys: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{store}/{name}")
+        try:
+            dates = [r["d"] for r in batch.select("d").distinct().collect()]  # the dates of one batch
+            if not dates:
+                return
             write(batch.select("freq", "row", "col", "re", "im", "d").withColumn("batch", F.lit(number).cast("long")), "samples", "d", "batch")
-            every = spark.read.schema("freq string, row int, col int, re double, im double, d string, batch long").parquet(f"{store}/samples").drop("batch")
-            pairs = accumulate(every, fy, fx).where(F.col("d1").isin(dates) | F.col("d2").isin(dates))
-            write(pairs, "pairs", "d1", "d2")
-        batch.unpersist()
+        finally:
+            batch.unpersist()
+        every = spark.read.schema(SAMPLES).parquet(f"{store}/samples").drop("batch")
+        new = every.where(F.col("d").isin(dates))
+        write(block_power(new, fy, fx).select("freq", "row", "col", "p", "ok", "d"), "power", "d")
+        power = spark.read.schema("freq string, row int, col int, p double, ok long, d string").parquet(f"{store}/power")
+        write(accumulate_new(new, every, power, fy, fx), "pairs", "d1", "d2")
 
     return samples.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

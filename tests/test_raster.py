@@ -217,13 +217,64 @@ def test_streamed_accumulation_equals_the_batch(spark, tmp_path):
     assert key(got) == key(want)
 
 
-def test_entry_works_without_the_text_operators():
+def test_a_batch_touches_its_dates_and_their_partners_only(spark, tmp_path):
+    schema = "freq string, d string, row int, col int, re double, im double"
+    r = np.random.default_rng(9)
+    rows = [("A", d, i, j, *([None, 0.5] if (i, j) == (1, 2) else r.normal(size=2).tolist())) for d in "abcd" for i in range(4) for j in range(5)]
+    frame = lambda dates: spark.createDataFrame([x for x in rows if x[1] in dates], schema)
+    power = B.block_power(frame("abcd"), 2, 2)
+    part = B.accumulate_new(frame("bd"), frame("abcd"), power, 2, 2)
+    key = lambda df: sorted((x.d1, x.d2, x.row, x.col, *(round(v, 9) for v in (x.z_re, x.z_im, x.p1, x.p2, x.n))) for x in df.collect())
+    whole = B.accumulate(frame("abcd"), 2, 2)
+    assert key(part) == key(whole.where("d1 in ('b', 'd') or d2 in ('b', 'd')")) and part.where("d1 = 'a' and d2 = 'c'").count() == 0
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    store = f"{tmp_path}/store"
+    for k, dates in enumerate(["ab", "c", "d"]):
+        # the stream stops after every batch and goes on
+        frame(dates).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        old = {p: os.stat(p).st_mtime_ns for p in map(str, (tmp_path / "store").glob("p*/**/*.parquet"))}
+        accumulate_stream(stream(), store, 2, 2, f"{tmp_path}/ck").awaitTermination()
+        assert all(os.stat(p).st_mtime_ns == t for p, t in old.items())
+    assert key(spark.read.parquet(f"{store}/pairs")) == key(whole)
+
+
+def test_exact_selection_by_passes(spark, monkeypatch):
+    from tessera.operators import selection as Q
+
+    monkeypatch.setattr(Q, "FEW_ROWS", 3)
+    monkeypatch.setattr(Q, "BUCKETS", 8)
+    r = np.random.default_rng(1)
+    samples = [r.normal(size=501), np.repeat([1.0, 2.0, 7.0], [200, 1, 99]), r.lognormal(0, 8, 300), np.array([5.0]), np.array([-1e308, 0.0, 1e308, 3.0]), np.round(r.normal(size=400), 1)]
+    for a in samples:
+        df = spark.createDataFrame([(float(x),) for x in a] + [(None,)], "v double")
+        ranks = sorted({0, len(a) // 3, len(a) // 2, len(a) - 1})
+        assert Q.order_statistics(df, "v", ranks) == np.sort(a)[ranks].tolist()
+        got = Q.percentiles(df, "v", (0.0, 0.25, 0.5, 0.99))
+        want = df.agg(*[F.percentile("v", p) for p in (0.0, 0.25, 0.5, 0.99)]).first()
+        assert got == list(want) and Q.median(df, "v") == want[2]
+    assert Q.median(df.limit(0), "v") is None
+    with pytest.raises(ValueError, match="ranks"):
+        Q.order_statistics(df, "v", [400])
+
+
+def test_entry_works_without_the_text_operators(tmp_path):
+    """In a copy without them, and a fault inside them isn't taken for their absence."""
+    import shutil
+    import subprocess
     import sys
 
     import __spark_entry__ as entry
 
     assert set(plans.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
-    assert not any(m.startswith("tessera.llm") for m in sys.modules if getattr(sys.modules[m], "__file__", None) and "tessera/plans" in sys.modules[m].__file__)
+    home = os.path.dirname(entry.__file__)
+    shutil.copytree(f"{home}/tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{home}/__spark_entry__.py", tmp_path)
+    told = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    assert told().stdout.split() == [str(len(plans.QUERIES)), str(len(plans.ORACLE_SQL))]
+    (tmp_path / "tessera/llm").mkdir()
+    (tmp_path / "tessera/llm/__init__.py").write_text("import a_library_that_is_not_here")
+    (tmp_path / "corpus_pipeline.py").write_text("import tessera.llm")
+    assert "a_library_that_is_not_here" in told().stderr
 
 
 def test_commands(spark, tmp_path, capsys):
