@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -146,24 +148,24 @@ class Tags:
 def _whole_secrets(text: str, added: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of the other kinds, and each run of code characters of which at least half is tagged as secret."""
     out = [x for x in added if x[0] != 4]
-    tagged: dict[tuple[int, int], int] = {}
-    for _, a, b in (x for x in added if x[0] == 4):
-        while a < b:
-            if (run := _CODE.match(text, a)) is None:
-                a += 1
-                continue
-            end = run.end()
-            start = a
-            while start > 0 and _CODE.match(text, start - 1, start):
-                start -= 1
-            tagged[start, end] = tagged.get((start, end), 0) + min(b, end) - a
-            a = end
-    return out + [(4, a, b) for (a, b), n in tagged.items() if 2 * n >= b - a]
+    secret = [(a, b) for k, a, b in added if k == 4]
+    if not secret:
+        return out
+    # the runs of the text, once; tagged spans are in order
+    runs = [(m.start(), m.end()) for m in _CODE.finditer(text, 0)]
+    starts, tagged = [a for a, _ in runs], [0] * len(runs)
+    for a, b in secret:
+        k = max(bisect_right(starts, a) - 1, 0)
+        while k < len(runs) and runs[k][0] < b:
+            tagged[k] += max(0, min(b, runs[k][1]) - max(a, runs[k][0]))
+            k += 1
+    return out + [(4, a, b) for (a, b), n in zip(runs, tagged, strict=True) if n and 2 * n >= b - a]
 
 
 def merged(text: str, base: list[tuple[int, int, int]], added: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Base spans and those added ones that are plausible, whole words and clear of base spans, by kind and start."""
     taken = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     out = list(base)
     for kind, a, b in _whole_secrets(text, added):
         while b > a and text[b - 1] in _AROUND:
@@ -171,7 +173,9 @@ def merged(text: str, base: list[tuple[int, int, int]], added: list[tuple[int, i
         while a < b and text[a] in _AROUND:
             a += 1
         inside = text[a - 1 : a].isalnum() or text[b : b + 1].isalnum()
-        if b > a and not inside and not any(x < b and a < y for x, y in taken) and plausible(kind, text[a:b]):
+        # spans that begin before b, of which the farthest end tells whether one goes beyond a
+        before = bisect_left(starts, b)
+        if b > a and not inside and not (before and reach[before - 1] > a) and plausible(kind, text[a:b]):
             out.append((kind, a, b))
     return sorted(out)
 

@@ -356,3 +356,19 @@ def test_secrets_are_added_in_unseen_documents(made):
     assert sum(x.n_added for i, x in out.items() if i >= 1000) <= 2
     assert not any(out[i].private for i in (*range(2000, 2040), 3000, 3001))
     assert pii.personal_data(made([])).collect() == []
+
+
+def test_long_runs_of_code_are_read_once():
+    import time
+
+    from tessera.llm import pii
+
+    text = "key " + "aB3" * 400_000 + " end ab12 " + "x" * 20
+    n = text.index(" end")
+    tagged = [(4, k, k + 1) for k in range(4, n, 2)] + [(4, n + 5, n + 6)]
+    began = time.perf_counter()
+    assert pii._whole_secrets(text, tagged) == [(4, 4, n)]
+    assert pii.merged(text, [(0, 0, 3)], tagged) == [(0, 0, 3), (4, 4, n)] and time.perf_counter() - began < 10
+    base = [(1, 0, 9), (2, 4, 30), (0, 12, 15)]
+    words = "123456789 0123 56 89012345678 abcdefgh12 99"
+    assert (4, 30, 40) in pii.merged(words, base, [(4, 30, 40)]) and (4, 25, 40) not in pii.merged(words, base, [(4, 25, 40)])
