@@ -24,15 +24,15 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED, columns: l
 
     The law is `rows`: counts of shards are at most one apart, and so are a source's counts but for the rounding of
     its neighbours. Null sources are a source of their own; rows without doc_id are ordered by a hash of their columns; rows that repeat
-    a doc_id take neighbouring places of their source's order. Fewer rows than shards leave the last shards
+    a doc_id take neighbouring places of their source's order, by a hash of their columns. Fewer rows than shards leave the last shards
     empty; no rows give no rows. columns: which columns of docs stay (all by default); shard and slot are replaced.
     """
     names = [c for c in (docs.columns if columns is None else columns) if c not in ("shard", "slot")]
     key = order_key(seed, F.xxhash64(*names).cast("string"))
     slim = _assigned(docs.select(F.col("source").alias("sh_source"), key.alias("sh_key")), n_shards)
-    # the rows of one doc_id, which are any of them
+    # the places of the rows of one doc_id
     places = slim.groupBy(F.col("sh_source").alias("p_source"), F.col("sh_key").alias("p_key")).agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("places"))
-    same = W.partitionBy("sh_source", "sh_key").orderBy("sh_key")
+    same = W.partitionBy("sh_source", "sh_key").orderBy(F.xxhash64("row"), F.xxhash64(F.lit(1), "row"))
     rows = docs.select(F.struct(*names).alias("row"), F.col("source").alias("sh_source"), key.alias("sh_key")).withColumn("sh_nth", F.row_number().over(same))
     rows = rows.join(places.hint("shuffle_merge"), F.col("sh_source").eqNullSafe(F.col("p_source")) & (F.col("sh_key") == F.col("p_key")))
     place = F.element_at("places", F.col("sh_nth"))

@@ -98,3 +98,9 @@ def test_sharding(made, corpus):
         assert max(counts) - min(counts) <= 2
     assert shards(made([])).collect() == []
     assert sorted(r.slot for r in shards(made(rows[:3])).collect()) == [0, 0, 0]
+
+
+def test_places_of_repeated_ids_do_not_depend_on_the_order_of_rows(made):
+    rows = [(k % 7, f"text {k}", "s") for k in range(300)] + [(None, f"none {k}", None) for k in range(50)]
+    key = lambda out: sorted((str(r.doc_id), r.text, r.shard, r.slot) for r in out.collect())
+    assert key(shards(made(rows))) == key(shards(made(rows[::-1]).repartition(5)))
