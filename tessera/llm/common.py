@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +38,37 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Scratch tables that this process has made and not deleted.
+_OPEN: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    _OPEN.append(path)
+    return path
+
+
+@contextmanager
+def lease() -> Iterator[list[str]]:
+    """A list that gets the scratch tables made inside the block and still there at its end. What reads them lazily has to be
+    written before release() gets the list."""
+    before, mine = set(_OPEN), []
+    yield mine
+    mine += [p for p in _OPEN if p not in before]
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch tables whose last reader is done, and empties the list."""
+    for path in paths:
+        _delete(spark, path)
+        if path in _OPEN:
+            _OPEN.remove(path)
+    paths.clear()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -58,8 +89,9 @@ def dropped(df: DataFrame) -> None:
     spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/tessera/" in path:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(spark, path)
+            name = path.rsplit("/", 1)[1]
+            _OPEN[:] = [p for p in _OPEN if not p.endswith(name)]
 
 
 def small(df: DataFrame, rows: int, each: int = 16) -> DataFrame:
