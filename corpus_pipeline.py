@@ -1,15 +1,19 @@
 """Documents to shards: quality rules, near-dedup, decontamination, mixing and sharding.
 
 Every stage takes (spark, docs, sf_dir), works on all the documents that its predecessor kept, and is written as
-Parquet in the shared folder before the next one reads it. All but the last return the columns of documents.
+Parquet in the shared folder before the next one reads it; its scratch tables go when the next one begins. All but the
+last return the columns of documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small, table, text_key, written
+from tessera.llm.common import dropped, lease, release, small, table, text_key, written
 from tessera.llm.decontaminate import OP2_SQL, contamination
 from tessera.llm.mixing import OP5_SQL, mixture
 from tessera.llm.near_dedup import near_duplicates, near_sql
@@ -19,6 +23,31 @@ from tessera.llm.sharding import shard_sql, shards
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Scratch tables of the stage that ran last.
+_behind: list[str] = []
+
+
+def _stage(first: bool = False) -> Callable[[Stage], Stage]:
+    """A stage that deletes the scratch tables of the one before, as that one's rows are written once this one gets them.
+    The first stage begins a chain of its own and leaves those of other chains alone."""
+
+    def of(work: Stage) -> Stage:
+        @wraps(work)
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            if not first:
+                release(spark, _behind)
+            with lease() as mine:
+                out = work(spark, docs, sf_dir)
+            _behind[:] = mine
+            return out
+
+        return run
+
+    return of
+
+
+@_stage(first=True)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and whose host does. Null and empty texts fail; repeated rows are judged alike; no rows
     give no rows. Columns beside those of documents are dropped, here and in every stage."""
@@ -34,6 +63,7 @@ def _leaders(docs: DataFrame) -> DataFrame:
     return nodes.join(least.select("least.node").hint("shuffle_merge"), "node", "left_semi").select(*COLUMNS)
 
 
+@_stage()
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more): the smallest
     doc_id. Rows of one doc_id and one text are one document, and other texts of a doc_id are documents of their own.
@@ -45,6 +75,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _leaders(docs.where("doc_id is not null")).unionByName(_leaders(docs.where("doc_id is null")))
 
 
+@_stage()
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item. Rows that repeat a doc_id are judged each by its own text, those
     without doc_id too; null and empty texts have no windows and stay; without items or documents nothing goes."""
@@ -53,6 +84,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.select(*COLUMNS, text_key().alias("tk")).join(small(hit, hit.count(), 32), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tk") == F.col("h_tk")), "left_anti").select(*COLUMNS)
 
 
+@_stage()
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the one at a source's cut counts as taken once more in whole. Null texts
     and texts without words have nothing to take and go; a null source is a source of its own; rows without doc_id are
@@ -62,6 +94,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.withColumn("mix_times", times).where("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*COLUMNS)
 
 
+@_stage()
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix in 16 shards of its own proportions, whose counts are at most one apart. Null sources are a source of their
     own, repeated rows and rows without doc_id are dealt like others, and no rows give no rows."""
@@ -75,12 +108,16 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs = written(docs, name) if k < len(STAGES) - 1 else docs
+        made = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return made
+        before, docs = docs, written(made, name)
+        if k:
+            # the rows of the stage before, which this one's result holds by now
+            dropped(before)
     return docs
 
 
-
 def _over(sql: str, rows: str) -> str:
     """The SQL of a query over documents, over other rows with their columns instead."""
     return sql.replace("FROM documents", f"FROM {rows}")
