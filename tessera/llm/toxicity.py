@@ -8,6 +8,7 @@ weights, and a text's logit is the mean of its words' means of these.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ LEAST_SLOPE = 0.1
 FEW_WORDS = 60
 THRESHOLD = 0.3
 CACHE_BITS = 20
+#: The words that scoring splits texts into, too.
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = " \t\n\r\f\v.,;:!?\"'()[]{}*_-"
 
 
@@ -79,7 +82,7 @@ def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[st
     per_doc = []
     for t in texts:
         bag: dict[str, int] = {}
-        for w in t.split():
+        for w in _WORD.findall(t):
             bag[w] = bag.get(w, 0) + 1
         per_doc.append(bag)
         for w in bag:

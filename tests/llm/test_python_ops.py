@@ -372,3 +372,10 @@ def test_long_runs_of_code_are_read_once():
     base = [(1, 0, 9), (2, 4, 30), (0, 12, 15)]
     words = "123456789 0123 56 89012345678 abcdefgh12 99"
     assert (4, 30, 40) in pii.merged(words, base, [(4, 30, 40)]) and (4, 25, 40) not in pii.merged(words, base, [(4, 25, 40)])
+
+
+def test_training_and_scoring_split_words_alike():
+    from tessera.llm import toxicity
+
+    texts = ["hund\u3000katze\u3000maus ja", "hund\u3000katze\u3000maus nein", "a\u00a0b\x85c\x1cd e\x0bf", "a\u00a0b\x85c\x1cd"]
+    assert set(toxicity._bags(texts)[3]) == {"hund\u3000katze\u3000maus", "a\u00a0b\x85c\x1cd"}
