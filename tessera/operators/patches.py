@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +76,22 @@ def patch_filtered(image: DataFrame, shape: tuple[int, int], alpha: float = 0.5,
     return by_tiles(image, shape, tile, halo, kernel, ("re", "im"), ("re", "im", "coh"), by)
 
 
+def overlap_added(df: DataFrame, lines: int, block: int, hop: int, work: Callable[[DataFrame], DataFrame], value: str = "v") -> DataFrame:
+    """(row, col, v) of work done on overlapping blocks of lines and added up under sine-squared weights.
+
+    A line is copied to the blocks (block, row, col, v) that hold it, two where hop is half a block; work gives the same
+    columns back. The outer halves of the first and the last block have full weight; weights are divided out. Lines behind the last
+    whole block are left out, and missing cells stay so.
+    """
+    last = (lines - block) // hop
+    low, high = F.greatest(F.lit(0), F.ceil((F.col("row") - block + 1) / hop)), F.least(F.lit(last), F.floor(F.col("row") / hop))
+    dealt = df.where(F.col("row").between(0, last * hop + block - 1)).select(F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("block"), "row", "col", F.col(value).alias("v"))
+    k = F.col("row") - F.col("block") * hop
+    outer = ((F.col("block") == 0) & (k < block // 2)) | ((F.col("block") == last) & (k >= block // 2))
+    weight = F.when(outer, 1.0).otherwise(F.pow(F.sin(math.pi * (k + 1) / (block + 1)), 2))
+    return work(dealt).withColumn("w", weight).groupBy("row", "col").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
+
+
 def phase_noise(image: DataFrame, filtered: DataFrame) -> DataFrame:
     """One row (n, rms) of the phase that the filter took away, over cells that both have."""
     both = image.select("row", "col", F.col("re").alias("r1"), F.col("im").alias("i1")).join(filtered.where("re is not null").select("row", "col", F.col("re").alias("r2"), F.col("im").alias("i2")), ["row", "col"])

@@ -65,12 +65,13 @@ def _nodes_of(axis: int, first: Column, last: Column, lattice: Lattice) -> Colum
     return F.sequence(F.floor(at(first)).cast("int"), F.least(F.lit(n - 1), F.floor(at(last)) + 1).cast("int"))
 
 
-def resampled_image(image: DataFrame, offsets: DataFrame, lattice: Lattice, shape: tuple[int, int], image_shape: tuple[int, int] | None = None, carrier: float = 0.0, tile: int = 128, half: int = HALF) -> DataFrame:
+def resampled_image(image: DataFrame, offsets: DataFrame, lattice: Lattice, shape: tuple[int, int], image_shape: tuple[int, int] | None = None, carrier: float = 0.0, tile: int = 128, half: int = HALF, places: bool = False) -> DataFrame:
     """(row, col, re, im) of the image (row, col, re, im) at (row + az, col + rg), on a grid of the given shape.
 
     offsets (row, col, az, rg) are those of the lattice's nodes, bilinear between them; missing nodes and null offsets count
     as 0. carrier is the phase a line (radians) that is taken off before and put back after. Missing and null samples
     count as 0, as in the files; cells that reach beyond the image's shape (that of the grid, if not given) have no row.
+    With `places`, y and x are the line and sample of the image that a cell shows.
     """
     rows, cols = shape
     own_rows, own_cols = image_shape or shape
@@ -111,9 +112,9 @@ def resampled_image(image: DataFrame, offsets: DataFrame, lattice: Lattice, shap
                 out += wy[k] * wx[m] * a[i + k - low, j + m - left]
         out *= np.exp(1j * carrier * y)
         rr, cc = np.broadcast_to(r[:, None], inside.shape)[inside], np.broadcast_to(c[None, :], inside.shape)[inside]
-        return pd.DataFrame({"row": rr.astype(np.int32), "col": cc.astype(np.int32), "re": out.real, "im": out.imag})
+        return pd.DataFrame({"row": rr.astype(np.int32), "col": cc.astype(np.int32), "re": out.real, "im": out.imag} | ({"y": y, "x": x} if places else {}))
 
-    return cogrouped(nodes, dealt, ["ty", "tx"], run, "row int, col int, re double, im double")
+    return cogrouped(nodes, dealt, ["ty", "tx"], run, "row int, col int, re double, im double" + ", y double, x double" * places)
 
 
 def add_offsets(offsets: DataFrame, more: DataFrame) -> DataFrame:

@@ -75,14 +75,16 @@ def j18(s, d):
 
 
 _META = {"first": 70, "skip": (32, 24), "slant0": 900_000.0, "dslant": 6.25, "az_spacing": 4.5, "speed": 7500.0, "prf": 1650.0, "wavelength": 0.2396, "shell_m": 350_000.0, "satellite": 7_118_000.0, "ground": 6_371_000.0}
-_SLANT = "c AS (SELECT CAST(unnest(range(0, 64)) AS INT) AS j), r AS (SELECT j, 900000.0::DOUBLE + (70 + 24 * j) * 6.25::DOUBLE AS slant FROM c), e AS (SELECT *, slant * slant AS a, (7118000.0::DOUBLE * 7118000.0::DOUBLE + 6371000.0::DOUBLE * 6371000.0::DOUBLE - slant * slant) / 2 - 7118000.0::DOUBLE * 7118000.0::DOUBLE AS b, 7118000.0::DOUBLE * 7118000.0::DOUBLE - 6721000.0::DOUBLE * 6721000.0::DOUBLE AS k FROM r), f AS (SELECT *, 1 - (-b - sqrt(b * b - a * k)) / a AS kappa FROM e)"
+_SLANT = "c AS (SELECT j, count(*) AS n FROM lat WHERE snr >= 8 GROUP BY j), r AS (SELECT j, n, 900000.0::DOUBLE + (70 + 24 * j) * 6.25::DOUBLE AS slant FROM c), e AS (SELECT *, slant * slant AS a, (7118000.0::DOUBLE * 7118000.0::DOUBLE + 6371000.0::DOUBLE * 6371000.0::DOUBLE - slant * slant) / 2 - 7118000.0::DOUBLE * 7118000.0::DOUBLE AS b, 7118000.0::DOUBLE * 7118000.0::DOUBLE - 6721000.0::DOUBLE * 6721000.0::DOUBLE AS k FROM r), f AS (SELECT *, 1 - (-b - sqrt(b * b - a * k)) / a AS kappa FROM e)"
 
 
-@query("f08_integration_geometry", f"WITH {_SLANT} SELECT j, {r6('slant', 'kappa')}, 144.0::DOUBLE AS da, 150.0::DOUBLE AS dr, round(144.0::DOUBLE / kappa, 6) AS ds, 0.2396::DOUBLE AS wavelength, round(32 * 7500.0::DOUBLE / 1650.0::DOUBLE, 6) AS ds_flat FROM f")
+@query("f08_integration_geometry", f"WITH {X.LAT}, {_SLANT} SELECT j, n, round(n * 144.0::DOUBLE / kappa, 4) AS length, {r6('slant', 'kappa')}, 144.0::DOUBLE AS da, 150.0::DOUBLE AS dr, round(144.0::DOUBLE / kappa, 6) AS ds, 0.2396::DOUBLE AS wavelength, round(32 * 7500.0::DOUBLE / 1650.0::DOUBLE, 6) AS ds_flat FROM f")
 def f08(s, d):
-    cols = s.range(64).select(F.col("id").cast("int").alias("col"))
+    # columns of the lattice with their kept nodes, and the track that these stand for
+    cols = X.lattice(s, d).where("snr >= 8").groupBy("col").agg(F.count("*").alias("n"))
     flat = G.integration_geometry(cols, {**_META, "shell_m": 0.0}).select("col", F.col("ds").alias("ds_flat"))
-    return rounded(G.integration_geometry(cols, _META).join(flat, "col"))
+    out = G.integration_geometry(cols, _META).withColumn("length", F.col("n") * F.col("ds"))
+    return rounded(out.join(flat, "col"), length=4)
 
 
 @query("f28_delay_differences", "WITH n AS (SELECT CAST(n_regionkey AS VARCHAR) AS freq, n_name AS d, CASE WHEN n_regionkey <> 2 OR n_nationkey % 5 <> 2 THEN 0.25::DOUBLE * (n_nationkey % 4) * (n_regionkey % 4) END AS delay, 20e6::DOUBLE * (1 + n_regionkey) AS bw FROM nation), r AS (SELECT freq, min_by(d, d) AS d0, min_by(bw, d) AS bw0, count(*) = count(delay) AS whole FROM n GROUP BY freq), z AS (SELECT n.*, r.bw0, n.delay - f.delay AS delta FROM n JOIN r ON r.freq = n.freq AND whole JOIN n f ON f.freq = r.freq AND f.d = r.d0) SELECT freq, d, round(delay, 6) AS delay, round(delta, 6) + 0.0::DOUBLE AS delta, round(abs(delta) / (299792458.0::DOUBLE / (2 * bw0)), 6) AS cells FROM z WHERE freq IN (SELECT freq FROM z GROUP BY freq HAVING max(abs(delta)) > 1e-6)")

@@ -10,6 +10,7 @@ from tessera.operators import blocks as B
 from tessera.operators import fixpoint as P
 from tessera.operators import joins as J
 from tessera.operators import kernels as K
+from tessera.operators import patches as PT
 from tessera.operators import reference as Q
 
 from . import fixtures as X
@@ -220,12 +221,12 @@ def w11(s, d):
     return X.table(s, d, "part").select("p_size", (16 * (F.col("p_size") / 10.0)).alias("row_m")).distinct()
 
 
-@query("w13_overlap_add", "WITH b AS (SELECT unnest(range(0, 7)) AS b), l AS (SELECT b, unnest(range(0, 40)) AS k FROM b), w AS (SELECT b * 20 + k AS line, CASE WHEN (b = 0 AND k < 20) OR (b = 6 AND k >= 20) THEN 1 ELSE pow(sin(pi() * (k + 1) / 41.0::DOUBLE), 2) END AS w, sin(b * 20 + k) AS v FROM l) SELECT line, round(sum(w * v) / sum(w), 6) + 0.0::DOUBLE AS v FROM w GROUP BY line")
+@query("w13_overlap_add", f"WITH {X.PAIR}, b AS (SELECT unnest(range(0, 11)) AS b), o AS (SELECT i, j, b, i - 20 * b AS k, r_re AS v FROM pr JOIN b ON i BETWEEN 20 * b AND 20 * b + 39), w AS (SELECT i, j, v / sqrt(avg(v * v) OVER (PARTITION BY j, b) + 1) AS v, CASE WHEN (b = 0 AND k < 20) OR (b = 10 AND k >= 20) THEN 1 ELSE pow(sin(pi() * (k + 1) / 41.0::DOUBLE), 2) END AS w FROM o) SELECT i, j, round(sum(w * v) / sum(w), 6) + 0.0::DOUBLE AS v FROM w GROUP BY i, j")
 def w13(s, d):
-    k = F.col("k")
-    w = s.range(7).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k"))
-    w = w.select((F.col("b") * 20 + k).alias("line"), F.when(((F.col("b") == 0) & (k < 20)) | ((F.col("b") == 6) & (k >= 20)), 1.0).otherwise(F.pow(F.sin(np.pi * (k + 1) / 41.0), 2)).alias("w"))
-    return rounded(w.groupBy("line").agg((F.sum(F.col("w") * F.sin("line")) / F.sum("w")).alias("v")))
+    from pyspark.sql import Window as W
+
+    image = X.slc_pair(s, d).select("row", "col", F.col("r_re").alias("v"))
+    return rounded(PT.overlap_added(image, X.PAIR_SHAPE[0], 40, 20, lambda b: b.withColumn("v", F.col("v") / F.sqrt(F.avg(F.col("v") * F.col("v")).over(W.partitionBy("col", "block")) + 1))))
 
 
 @query("w16_grow_medians")
@@ -285,14 +286,9 @@ def a26(s, d):
 
 @query("m04_goldstein")
 def m04(s, d):
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = K.goldstein(np.exp(1j * np.nan_to_num(K.to_grid(pdf))))
-        return K.to_long(np.angle(z), grid_id="g")
-
-    lat = X.lattice(s, d).select(F.lit("g").alias("grid_id"), "row", "col", F.col("azimuth").alias("v"))
-    return rounded(lat.groupBy("grid_id").applyInPandas(run, "grid_id string, row int, col int, v double").drop("grid_id"), 4)
+    unit = X.lattice(s, d).select("row", "col", F.cos("azimuth").alias("re"), F.sin("azimuth").alias("im"))
+    out = PT.patch_filtered(unit, X.LAT_SHAPE, 0.6, tile=32)
+    return rounded(out.select("row", "col", F.when(F.col("coh") > 0, F.atan2("im", "re")).alias("v")), 4)
 
 
 for _n, _f in {

@@ -145,10 +145,10 @@ def test_chunks_by_hand(spark, tmp_path):
 
 
 # ---- geometry --------------------------------------------------------------------------------------------------------
-def circular(spark, n=30, step=5.0):
+def circular(spark, n=30, step=5.0, higher=0.0, later=0.0):
     """States of a circular orbit, inclined by 98 degrees."""
-    a, w = 7.08e6, np.sqrt(3.986004418e14 / 7.08e6**3)
-    t = np.arange(n) * step
+    a, w = 7.08e6 + higher, np.sqrt(3.986004418e14 / 7.08e6**3)
+    t = np.arange(n) * step + later
     inc = np.radians(98.0)
     u = w * t + 0.6
     p = a * np.stack([np.cos(u), np.sin(u) * np.cos(inc), np.sin(u) * np.sin(inc)], 1)
@@ -430,3 +430,66 @@ def test_gate_in_both_directions(spark):
     assert np.array_equal(re + 1j * im, image)
     kept = R.local_gains(pair_of(spark, image, image), cells(spark, field), LATTICE, bent.shape, BAND, 3.0, samples=64, least_spread=0.1).collect()
     assert len(kept) == 6 and {g.gain for g in kept if g.coherences} == {0.0} and all(g.gain == 1.0 for g in kept if not g.coherences)
+
+
+# ---- the interferogram of two granules -------------------------------------------------------------------------------
+def scene(spark, folder):
+    """Two granules of one scene from orbits 80 m apart: the same waves on the ground, turned by the difference of ranges."""
+    wavelength, shape = 0.25, (150, 120)
+    grids = [O.RadarGrid(60.0, 1500.0, 850000.0, 4.0, "left", *shape), O.RadarGrid(60.004, 1500.0, 850020.0, 4.0, "left", 170, 140)]
+    states = [circular(spark), circular(spark, higher=80.0)]
+    f = waves(shape, 6, 0.2)
+    y, x = np.indices((170, 140), float)
+    points = spark.createDataFrame(pd.DataFrame({"row": y.ravel().astype(np.int32), "col": x.ravel().astype(np.int32)}))
+    at = O.inverse(O.forward(points, states[1], grids[1], 0.0), states[0], grids[0])
+    r, c = dense(at, (170, 140), "az", "rg")
+    more = (850020.0 + 4.0 * x) - (850000.0 + 4.0 * c)
+    images = [f(*np.indices(shape, float)), f(r, c) * np.exp(-4j * np.pi / wavelength * more)]
+    for k, (name, grid, image) in enumerate(zip(("ref", "sec"), grids, images, strict=True)):
+        path = f"{folder}/{name}"
+        G.write_image(cells(spark, image), path, "slc", image.shape, (64, 64))
+        G.write_attributes(path, "radargrid", {"sensing_start": grid.sensing_start, "wavelength": wavelength, "prf": grid.prf, "starting_range": grid.starting_range, "range_pixel_spacing": 4.0, "lookside": "left", "length": grid.rows, "width": grid.cols, "ref_epoch": "2025-01-01"})
+        rows = states[k].toPandas()
+        for key, columns in (("time", ["t"]), ("position", ["x", "y", "z"]), ("velocity", ["vx", "vy", "vz"])):
+            v = rows[columns].to_numpy()
+            G.write_array(path, f"orbit/{key}", v[:, 0] if key == "time" else v)
+        G.close_granule(path)
+    ground = O.forward(points.where("row % 10 = 5 and col % 8 = 3 and row < 140 and col < 110"), states[0], grids[0], 0.0)
+    return ground.select("lon", "lat", F.lit(0.0).alias("height"), F.col("row").alias("at"), F.col("col").alias("in"))
+
+
+def test_interferogram_of_granules(spark, tmp_path):
+    from tessera.plans.products import Options, interferogram
+
+    ground = scene(spark, tmp_path)
+    run = lambda cells=None, **options: interferogram(spark, f"{tmp_path}/ref", f"{tmp_path}/sec", f"{tmp_path}/out", Options(**({"skip": (40, 40), "looks": (6, 5), "alpha": 0.2, "nfft": 8, "tile": 64} | options)), cells=cells)
+    made, log = run(ground)
+    assert [reused for _, _, reused in log] == [False] * 5 and [n for n, _, _ in log] == ["offsets", "resampled", "looks", "filtered", "map"]
+    moved = made["offsets"].agg(F.min("az"), F.max("az"), F.min("rg"), F.max("rg")).first()
+    assert all(v is not None for v in moved) and abs(moved[0]) > 1 and max(map(abs, moved)) < 80
+    looks = made["looks"].where("row between 4 and 20 and col between 4 and 19").toPandas()
+    phase = np.angle(looks["z_re"] + 1j * looks["z_im"])
+    assert len(looks) == 17 * 16 and looks["coh"].min() > 0.9 and looks["coh"].median() > 0.99
+    assert np.abs(phase).max() < 0.15 and np.abs(np.median(phase)) < 0.02
+    on_map = made["map"].where("at between 30 and 110 and `in` between 30 and 90").toPandas()
+    assert len(on_map) > 50 and on_map["re"].notna().all() and np.abs(np.angle(on_map["re"] + 1j * on_map["im"])).max() < 0.15
+    assert [r for _, _, r in run(ground)[1]] == [True] * 5
+    assert [(n, r) for n, _, r in run(ground, alpha=0.4)[1] if not r] == [("filtered", False), ("map", False)]
+    assert [n for n, _, r in run(looks=(5, 5))[1] if not r] == ["looks", "filtered"]
+    assert [n for n, _, r in run(ground.limit(20))[1] if not r] == ["map"]
+    # a table without its mark is made again, and so is all that stands on a granule that changed
+    done = next(p for p in (tmp_path / "out").iterdir() if p.name.startswith("resampled"))
+    (done / "_SUCCESS").unlink()
+    assert [n for n, _, r in run()[1] if not r] == ["resampled"]
+    G.write_attributes(f"{tmp_path}/sec", "note", {"touched": 1})
+    assert [n for n, _, r in run()[1] if not r] == ["offsets", "resampled", "looks", "filtered"]
+
+
+def test_fingerprints(spark):
+    from tessera.sources.provenance import table_fingerprint
+
+    a = spark.createDataFrame([(1, "x"), (2, None), (2, None)], "k int, v string")
+    same = table_fingerprint(a)
+    assert same == table_fingerprint(a.orderBy(F.desc("k")).repartition(3))
+    others = [a.distinct(), a.withColumnRenamed("v", "w"), a.withColumn("k", F.col("k").cast("long")), a.where("k = 1"), a.fillna("")]
+    assert len({same, *map(table_fingerprint, others)}) == 6
