@@ -1,6 +1,6 @@
-"""Command line: stack, streak-index, select-pair, grid, glacier-mask, check, coregister, screen, refocus and run.
+"""Command line: stack, streak-index, select-pair, grid, glacier-mask, check, coregister, interferogram, screen, refocus and run.
 
-Inputs and outputs are Parquet tables with the schemas of tessera.schema. Network fetches (scenes, elevation, land
+Inputs and outputs are Parquet tables with the schemas of tessera.schema; `interferogram` reads granules. Network fetches (scenes, elevation, land
 cover) aren't part of this package; `download` and `dem` say so.
 """
 
@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators import blocks as B
 from tessera.operators import joins as J
+from tessera.operators import resample as M
 from tessera.operators import robust as R
 from tessera.plans import routes as Z
+from tessera.plans.products import Options, interferogram
 from tessera.session import session
 from tessera.sources import io as IO
 
@@ -43,7 +45,8 @@ def parser() -> argparse.ArgumentParser:
     add("grid", src, dst, (("--posting",), {"type": float, "default": 80.0}), (("--pad",), {"type": float, "default": 10000.0}))
     add("glacier-mask", (("points",), {}), (("polygons",), {}), dst, (("--tile",), {"type": float, "default": 10000.0}))
     add("check", (("config",), {}), (("inputs",), {"nargs": "*"}))
-    add("coregister", (("ref",), {}), (("sec",), {}), dst, shape, (("--window",), {"type": int, "default": 64}), (("--search",), {"type": int, "default": 64}), (("--skip",), {"type": int, "default": 16}), (("--snr",), {"type": float, "default": 8.0}))
+    add("coregister", (("ref",), {}), (("sec",), {}), dst, shape, (("--window",), {"type": int, "default": 64}), (("--search",), {"type": int, "default": 64}), (("--skip",), {"type": int, "default": 16}), (("--snr",), {"type": float, "default": 8.0}), (("--apply",), {"action": "store_true"}))
+    add("interferogram", (("ref",), {}), (("sec",), {}), dst, (("--freq",), {"default": "A"}), (("--pol",), {"default": "HH"}), (("--looks",), {"type": _pair, "default": (24, 16)}), (("--skip",), {"type": _pair, "default": (64, 64)}), (("--height",), {"type": float, "default": 0.0}), (("--carrier",), {"type": float, "default": 0.0}), (("--alpha",), {"type": float, "default": 0.5}), (("--nfft",), {"type": int, "default": 32}), (("--cells",), {}))
     add("screen", (("--routes",), {"default": "hybrid"}), (("--lattice",), {}), (("--bands",), {}), dst, shape, (("--f0",), {"type": float, "default": 1239.0}), (("--f1",), {"type": float, "default": 1293.5}), (("--cut-km",), {"type": float, "default": 20.0}), (("--row-m",), {"type": float, "default": 71.0}), (("--col-m",), {"type": float, "default": 120.0}), (("--az-spacing",), {"type": float, "default": 4.44}), (("--wavelength",), {"type": float, "default": 0.242}), (("--slant0",), {"type": float, "default": 8e5}))
     add("refocus")
     add("run", (("config",), {}), (("ref",), {}), (("sec",), {}), (("bands",), {}), dst, shape)
@@ -56,6 +59,21 @@ def _coregister(spark, a) -> None:
     found.write.mode("overwrite").parquet(f"{a.out}/offsets")
     clean = Z.clean_lattice(spark.read.parquet(f"{a.out}/offsets"), (a.search, a.search), a.snr)
     Z.fill_channels(clean).write.mode("overwrite").parquet(f"{a.out}/lattice")
+    if a.apply:
+        # nodes stand at the centres of their windows
+        nodes = spark.read.parquet(f"{a.out}/lattice")
+        origin = float(a.search + a.window // 2)
+        lattice = M.Lattice((origin, origin), (float(a.skip), float(a.skip)), tuple(max((n - a.window - 2 * a.search) // a.skip, 1) for n in a.shape))
+        offsets = nodes.select("row", "col", F.col("azimuth").alias("az"), F.col("range").alias("rg"))
+        M.resampled_image(spark.read.parquet(a.sec), offsets, lattice, a.shape).write.mode("overwrite").parquet(f"{a.out}/resampled")
+
+
+def _interferogram(spark, a) -> None:
+    """Makes or reuses the stages below out and tells which; with --cells (lon, lat, height) a map too."""
+    options = Options(a.freq, a.pol, a.skip, a.carrier, a.height, a.looks, a.alpha, a.nfft)
+    _, log = interferogram(spark, a.ref, a.sec, a.out, options, cells=spark.read.parquet(a.cells) if a.cells else None)
+    for name, digest, reused in log:
+        print(f"{name}-{digest} {'reused' if reused else 'made'}")
 
 
 def _screen(spark, a) -> None:
@@ -115,6 +133,8 @@ def main(argv: list[str] | None = None) -> int:
         return int(bool(problems))
     elif a.command == "coregister":
         _coregister(spark, a)
+    elif a.command == "interferogram":
+        _interferogram(spark, a)
     elif a.command == "screen":
         _screen(spark, a)
     elif a.command == "run":

@@ -11,6 +11,7 @@ from tessera.operators import resample as M
 from tessera.sources import granule as G
 
 from . import fixtures as X
+from .products import Options, interferogram
 from .q_routes import _path
 from .registry import query, rounded
 
@@ -183,3 +184,26 @@ def c08(s, d):
 def c08_gains(s, d):
     gains = R.local_gains(_flat_pair(s, d), _steering(s, d), STEER, X.PAIR_SHAPE, BAND, 0.2, 48, 32, 0.5, looks=(8, 8))
     return gains.select("gi", "gj", "gain", F.transform("coherences", lambda c: F.round(c, 6)).alias("coherences"))
+
+
+def _focused(s, path, image, late):
+    """A focused granule of a part of the pair, seen from the straight orbit some lines late."""
+    grid = RADAR
+    G.write_image(image, path, "slc", X.PAIR_SHAPE, (64, 64))
+    G.write_attributes(path, "radargrid", {"sensing_start": grid.sensing_start - late / grid.prf, "wavelength": 0.25, "prf": grid.prf, "starting_range": grid.starting_range, "range_pixel_spacing": grid.range_spacing, "lookside": grid.lookside, "length": grid.rows, "width": grid.cols, "ref_epoch": ""})
+
+
+@query("c10_interferogram")
+def c10(s, d):
+    folder = _path(s, "interferogram")
+    states = _states(s, d).orderBy("t").collect()
+    for name, side, late in (("ref", "r", 0.0), ("sec", "s", 2.25)):
+        path = f"{folder}/{name}"
+        _focused(s, path, _image(s, d, side), late)
+        for key, fields in (("time", ("t",)), ("position", ("x", "y", "z")), ("velocity", ("vx", "vy", "vz"))):
+            values = [[r[f] for f in fields] for r in states]
+            G.write_array(path, f"orbit/{key}", [v[0] for v in values] if key == "time" else values)
+        G.close_granule(path)
+    made, _ = interferogram(s, f"{folder}/ref", f"{folder}/sec", f"{folder}/out", Options(skip=(32, 32), looks=(4, 4), nfft=8, tile=64))
+    filtered = made["filtered"].select("row", "col", F.col("re").alias("f_re"), F.col("im").alias("f_im"))
+    return rounded(made["looks"].join(filtered, ["row", "col"], "left"), 4)

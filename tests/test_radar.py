@@ -458,7 +458,7 @@ def scene(spark, folder):
     return ground.select("lon", "lat", F.lit(0.0).alias("height"), F.col("row").alias("at"), F.col("col").alias("in"))
 
 
-def test_interferogram_of_granules(spark, tmp_path):
+def test_interferogram_of_granules(spark, tmp_path, capsys):
     from tessera.plans.products import Options, interferogram
 
     ground = scene(spark, tmp_path)
@@ -476,6 +476,10 @@ def test_interferogram_of_granules(spark, tmp_path):
     assert [r for _, _, r in run(ground)[1]] == [True] * 5
     assert [(n, r) for n, _, r in run(ground, alpha=0.4)[1] if not r] == [("filtered", False), ("map", False)]
     assert [n for n, _, r in run(looks=(5, 5))[1] if not r] == ["looks", "filtered"]
+    from tessera.cli import main
+
+    command = ["interferogram", f"{tmp_path}/ref", f"{tmp_path}/sec", f"{tmp_path}/out", "--skip", "40,40", "--looks", "6,5", "--alpha", "0.2", "--nfft", "8"]
+    assert main(command) == 0 and [x.split()[1] for x in capsys.readouterr().out.splitlines()[-4:]] == ["reused"] * 4
     assert [n for n, _, r in run(ground.limit(20))[1] if not r] == ["map"]
     # a table without its mark is made again, and so is all that stands on a granule that changed
     done = next(p for p in (tmp_path / "out").iterdir() if p.name.startswith("resampled"))
@@ -493,3 +497,18 @@ def test_fingerprints(spark):
     assert same == table_fingerprint(a.orderBy(F.desc("k")).repartition(3))
     others = [a.distinct(), a.withColumnRenamed("v", "w"), a.withColumn("k", F.col("k").cast("long")), a.where("k = 1"), a.fillna("")]
     assert len({same, *map(table_fingerprint, others)}) == 6
+
+
+def test_coregister_command_applies_its_offsets(spark, tmp_path):
+    from tessera.cli import main
+
+    shape = (96, 96)
+    f = waves(shape, 3, 0.2)
+    y, x = np.indices(shape, float)
+    cells(spark, f(y, x)).write.parquet(f"{tmp_path}/ref")
+    cells(spark, f(y - 2.0, x + 1.0)).write.parquet(f"{tmp_path}/sec")
+    assert main(["coregister", f"{tmp_path}/ref", f"{tmp_path}/sec", f"{tmp_path}/out", "--shape", "96,96", "--window", "24", "--search", "6", "--skip", "10", "--snr", "2", "--apply"]) == 0
+    re, im = dense(spark.read.parquet(f"{tmp_path}/out/resampled"), shape, "re", "im")
+    inner = np.isfinite(re) & (np.hypot(y - 48, x - 48) < 30)
+    off = lambda z: np.abs(z - f(y, x))[inner].mean()
+    assert inner.sum() > 2000 and off(re + 1j * im) < 0.25 * off(f(y - 2.0, x + 1.0))
