@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import blocks as B
 from tessera.operators import joins as J
+from tessera.operators import refocusing as C
 from tessera.operators import resample as M
 from tessera.operators import robust as R
 from tessera.plans import routes as Z
@@ -48,7 +49,9 @@ def parser() -> argparse.ArgumentParser:
     add("coregister", (("ref",), {}), (("sec",), {}), dst, shape, (("--window",), {"type": int, "default": 64}), (("--search",), {"type": int, "default": 64}), (("--skip",), {"type": int, "default": 16}), (("--snr",), {"type": float, "default": 8.0}), (("--apply",), {"action": "store_true"}))
     add("interferogram", (("ref",), {}), (("sec",), {}), dst, (("--freq",), {"default": "A"}), (("--pol",), {"default": "HH"}), (("--looks",), {"type": _pair, "default": (24, 16)}), (("--skip",), {"type": _pair, "default": (64, 64)}), (("--height",), {"type": float, "default": 0.0}), (("--carrier",), {"type": float, "default": 0.0}), (("--alpha",), {"type": float, "default": 0.5}), (("--nfft",), {"type": int, "default": 32}), (("--cells",), {}))
     add("screen", (("--routes",), {"default": "hybrid"}), (("--lattice",), {}), (("--bands",), {}), dst, shape, (("--f0",), {"type": float, "default": 1239.0}), (("--f1",), {"type": float, "default": 1293.5}), (("--cut-km",), {"type": float, "default": 20.0}), (("--row-m",), {"type": float, "default": 71.0}), (("--col-m",), {"type": float, "default": 120.0}), (("--az-spacing",), {"type": float, "default": 4.44}), (("--wavelength",), {"type": float, "default": 0.242}), (("--slant0",), {"type": float, "default": 8e5}))
-    add("refocus")
+    floats = lambda **defaults: [((f"--{k.replace('_', '-')}",), {"type": float, "default": v}) for k, v in defaults.items()]
+    ints = lambda **defaults: [((f"--{k.replace('_', '-')}",), {"type": int, "default": v}) for k, v in defaults.items()]
+    add("refocus", *[((name,), {"nargs": "?"}) for name in ("pair", "field", "out")], (("--shape",), {"type": _pair}), (("--origin",), {"type": _pair, "default": (96, 96)}), (("--skip",), {"type": _pair, "default": (16, 16)}), (("--looks",), {"type": _pair, "default": (24, 16)}), *floats(prf=1520.0, bandwidth=1262.5, centre=0.0, spacing=4.44, along_km=None, least_gain=0.01), *ints(block=240, hop=120, samples=2048, picks=24))
     add("run", (("config",), {}), (("ref",), {}), (("sec",), {}), (("bands",), {}), dst, shape)
     return top
 
@@ -76,6 +79,18 @@ def _interferogram(spark, a) -> None:
         print(f"{name}-{digest} {'reused' if reused else 'made'}")
 
 
+def _refocus(spark, a) -> None:
+    """Refocuses the second image of a pair by a field, if that pays, and tells what was found."""
+    if not (a.field and a.out and a.shape):
+        raise SystemExit("refocus needs a pair, a field, an output and --shape; without any it runs its self-test")
+    field = spark.read.parquet(a.field)
+    last = field.agg(F.max("row"), F.max("col")).first()
+    lattice = M.Lattice(tuple(map(float, a.origin)), tuple(map(float, a.skip)), (last[0] + 1, last[1] + 1))
+    image, told = C.refocus(spark.read.parquet(a.pair), field, lattice, a.shape, C.Band(a.prf, a.bandwidth, a.centre, a.spacing), a.along_km, a.block, a.hop, a.samples, a.least_gain, picks=a.picks, looks=a.looks)
+    image.write.mode("overwrite").parquet(a.out)
+    print(" ".join(f"{k}={v}" for k, v in told.items()))
+
+
 def _screen(spark, a) -> None:
     routes = list(dict.fromkeys(a.routes.split(",")))
     unknown = [r for r in routes if r not in Z.ROUTES]
@@ -100,7 +115,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.command in ("download", "dem"):
         print(f"{a.command}: fetching isn't part of this package; give the tables to the other commands", file=sys.stderr)
         return 2
-    if a.command == "refocus":
+    if a.command == "refocus" and a.pair is None:
         for name, value in Z.refocus_self_test().items():
             print(f"{name} {value:.6f}")
         return 0
@@ -135,6 +150,8 @@ def main(argv: list[str] | None = None) -> int:
         _coregister(spark, a)
     elif a.command == "interferogram":
         _interferogram(spark, a)
+    elif a.command == "refocus":
+        _refocus(spark, a)
     elif a.command == "screen":
         _screen(spark, a)
     elif a.command == "run":

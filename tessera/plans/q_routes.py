@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.operators import blocks as B
+from tessera.operators import fixpoint as P
 from tessera.operators import kernels as K
+from tessera.operators.harmonic import harmonic_fill
 from tessera.session import shared_dir
 from tessera.sources import io as IO
 
@@ -135,10 +137,8 @@ for _n, _f in {
     "m06_pls_fill": lambda g: K.fill(g, "pls", s=5.0),
     "m07_multigrid_fill": lambda g: K.fill(g, "pls_mg", s=5.0),
     "m08_oriented_fill": lambda g: K.oriented_fill(g, 5.0, 4.0, 20.0),
-    "m09_laplace_fill": lambda g: K.fill(g, "laplace"),
     "m10_biharmonic_fill": lambda g: K.fill(g, "biharmonic"),
     "m11_idw_fill": lambda g: K.fill(g, "idw_smooth"),
-    "m12_nearest_fill": lambda g: K.fill(g, "nearest"),
     "m13_polynomial_fill": lambda g: K.fill(g, "poly"),
     "m14_rbf_fill": lambda g: K.fill(g, "rbf"),
     "m15_griddata_fill": lambda g: K.fill(g, "griddata"),
@@ -150,6 +150,17 @@ for _n, _f in {
     _kernel(_n, _f)
 
 
+@query("m09_laplace_fill")
+def m09_laplace(s, d):
+    return rounded(harmonic_fill(_gaps(s, d).drop("grid_id"), X.LAT_SHAPE, 24, 8), 4)
+
+
+@query("m12_nearest_fill", f"WITH {X.LAT}, h AS (SELECT i, j, CASE WHEN snr >= 7 THEN azimuth END AS v FROM lat) SELECT a.i, a.j, round(arg_min(b.v, ((a.i - b.i) * (a.i - b.i) + (a.j - b.j) * (a.j - b.j)) * 1000000::BIGINT + b.i * 1000 + b.j), 4) + 0.0::DOUBLE AS v FROM h a, h b WHERE b.v IS NOT NULL GROUP BY a.i, a.j")
+def m12_nearest(s, d):
+    found = P.nearest(_gaps(s, d).drop("grid_id"))
+    return rounded(found.select("row", "col", F.coalesce("v", "near_v").alias("v")), 4)
+
+
 def _clean(s, d):
     return Z.clean_lattice(X.lattice(s, d), (64.0, 64.0), 6.0)
 

@@ -153,3 +153,20 @@ def test_mosaic_of_parts(spark, tmp_path):
     assert got == {("re", 3, 30): 1.5, ("im", 3, 30): -2.0, ("re", 0, 0): 1.0}
     assert T.write_mosaic(z.limit(0), f"{tmp_path}/e.vrt", (20, 40), GT, 3413, block=8, part=16) > 0
     assert not [f for _, _, names in os.walk(tmp_path) for f in names if f.startswith(".part")]
+
+
+def test_harmonic_fill_by_tiles_equals_the_whole_grid(spark):
+    from tessera.operators.harmonic import harmonic_fill
+
+    y, x = np.indices((70, 61))
+    a = 0.05 * y + np.sin(x / 9.0) * np.cos(y / 13.0)
+    hole = np.random.default_rng(3).random(a.shape) < 0.3
+    hole[20:45, 15:50] = hole[60:, :20] = True
+    a[hole] = np.nan
+    want = K.graph_fill(a, iterations=50_000, tol=1e-13)
+    for tile, halo in ((16, 8), (24, 4), (200, 0)):
+        got = harmonic_fill(table(spark, a), a.shape, tile, halo)
+        assert got.count() == a.size and np.abs(array(got, a.shape) - want).max() < 1e-4 * np.ptp(want)
+    assert harmonic_fill(table(spark, a).limit(0), (5, 4), 2, 1).where("v is null").count() == 20
+    with pytest.raises(RuntimeError, match="settle"):
+        harmonic_fill(table(spark, a), a.shape, 8, 1, rounds=1)

@@ -415,7 +415,7 @@ def pair_of(spark, a, b):
     return cells(spark, a, re="a_re", im="a_im").join(cells(spark, b, re="b_re", im="b_im"), ["row", "col"])
 
 
-def test_gate_in_both_directions(spark):
+def test_gate_in_both_directions(spark, tmp_path, capsys):
     image, field = steered()
     bent = whole(image, -field, 3.0)
     options = dict(block=240, hop=120, samples=64, picks=2, sweep=(0.0, 1.5, 3.0), looks=(24, 16))
@@ -424,6 +424,14 @@ def test_gate_in_both_directions(spark):
     re, im = dense(out, bent.shape, "re", "im")
     near = lambda z: np.abs(z - image).mean()
     assert near(re + 1j * im) < 0.6 * near(bent)
+    from tessera.cli import main
+
+    pair_of(spark, image, image).write.parquet(f"{tmp_path}/pair")
+    cells(spark, field).write.parquet(f"{tmp_path}/field")
+    command = ["refocus", f"{tmp_path}/pair", f"{tmp_path}/field", f"{tmp_path}/out", "--shape", "1600,64", "--origin", "96,0", "--centre", "-557", "--samples", "64", "--picks", "1"]
+    assert main(command) == 0 and "along_km=0.0" in (told := capsys.readouterr().out) and "refocused=False" in told
+    with pytest.raises(SystemExit, match="needs"):
+        main(command[:3])
     same, told = R.refocus(pair_of(spark, image, image), cells(spark, field), LATTICE, bent.shape, BAND, **options)
     assert not told["refocused"] and told["along_km"] == 0.0
     re, im = dense(same, bent.shape, "re", "im")
