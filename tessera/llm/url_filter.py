@@ -120,6 +120,12 @@ class Cascade:
         return F.when(key.isNotNull(), found)
 
 
+def expected_bytes(listed: int, universe: int) -> float:
+    """Bytes of a cascade: the first level by its rate of errors, and about one byte a listed key for all that follow."""
+    rate = min(0.5, math.sqrt(0.5) * listed / max(universe - listed, 1)) if listed else 0.5
+    return listed * (ROOM * -math.log(rate) / math.log(2) ** 2 / 8 + 1)
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host: behind the first :// up to /, ?, # or the end, A to Z lower-cased. Path: from there up to ?, # or the end."""
     pattern = "://([^/?#]*)([^?#]*)"
@@ -175,14 +181,13 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: Iterable[tuple[str, s
     universe = written(pages.select(*[x.alias(c) for x, c in zip(host_and_path(F.col("url")), ("uf_host", "uf_path"), strict=True)]).select(F.explode(F.array(*keys)).alias("key")).where("key is not null").distinct(), "url-keys")
     ruled = spark.createDataFrame([(f"{v} {h}{p}",) for h, p, v in rules], "key string").distinct()
     wanted = written(ruled.unionByName(listed.select(F.concat(F.lit("list "), "uf_key").alias("key"))), "listed-keys")
-    # ten bits for a listed key are ample at any share of the universe: log2(unlisted / listed) + 3 or so
-    parts = max(1, math.ceil(2 * wanted.count() / FILTER_BYTES))
+    parts = max(1, math.ceil(1.5 * expected_bytes(wanted.count(), universe.count()) / FILTER_BYTES))
     part_of = lambda key: F.pmod(F.xxhash64(key), F.lit(parts))
     hits: list[Column] = [F.lit(None).cast("boolean")] * len(keys)
     for part in range(parts):
         cascade = Cascade(wanted.where(part_of(F.col("key")) == part), universe.where(part_of(F.col("key")) == part))
-        if cascade.bytes > FILTER_BYTES:
-            raise RuntimeError(f"{cascade.bytes} bytes of filters in one pass")
+        if cascade.bytes > 2 * FILTER_BYTES:
+            raise RuntimeError(f"{cascade.bytes} bytes of filters in one pass, far more than keys alone explain")
         own = [F.when(part_of(key) == part, cascade.has(key)) if parts > 1 else cascade.has(key) for key in keys]
         rows = rows.withColumns({f"uf_hit{k}": F.coalesce(hit, before) for k, (hit, before) in enumerate(zip(own, hits, strict=True))})
         rows = written(rows, "url-hits") if part < parts - 1 else rows
