@@ -24,22 +24,23 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Scratch tables of the stage that ran last.
+#: Number and scratch tables of the stage that ran last.
+_last: dict[str, int] = {"stage": -1}
 _behind: list[str] = []
 
 
-def _stage(first: bool = False) -> Callable[[Stage], Stage]:
-    """A stage that deletes the scratch tables of the one before, as that one's rows are written once this one gets them.
-    The first stage begins a chain of its own and leaves those of other chains alone."""
+def _stage(number: int) -> Callable[[Stage], Stage]:
+    """A stage that deletes the scratch tables of the one before it, if that ran last: its rows are written once this one
+    gets them. A stage called twice, or out of order, deletes nothing."""
 
     def of(work: Stage) -> Stage:
         @wraps(work)
         def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-            if not first:
+            if number and _last["stage"] == number - 1:
                 release(spark, _behind)
             with lease() as mine:
                 out = work(spark, docs, sf_dir)
-            _behind[:] = mine
+            _last["stage"], _behind[:] = number, mine
             return out
 
         return run
@@ -47,7 +48,7 @@ def _stage(first: bool = False) -> Callable[[Stage], Stage]:
     return of
 
 
-@_stage(first=True)
+@_stage(0)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and whose host does. Null and empty texts fail; repeated rows are judged alike; no rows
     give no rows. Columns beside those of documents are dropped, here and in every stage."""
@@ -63,7 +64,7 @@ def _leaders(docs: DataFrame) -> DataFrame:
     return nodes.join(least.select("least.node").hint("shuffle_merge"), "node", "left_semi").select(*COLUMNS)
 
 
-@_stage()
+@_stage(1)
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more): the smallest
     doc_id. Rows of one doc_id and one text are one document, and other texts of a doc_id are documents of their own.
@@ -75,7 +76,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _leaders(docs.where("doc_id is not null")).unionByName(_leaders(docs.where("doc_id is null")))
 
 
-@_stage()
+@_stage(2)
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item. Rows that repeat a doc_id are judged each by its own text, those
     without doc_id too; null and empty texts have no windows and stay; without items or documents nothing goes."""
@@ -84,7 +85,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.select(*COLUMNS, text_key().alias("tk")).join(small(hit, hit.count(), 32), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tk") == F.col("h_tk")), "left_anti").select(*COLUMNS)
 
 
-@_stage()
+@_stage(3)
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the one at a source's cut counts as taken once more in whole. Null texts
     and texts without words have nothing to take and go; a null source is a source of its own; rows without doc_id are
@@ -94,7 +95,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.withColumn("mix_times", times).where("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*COLUMNS)
 
 
-@_stage()
+@_stage(4)
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix in 16 shards of its own proportions, whose counts are at most one apart. Null sources are a source of their
     own, repeated rows and rows without doc_id are dealt like others, and no rows give no rows."""
