@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows of a side that may be broadcast after they are counted.
 BROADCAST_ROWS = 1_000_000
+#: Nodes of an axis that every point may be compared with.
+FEW_NODES = 1000
+#: Rows of a range of positions, which one task sorts, and the most ranges.
+RANGE_ROWS = 100_000
+MOST_RANGES = 4096
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -43,26 +50,49 @@ def bilinear(points: DataFrame, grid: DataFrame, row: tuple[Column, Column], col
     return out.select(*key, F.when(ok, F.col("s_") / (F.col("k_") if valid is not None else F.lit(1.0))).alias(value))
 
 
-def bracket(points: DataFrame, axis: DataFrame, x: str, ax: str = "x", ay: str = "y", bucket: float | None = None) -> DataFrame:
+def bracket(points: DataFrame, axis: DataFrame, x: str, ax: str = "x", ay: str = "y", few: int = FEW_NODES) -> DataFrame:
     """points with y: the piecewise linear axis table (x, y) at the points' x, its ends held.
 
-    The axis becomes intervals [x, next x); points meet theirs by an equi-join on the unit bucket when given, else by a
-    range join with the axis, whose size is checked before it is broadcast.
+    The axis becomes intervals [x, next x). Up to `few` of them are broadcast to a range join; a longer axis is met by
+    ranges of positions (see _neighbours).
     """
-    w = W.orderBy(ax)
-    # the axis has one row for each node of one dimension of a grid
-    seg = axis.select(F.col(ax).alias("x0"), F.col(ay).alias("y0"), F.lead(ax).over(w).alias("x1"), F.lead(ay).over(w).alias("y1"))
-    ends = axis.agg(F.min(ax).alias("lo"), F.max(ax).alias("hi"))
+    nodes = axis.select(F.col(ax).cast("double").alias("x0"), F.col(ay).alias("y0")).where("x0 is not null")
+    ends = nodes.agg(F.min("x0").alias("lo"), F.max("x0").alias("hi"))
     p = points.crossJoin(F.broadcast(ends)).withColumn("t_", F.greatest("lo", F.least("hi", F.col(x).cast("double")))).drop("lo", "hi")
-    on = (F.col("t_") >= F.col("x0")) & ((F.col("t_") < F.col("x1")) | F.col("x1").isNull())
-    if bucket:
-        seg = seg.withColumn("b_", F.explode(F.sequence(F.floor(F.col("x0") / bucket), F.floor(F.coalesce("x1", "x0") / bucket))))
-        p = p.withColumn("pb_", F.floor(F.col("t_") / bucket))
-        on = (F.col("b_") == F.col("pb_")) & on
+    if nodes.limit(few + 1).count() <= few:
+        w = W.orderBy("x0", "y0")  # at most `few` rows
+        seg = nodes.select("x0", "y0", F.lead("x0").over(w).alias("x1"), F.lead("y0").over(w).alias("y1"))
+        out = p.join(F.broadcast(seg), (F.col("t_") >= F.col("x0")) & ((F.col("t_") < F.col("x1")) | F.col("x1").isNull()))
     else:
-        seg = small(seg)
-    out = p.join(seg, on).withColumn("y", F.col("y0") + F.coalesce(F.try_divide((F.col("t_") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.col("x1") - F.col("x0")), F.lit(0.0)))
-    return out.drop("t_", "x0", "x1", "y0", "y1", "b_", "pb_")
+        # many points may share a place, which only the join meets; estimates from file sizes would broadcast it
+        out = p.join(_neighbours(p.select("t_").distinct(), nodes).hint("merge"), "t_")
+    out = out.withColumn("y", F.col("y0") + F.coalesce(F.try_divide((F.col("t_") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.col("x1") - F.col("x0")), F.lit(0.0)))
+    return out.drop("t_", "x0", "x1", "y0", "y1")
+
+
+def _neighbours(places: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(t_, x0, y0, x1, y1): the last node (x0, y0) at or below each place t_, and the first one above it.
+
+    Nodes and places are dealt to ranges of about RANGE_ROWS rows and sorted there; the nodes next to a range come from
+    a table with one row for each range. Approximate quantiles bound the ranges, so they decide the balance only.
+    """
+    node = F.struct("x0", "y0")
+    rows = nodes.select(F.col("x0").alias("t_"), node.alias("node")).unionByName(places.where("t_ is not null"), allowMissingColumns=True)
+    n = min(rows.count() // RANGE_ROWS + 1, MOST_RANGES)
+    bounds = sorted({b for b in rows.approxQuantile("t_", [k / n for k in range(1, n)], 0.25 / n) if math.isfinite(b)}) if n > 1 else []
+    if bounds:
+        rows = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="t_", outputCol="r_", handleInvalid="keep").transform(rows)
+    else:
+        rows = rows.withColumn("r_", F.lit(0.0))
+    w = W.orderBy("r_")  # one row for each range
+    near = rows.groupBy("r_").agg(F.min("node").alias("a"), F.max("node").alias("z"))
+    near = near.select("r_", F.max("z").over(w.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.min("a").over(w.rowsBetween(1, W.unboundedFollowing)).alias("after"))
+    # a node stands before the places that equal it, from below and from above
+    up = W.partitionBy("r_").orderBy("t_", F.col("node").isNull(), "node").rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy("r_").orderBy(F.desc("t_"), F.desc(F.col("node").isNull()), F.desc("node")).rowsBetween(W.unboundedPreceding, 0)
+    out = rows.select("r_", "t_", "node", F.last("node", True).over(up).alias("low"), F.last("node", True).over(down).alias("high")).where("node is null")
+    out = out.join(F.broadcast(near), "r_").select("t_", F.coalesce("low", "before").alias("low"), F.coalesce("high", "after").alias("high")).where("low is not null")
+    return out.select("t_", "low.x0", "low.y0", F.col("high.x0").alias("x1"), F.col("high.y0").alias("y1"))
 
 
 def scatter_mean(points: DataFrame, x0: float, y0: float, dx: float, dy: float, nx: int, ny: int, value: str = "v") -> DataFrame:

@@ -276,7 +276,7 @@ _BR = "ax AS (SELECT CAST(s_suppkey * s_suppkey AS DOUBLE) / 7 AS x, round(s_acc
 def j13(s, d):
     ax = X.table(s, d, "supplier").select((F.col("s_suppkey") * F.col("s_suppkey")).cast("double").alias("k"), F.round("s_acctbal", 2).alias("y")).select((F.col("k") / 7).alias("x"), "y")
     p = X.table(s, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 0.77).alias("t"))
-    return rounded(J.bracket(p, ax, "t", bucket=50.0).select("id", "y"), 4)
+    return rounded(J.bracket(p, ax, "t").select("id", "y"), 4)
 
 
 @query("j16_missing_nodes", f"WITH {X.LAT} SELECT i, j FROM (SELECT unnest(range(0, 96)) AS i), (SELECT unnest(range(0, 64)) AS j) EXCEPT SELECT i, j FROM lat WHERE snr >= 8")

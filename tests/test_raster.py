@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera import plans
 from tessera.operators import blocks as B
 from tessera.operators import fixpoint as P
+from tessera.operators import joins as J
 from tessera.operators import kernels as K
 from tessera.operators import stencil as T
 from tessera.plans import fixtures as X
@@ -37,6 +38,18 @@ def test_query_equals_its_sql(spark, name):
     assert rows_of(df.collect(), df.columns) == rows_of(rel.fetchall(), rel.columns)
 
 
+def test_bracket_on_a_long_axis_with_wide_gaps(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(J, "RANGE_ROWS", 100, raising=False)
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT k AS s_suppkey, CASE WHEN k % 17 <> 0 THEN k * 37 % 1009 / 8.0 END::DOUBLE AS s_acctbal FROM (SELECT unnest(range(1200)) AS k UNION ALL SELECT 3000000 UNION ALL SELECT 3000001 UNION ALL SELECT NULL)) TO '{tmp_path}/supplier.parquet'")
+    con.execute(f"COPY (SELECT k AS p_partkey FROM (SELECT unnest(range(0, 300000, 150)) AS k UNION ALL SELECT 5 FROM range(300) UNION ALL SELECT 1000000000000 UNION ALL SELECT 4000000000000 UNION ALL SELECT NULL)) TO '{tmp_path}/part.parquet'")
+    for f in ("supplier", "part"):
+        con.execute(f"CREATE VIEW {f} AS SELECT * FROM '{tmp_path}/{f}.parquet'")
+    df, rel = plans.QUERIES["j13_bracket_interpolation"](spark, str(tmp_path)), con.sql(plans.ORACLE_SQL["j13_bracket_interpolation"])
+    got = rows_of(df.collect(), df.columns)
+    assert len(got) == 2303 and got == rows_of(rel.fetchall(), rel.columns)
+
+
 def grid_df(spark, a):
     return spark.createDataFrame(K.to_long(a, grid_id="g"), "grid_id string, row int, col int, v double")
 
