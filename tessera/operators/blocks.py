@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import magnitude, times_conj
@@ -115,17 +116,17 @@ def stack_median(logs: DataFrame, key: str = "pair", value: str = "l") -> DataFr
 def leave_one_out_median(logs: DataFrame, key: str = "pair", value: str = "l") -> DataFrame:
     """logs with loo: the median over the other pairs of the cell.
 
-    With k sorted values of a cell the median without one of them is the middle of the rest, which its place alone
-    decides; so the cell's values are gathered once as an array (one for each pair) and there is no join of pairs.
+    With the values of a cell in order the median without one of them is the middle of the rest, which its place alone
+    decides. Places and middles come from frames over the same rows, without a join: logs that are worked out a second time
+    have sums in another order, whose last digits would not be found again.
     """
-    values = logs.where(F.col(value).isNotNull()).groupBy("row", "col").agg(F.sort_array(F.collect_list(value)).alias("all"))
-    at = F.array_position("all", F.col(value)) - 1
-    rest = F.size("all") - 1
-    out = logs.join(values, ["row", "col"], "left").withColumn("at", at).withColumn("rest", rest)
+    cell_ = W.partitionBy("row", "col")
+    out = logs.withColumn("at", F.row_number().over(cell_.orderBy(F.asc_nulls_last(value))) - 1).withColumn("rest", F.count(value).over(cell_) - 1)
     low, high = F.floor((F.col("rest") - 1) / 2), F.floor(F.col("rest") / 2)
-    skip = lambda k: (k + F.when(k >= F.col("at"), 1).otherwise(0)).cast("int")
-    out = out.withColumn("k1", skip(low)).withColumn("k2", skip(high))
-    return out.withColumn("loo", F.when((F.col("rest") > 0) & F.col(value).isNotNull(), (F.expr("get(all, k1)") + F.expr("get(all, k2)")) / 2)).drop("all", "at", "rest", "k1", "k2")
+    nth = lambda k: F.max(F.when(F.col("at") == k, F.col(value))).over(cell_)
+    out = out.withColumns({"m0": nth(low), "m1": nth(low + 1), "m2": nth(high), "m3": nth(high + 1)})
+    middle = F.when(F.col("at") <= low, F.col("m1")).otherwise(F.col("m0")) + F.when(F.col("at") <= high, F.col("m3")).otherwise(F.col("m2"))
+    return out.withColumn("loo", F.when((F.col("rest") > 0) & F.col(value).isNotNull(), middle / 2)).drop("at", "rest", "m0", "m1", "m2", "m3")
 
 
 def block_median(df: DataFrame, size: int, value: str = "v", by: Sequence[str] = ()) -> DataFrame:
